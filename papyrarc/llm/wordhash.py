@@ -59,13 +59,13 @@ def chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, np.ndarray, np.n
         at = to
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the ASCII-lower-cased, ASCII-white-space-separated words, and each word's row."""
+def word_hashes(offsets: np.ndarray, data: np.ndarray, separators: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the ASCII-lower-cased words between separators (a mark for each byte value), and each word's row."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = _LOWER[data]
-    inside = ~_WHITE[data]
+    inside = ~separators[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     first = first[:n]
