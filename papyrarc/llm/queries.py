@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op10_language_id
+from .licenses import op8_licenses
 from .near_dedup import op1_near_dedup
+from .packing import op6_packing
+from .pieces import op3_pieces
+from .toxicity import op5_toxicity
+from .warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_pieces": op3_pieces,
+    "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
+    "op8_licenses": op8_licenses,
+    "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL}
