@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from papyrarc.plans import html_queries, scalar_queries
+
+MODULES: list = [m.registry for m in (scalar_queries, html_queries)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
