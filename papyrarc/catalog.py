@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrarc.plans import html_queries, scalar_queries
+from papyrarc.plans import browse_queries, html_queries, ledger_queries, scalar_queries, search_queries
 
-MODULES: list = [m.registry for m in (scalar_queries, html_queries)]
+MODULES: list = [m.registry for m in (scalar_queries, html_queries, browse_queries, search_queries, ledger_queries)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,7 +66,7 @@ def d6(spark, sf):
     return H.tracking_pixels(images, "domain")
 
 
-@query("d7_active_content", f"""SELECT domain, count(*) + 0 AS pages, sum(scripts) AS scripts, count_if(e) AS frames, count_if(NOT e) * 2 AS forms, count_if(e) AS handlers, count_if(NOT e) AS refreshes, count_if(e) AS unsafe_links, 0 AS active_left
+@query("d7_active_content", f"""SELECT domain, count(*) + 0 AS pages, CAST(sum(scripts) AS BIGINT) AS scripts, count_if(e) AS frames, count_if(NOT e) * 2 AS forms, count_if(e) AS handlers, count_if(NOT e) AS refreshes, count_if(e) AS unsafe_links, CAST(0 AS BIGINT) AS active_left
   FROM (SELECT {sql_domain('url')} AS domain, len(regexp_extract_all(html, '(?i)<script\\b')) AS scripts, page_id % 2 = 0 AS e FROM pages) GROUP BY domain""")
 def d7(spark, sf):
     pages = table(spark, sf, "pages").selectExpr("page_id", "url", _WITH_ACTIVE + " AS html")
