@@ -61,19 +61,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Only ids and digests are joined to find copies; a group of copies of any size is dealt over salted keys.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+    # a text key without nulls serves both the numbering and the join, so that payloads are shuffled once
+    rows = rows.withColumn("key", F.coalesce(F.col("page").cast("string"), F.lit("")))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    numbered = lambda df: df.withColumn("copy", F.row_number().over(Window.partitionBy("page").orderBy("digest", "url")))
-    slim = numbered(rows.select("page", "url", "digest", "bytes")).where(F.col("bytes") >= min_bytes)
+    numbered = lambda df: df.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("digest", "url")))
+    slim = numbered(rows.select("key", "page", "url", "digest", "bytes")).where(F.col("bytes") >= min_bytes)
     holders = slim.groupBy("digest").agg(F.max(F.struct("page", "copy")).alias("holder"), F.count("*").alias("n")).where("n > 1")
     holders = holders.select("digest", F.col("holder.page").alias("to_page"), F.col("holder.copy").alias("to_copy"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     revisits = (
         slim.withColumn("salt", F.pmod(F.xxhash64("page", "copy"), F.lit(SALTS)).cast("int"))
         .join(holders, ["digest", "salt"])
         .where(~(F.col("page").eqNullSafe(F.col("to_page")) & (F.col("copy") == F.col("to_copy"))))
-        .select(F.col("page").alias("from_page"), F.col("copy").alias("from_copy"), "to_page", "to_copy", F.lit(True).alias("again"))
+        .select(F.col("key").alias("from_key"), F.col("copy").alias("from_copy"), "to_page", "to_copy", F.lit(True).alias("again"))
     )
-    # the difference keeps the second condition out of the join's keys, so that payloads are shuffled once
-    all_rows = numbered(rows).join(revisits, F.col("page").eqNullSafe(F.col("from_page")) & ((F.col("copy") - F.col("from_copy")) == 0), "left")
+    # the difference keeps the second condition out of the join's keys
+    all_rows = numbered(rows).join(revisits, (F.col("key") == F.col("from_key")) & ((F.col("copy") - F.col("from_copy")) == 0), "left")
 
     of = lambda kind: _record_id(F.col("page"), F.col("copy"), kind)
     digest = F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))
