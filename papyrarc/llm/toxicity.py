@@ -244,7 +244,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("toxic"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(texts.join(known, "id").select("text", "toxic"), "labelled")
+    # sorted and merged at every size: labels grow with the corpus, and so must not be broadcast
+    rows = materialise(texts.join(known.hint("merge"), "id").select("text", "toxic"), "labelled")
     toxic, clean = rows.where("toxic").select("text"), rows.where("not toxic").select("text")
     total = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = total.get(True, 0), total.get(False, 0)
