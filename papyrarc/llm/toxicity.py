@@ -219,16 +219,54 @@ def _trigrams():
     return run
 
 
+BINS = 400
+
+
+def _weigh(model, weights):
+    """Counts of texts by label and by the bin of their largest weight."""
+    schema = pa.schema([("bin", pa.int32()), ("toxic", pa.bool_()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model.value)
+        raw = ToxicityModel(model.value, weights.value)
+        n: dict[tuple[int, bool], int] = {}
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                key = (int(raw.weight(restorer.words(text.as_py() or "")) * BINS), toxic)
+                n[key] = n.get(key, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in n], pa.int32()), pa.array([t for _, t in n], pa.bool_()), pa.array(n.values(), pa.int64())], schema=schema)
+
+    return run
+
+
+def rising(toxic: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """Share of toxic texts in each bin, made to rise from bin to bin by pooling neighbours; empty bins take the share below."""
+    pools: list[list[float]] = []  # toxic, all, bins
+    for t, n in zip(toxic.tolist(), all_.tolist(), strict=True):
+        pools.append([t, n, 1])
+        while len(pools) > 1 and (pools[-1][1] == 0 or pools[-2][1] == 0 or pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]):
+            t2, n2, k2 = pools.pop()
+            pools[-1] = [pools[-1][0] + t2, pools[-1][1] + n2, pools[-1][2] + k2]
+    return np.concatenate([np.full(int(k), t / n if n else 0.0) for t, n, k in pools])
+
+
 @dataclass
 class ToxicityModel:
     characters: CharacterModel | None
     weights: dict[str, float] = field(default_factory=dict)
-    rest: float = 0.05  # the score of a text with no known feature
+    shares: np.ndarray | None = None  # of toxic texts, by the bin of the largest weight
 
-    def score(self, words: list[str]) -> float:
+    def weight(self, words: list[str]) -> float:
+        """The largest weight of the words' features."""
         weights = self.weights
-        best = max((weights[f] for w in set(words) for f in features(w) if f in weights), default=0.0)
-        return max(best, self.rest)
+        return max((weights[f] for w in set(words) for f in features(w) if f in weights), default=0.0)
+
+    def score(self, words: list[str]) -> float:
+        """The share of toxic texts among training texts of that weight; the weight itself parts equal shares."""
+        if self.shares is None:
+            return 0.0
+        w = self.weight(words)
+        return 0.999 * float(self.shares[int(w * BINS)]) + 0.001 * w
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", min_texts: int = 3, min_contexts: int = 3, max_features: int = 200_000) -> ToxicityModel:
@@ -238,7 +276,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts among the texts that have it. It must stand in min_texts toxic texts and after min_contexts
     different words, which a passage that is merely copied does not, and its share must exceed that of all
     texts by more than chance, given how many features are tried. max_features bounds the model: the
-    features of most toxic texts are kept. All labelled rows are counted. A text with several labels is toxic
+    features of most toxic texts are kept. All labelled rows are counted. A text's score is the share of toxic ones among
+    the labelled texts whose largest weight is about the same, made to rise with the weight. A text with several labels is toxic
     if one of them says so; null labels are ignored.
     """
     spark = docs.sparkSession
@@ -250,7 +289,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     total = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = total.get(True, 0), total.get(False, 0)
     if not n_toxic:
-        return ToxicityModel(None, {}, 0.0)
+        return ToxicityModel(None)
     got = rows.select("text").mapInArrow(_trigrams(), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(LETTERS**3)
     counts[got["at"].to_numpy()] = got["n"].to_numpy()
@@ -278,7 +317,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if surprise > beyond_chance:
             p = (n + prior) / (m + 1)
             weights[f] = p - math.sqrt(p * (1 - p) / (m + 1))
-    return ToxicityModel(characters, weights, min(prior / 2, 0.1))
+    got = rows.mapInArrow(_weigh(model, spark.sparkContext.broadcast(weights)), "bin int, toxic boolean, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((2, BINS + 1))
+    counts[got["toxic"].to_numpy(zero_copy_only=False).astype(int), got["bin"].to_numpy()] = got["n"].to_numpy()
+    return ToxicityModel(characters, weights, rising(counts[1], counts.sum(0)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -150,6 +150,11 @@ def test_toxicity(odd_docs, no_docs, spark):
     assert {r.predicted for r in toxicity.score_toxicity(odd_docs, empty).collect()} == {0}
 
 
+def test_shares_rise():
+    got = toxicity.rising(np.array([0, 2, 1, 0, 5]), np.array([10, 10, 10, 0, 5]))
+    assert np.allclose(got, [0, 0.15, 0.15, 0.15, 1.0])
+
+
 def test_viterbi_restores_words():
     text = "the idiot was stupid and a moron in the old trash " * 50
     model = toxicity.CharacterModel(toxicity.trigram_counts(text))
