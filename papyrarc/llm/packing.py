@@ -19,37 +19,80 @@ from .common import materialise, table
 CACHE_LIMIT = 600_000
 SEPARATOR = (0).to_bytes(4, "little")
 #: str.split() also splits at these, which the tokenizer's rules don't count as white space.
-_NOT_WHITE = frozenset("\x1c\x1d\x1e\x1f")
+_NOT_WHITE = "\x1c\x1d\x1e\x1f"
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(tokenizer_file: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(tokenizer_file), {}
+#: Marks that the tokenizer parts from a letter or digit before them, and that begin no special token's end.
+_MARKS = ".,;:!?%*$#&"
+_TOGETHER = 200
 
 
-def encode_words(texts: list[str], tokenizer, known: dict[str, bytes]) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers.
+class WordEncoder:
+    """Ids of words, each as little-endian 32-bit numbers; remembers words up to a bound.
 
-    The tokenizer drops white space and joins nothing across it, so texts are encoded word by word and each
-    distinct word once. `known` remembers words up to a bound.
+    The tokenizer drops white space and joins nothing across it, so texts can be encoded word by word. It also parts
+    letters from marks and lower-cases, so a new word is looked up by its lower-cased letters and its closing marks.
+    New words of letters alone are encoded many to a line, as each ends with a token that closes a word.
     """
-    split = [[t] if not _NOT_WHITE.isdisjoint(t) else t.split() for t in texts]
-    if len(known) > CACHE_LIMIT:
-        known.clear()
-    new = [w for w in set().union(*map(set, split)) if w not in known]
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def __init__(self, tokenizer_file: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.known: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+
+    def _ids(self, lines: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.known
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        lines = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
+        for line, ids in zip(lines, self._ids([" ".join(x) for x in lines]), strict=True):
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(line):
+                others += line
+                continue
+            held, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known.update((w, held[a:b]) for w, a, b in zip(line, cuts, cuts[1:], strict=False))
+        known.update((w, x.tobytes()) for w, x in zip(others, self._ids(others), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [[t] if any(c in t for c in _NOT_WHITE) else t.split() for t in texts]
+        known = self.known
+        if len(known) > CACHE_LIMIT:
+            known.clear()
+        plain: list[str] = []
+        parts: list[tuple[str, str, str]] = []
+        for w in set().union(*map(set, split)).difference(known):
+            if w.islower() and w.isalpha():
+                plain.append(w)
+                continue
+            core = w if w.isalpha() else w.rstrip(_MARKS)
+            if core and core[-1].isalnum() and "<|" not in w and "\u03a3" not in w:
+                parts.append((w, core.lower(), w[len(core) :]))
+            else:
+                plain.append(w)
+        self._learn([*plain, *{p for _, *pair in parts for p in pair if p}.difference(known, plain)])
+        for w, core, marks in parts:
+            known[w] = known[core] + known[marks] if marks else known[core]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(tokenizer_file: str) -> WordEncoder:
+    return WordEncoder(tokenizer_file)
 
 
 def _cut(tokenizer_file: str, capacity: int, id_col: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(tokenizer_file)
+        encoder = _encoder(tokenizer_file)
         for batch in batches:
             n, at = batch.num_rows, 0
             while at < n:
@@ -59,7 +102,7 @@ def _cut(tokenizer_file: str, capacity: int, id_col: str, with_ids: bool):
                     texts.append(batch.column(1)[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
                 row, piece, length, crc, ids = [], [], [], [], []
-                for i, held in enumerate(encode_words(texts, tokenizer, known)):
+                for i, held in enumerate(encoder.encode(texts)):
                     held += SEPARATOR
                     for k, begin in enumerate(range(0, len(held), 4 * capacity)):
                         part = held[begin : begin + 4 * capacity]
