@@ -143,13 +143,27 @@ def _laid_out(table_: WordTable, texts: list[list[bytes]]) -> tuple[np.ndarray,
     return flat, np.r_[0, np.cumsum(sizes)[ends - 1]], numbers, sizes, ends
 
 
+def _chunks(column: pa.Array) -> Iterator[list[list[bytes]]]:
+    """The words of a batch's texts, as many texts at a time as have about CHUNK_WORDS words."""
+    texts: list[list[bytes]] = []
+    size = 0
+    for value in column:
+        texts.append(words_of(value.as_py()))
+        size += len(texts[-1])
+        if size >= CHUNK_WORDS:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def _count_pairs(model_file: str, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TAIL + 1) ** 2, np.int64)
         known = WordTable(_pieces(model_file), ranks.value)
         for batch in batches:
-            if batch.num_rows:
-                flat, *_ = _laid_out(known, [words_of(t) for t in batch.column(0).to_pylist()])
+            for texts in _chunks(batch.column(0)):
+                flat, *_ = _laid_out(known, texts)
                 total += np.bincount(np.r_[END, flat[:-1]] * (TAIL + 1) + flat, minlength=len(total))
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["pair", "n"])
@@ -174,22 +188,22 @@ def _mean(group: pa.Table) -> pa.Table:
     return pa.table({"trainer": pa.array([group["group"][0].as_py()], pa.int64()), "n": pa.array([float(n.sum())]), "weights": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
 
 
-def train_attention(docs: DataFrame, model_file: str, ranks: Ranks, n_docs: int, text_col: str = "text", id_col: str = "doc_id", sample: float = 12.0, least: int = 600, per_trainer: int = 1000, rounds: int = 3, rate: float = 0.015, fan_in: int = 32) -> Weights:
-    """Train on least + sample * sqrt(n) of n documents, chosen by a hash of the id; their number grows with the corpus.
+def train_attention(docs: DataFrame, model_file: str, ranks: Ranks, n_docs: int, text_col: str = "text", per_trainer: int = 1000, rounds: int = 4, rate: float = 0.015, fan_in: int = 32) -> Weights:
+    """Train on all n documents, each once.
 
-    The weights start from a bigram model of those documents, whose counts are summed over all tasks (at most the square of
+    The weights start from a bigram model of all documents, whose counts are summed over all tasks (at most the square of
     the number of ranks). Each round deals its part to trainers of about per_trainer / rounds documents, which all start
-    from the same weights; their results are averaged by number of tokens, fan_in at a time, until one is left.
+    from the same weights; their results are averaged by number of tokens, fan_in at a time, until one is left. Rows are
+    dealt by number, not by id, so that null and repeated ids are spread evenly.
     """
     weights = start_weights(ranks.log_counts)
     spark = docs.sparkSession
-    share = min(1.0, (least + sample * math.sqrt(n_docs)) / max(1, n_docs))
-    trainers = max(1, math.ceil(share * n_docs / per_trainer))
-    at = F.xxhash64(F.col(id_col).cast("string"), F.lit(11))
+    trainers = max(1, math.ceil(n_docs / per_trainer))
+    at = F.xxhash64("row")
     chosen = materialise(
-        docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
-        .select(F.col(text_col).cast("string").alias("text"), F.pmod(at, F.lit(trainers)).alias("trainer"), F.pmod(F.shiftrightunsigned(at, 32), F.lit(rounds)).alias("round")),
-        "sample",
+        docs.select(F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+        .select("text", F.pmod(at, F.lit(trainers)).alias("trainer"), F.pmod(F.shiftrightunsigned(at, 32), F.lit(rounds)).alias("round")),
+        "training",
     )
     counted = chosen.select("text").mapInArrow(_count_pairs(model_file, spark.sparkContext.broadcast(ranks)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros((TAIL + 1) ** 2)
@@ -222,13 +236,8 @@ def _score(model_file: str, shared, denominator: float, lexicon_share: float):
         scorer = Scorer(weights)
         known = WordTable(_pieces(model_file), ranks, words_, np.log10((counts_ + 1) / denominator), math.log10((end_count + 1) / denominator))
         for batch in batches:
-            n, at = batch.num_rows, 0
-            while at < n:
-                texts: list[list[bytes]] = []
-                size = 0
-                while at + len(texts) < n and size < CHUNK_WORDS:
-                    texts.append(words_of(batch.column(3)[at + len(texts)].as_py()))
-                    size += len(texts[-1])
+            at = 0
+            for texts in _chunks(batch.column(3)):
                 k = len(texts)
                 flat, starts, numbers, sizes, ends = _laid_out(known, texts)
                 inputs, targets, counts, _ = windows(flat, starts)
@@ -279,7 +288,7 @@ def score_texts(docs: DataFrame, held_out, model_file: str, id_col: str = "doc_i
     got = words.where("word is not null").mapInArrow(_count_pieces(model_file), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
     ranks = Ranks(got["piece"].to_numpy(), got["n"].to_numpy(), _pieces(model_file).get_piece_size(), n_docs)
     common = words.where((F.col("word").isNotNull()) & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
-    weights = train_attention(docs.where(~held), model_file, ranks, n_docs, text_col, id_col, **training)
+    weights = train_attention(docs.where(~held), model_file, ranks, n_docs, text_col, **training)
     denominator = float(total + distinct + 1)
     shared = spark.sparkContext.broadcast((weights, ranks, common["word"].to_pylist(), common["n"].to_numpy().astype(np.float64), n_docs))
 
