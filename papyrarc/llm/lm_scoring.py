@@ -228,7 +228,7 @@ _LN10 = math.log(10)
 
 
 def _score(model_file: str, shared, denominator: float, lexicon_share: float):
-    """Two kinds of rows: a text's scores over the words of the dictionary, and its other words with their numbers."""
+    """Two kinds of rows: a text's scores over the words of the dictionary, and each other word with its weighted attention score."""
     names = ["row", "id", "held_out", "word", "n", "known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,21 +245,20 @@ def _score(model_file: str, shared, denominator: float, lexicon_share: float):
                 value = known.logs[numbers]
                 in_lexicon = ~np.isnan(value)
                 own = attention + math.log10(1 - lexicon_share)
-                mixed = np.where(in_lexicon, np.logaddexp((np.nan_to_num(value) + math.log10(lexicon_share)) * _LN10, own * _LN10) / _LN10, own)
+                mixed = np.where(in_lexicon, np.logaddexp((np.nan_to_num(value) + math.log10(lexicon_share)) * _LN10, own * _LN10) / _LN10, 0.0)
                 begin = ends - np.diff(np.r_[0, ends])
                 base = np.add.reduceat(np.nan_to_num(value), begin)
                 score = np.add.reduceat(mixed, begin)
                 found = np.add.reduceat(in_lexicon.astype(np.int64), begin) - (end_count == 0)
-                # the words that aren't in the lexicon, counted for each text
+                # the words that aren't in the lexicon, each where it stands
                 missing = np.flatnonzero(~in_lexicon)
                 text_of = np.searchsorted(ends, missing, "right")
                 place = missing - begin[text_of]
-                rare = Counter((i, texts[i][p]) for i, p in zip(text_of.tolist(), place.tolist(), strict=True))
                 keys = [batch.column(c).slice(at, k) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.nulls(k, pa.binary()), pa.array(ends - begin, pa.int64()), pa.array(found, pa.int64()), pa.array(base), pa.array(score)], names=names)
-                m = len(rare)
-                owner = keys[0].take(pa.array([i for i, _ in rare], pa.int64()))
-                yield pa.RecordBatch.from_arrays([owner, pa.nulls(m, keys[1].type), pa.nulls(m, pa.bool_()), pa.array([w for _, w in rare], pa.binary()), pa.array(rare.values(), pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
+                m = len(missing)
+                rare = [texts[i][p] for i, p in zip(text_of.tolist(), place.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys[0].take(pa.array(text_of)), pa.nulls(m, keys[1].type), pa.nulls(m, pa.bool_()), pa.array(rare, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(own[missing])], names=names)
                 at += k
 
     return run
@@ -271,10 +270,12 @@ def score_texts(docs: DataFrame, held_out, model_file: str, id_col: str = "doc_i
     Returns (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Words are counted over all training texts. Every task knows the most frequent ones (a dictionary bounded in number and
-    length); a text's other words go through a join with the whole table of counts. Subword counts over the whole
+    length); a text's other words go through a join with the whole table of counts, so that the dictionary is only a
+    cache and its bounds change no result. Subword counts over the whole
     corpus order the model's vocabulary and share out its tail; the attention model is trained by `train_attention`. A text
     is scored in overlapping windows, each token once. The model's probability of a word is that of its subwords under
-    attention, mixed with its share of the corpus as far as the dictionary has it, at a weight of lexicon_share.
+    attention, mixed with its share of the corpus at a weight of lexicon_share; a word that no training text has gets
+    the attention's part alone.
 
     Null and empty texts have the closing token alone. Rows for which `held_out` is null (a null id) count as training rows. Repeated ids keep
     their rows; other columns are ignored; an empty table gives an empty result, and with no training rows
@@ -296,18 +297,20 @@ def score_texts(docs: DataFrame, held_out, model_file: str, id_col: str = "doc_i
     kind = docs.schema[id_col].dataType.simpleString()
     scored = numbered.mapInArrow(_score(model_file, shared, denominator, lexicon_share), f"row long, id {kind}, held_out boolean, word binary, n long, known long, base double, score double")
     scored = materialise(scored, "scored")
-    rare = scored.where("word is not null").select("row", "word", "n")
+    rare = scored.where("word is not null").select("row", "word", F.col("score").alias("own"))
     count = F.coalesce(F.col("c"), F.lit(0))
+    share = (count + 1) / F.lit(denominator)
+    mixed = F.when(count > 0, F.log10(share * lexicon_share + F.pow(F.lit(10.0), "own"))).otherwise(F.col("own"))
     others = (
         rare.join(words.where("word is not null").select("word", F.col("n").alias("c")), "word", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("n") * F.log10((count + 1) / F.lit(denominator))).alias("more_base"), F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("more_known"))
+        .agg(F.sum(F.log10(share)).alias("more_base"), F.sum((count > 0).cast("long")).alias("more_known"), F.sum(mixed).alias("more_score"))
     )
     return (
         scored.where("word is null").join(others, "row", "left")
         .select(
             F.col("id").alias(id_col), "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+            F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
         )
     )
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 
 from papyrarc.llm import lm_scoring
+from papyrarc.llm.attention import start_weights
 
 from .conftest import sentence
 
@@ -29,3 +31,20 @@ def test_attention_learns_from_all_training_rows(spark, monkeypatch):
     assert sum(r["count"] for r in seen["parts"]) == out
     # null ids don't meet in one trainer
     assert max(r["count"] for r in seen["parts"]) < 300
+
+
+def test_the_dictionary_changes_no_score(spark, odd_docs, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    # weights that don't depend on the order of rows
+    monkeypatch.setattr(lm_scoring, "train_attention", lambda docs, model_file, ranks, *rest, **more: start_weights(ranks.log_counts))
+    docs = odd_docs.select("doc_id", "text").where("doc_id is not null").union(spark.createDataFrame([(900 + i, "quiet " + "y" * 80) for i in range(9)], "doc_id long, text string"))
+    held = lm_scoring.crc_mod("doc_id", 7) == 2
+    found = []
+    for most in (200_000, 3):
+        monkeypatch.setattr(lm_scoring, "DICTIONARY", most)
+        for longest in (64, 1000):
+            monkeypatch.setattr(lm_scoring, "LONGEST", longest)
+            found.append(sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm_scoring.score_texts(docs, held, path).collect()))
+    for other in found[1:]:
+        assert [r[:3] for r in other] == [r[:3] for r in found[0]]
+        assert np.allclose([r[3:] for r in other], [r[3:] for r in found[0]], rtol=1e-6)
