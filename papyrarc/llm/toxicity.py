@@ -27,7 +27,7 @@ SUBSTITUTED, SPACED, REPEATED, SYMBOL_KEPT = -0.7, -0.7, -0.5, -2.6
 
 _EDGES = ".,;:!?\"'()[]{}<>*-_~`|/\\%#&$=+"
 _PLAIN = re.compile(r"[^\W\d_]+", re.UNICODE)
-_TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE, _TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 _CACHE_LIMIT = 300_000
 LETTERS = 28  # a-z, any other letter, a word's border
 
@@ -62,23 +62,45 @@ class CharacterModel:
 
 
 def is_plain(token: str) -> bool:
-    """Whether a token's lattice has one path only: letters alone, none three times in a row."""
-    return bool(_PLAIN.fullmatch(token)) and not _TRIPLE.search(token)
+    """Whether a token's lattice has one path only: letters alone, none twice in a row."""
+    return bool(_PLAIN.fullmatch(token)) and not _DOUBLE.search(token)
 
 
-def decode_token(token: str, model: CharacterModel) -> str:
+def _undoubled(token: str, logs: list) -> str:
+    """decode_token for letters alone, none three times in a row: what follows a pair sees the same letters either way, so each pair decides alone."""
+    codes = [LETTERS - 1, *map(_code, token), LETTERS - 1]
+    out = []
+    for i, c in enumerate(token):
+        if i and c == token[i - 1]:
+            before, own, after = codes[i - 1], codes[i], codes[i + 2]
+            if logs[before][own][own] + logs[own][own][after] < logs[before][own][after] + REPEATED:
+                continue
+        out.append(c)
+    return "".join(out)
+
+
+def decode_token(token: str, model: CharacterModel, spaced: bool = False) -> str:
     """The likeliest word for a token, by Viterbi search over its lattice of letters.
 
+    If the token's symbols were written apart (`spaced`), a word may also end before each of them; a blank in the result
+    stands there.
+
     Every symbol is a letter (itself, or those it may stand for), is kept as a symbol that ends a word, or
     is dropped: a spacer between letters, or a letter that repeats the one before. States are the last two
     letters; the score is the character model's log-probability plus the channel's costs.
     """
     logs = model.logs
+    if token.isalpha() and not spaced and not _TRIPLE.search(token):
+        return _undoubled(token, logs)
     border = LETTERS - 1
     states: dict[tuple[int, int], tuple[float, tuple]] = {(border, border): (0.0, ())}
     inner = len(token)
     for i, c in enumerate(token):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        if spaced and i:
+            score, path = max(((s + logs[a][b][border], p) for (a, b), (s, p) in states.items() if b != border), key=lambda x: x[0], default=(0.0, None))
+            if path is not None and ((border, border) not in states or states[border, border][0] < score):
+                states[border, border] = (score, (path, " "))
 
         def offer(state: tuple[int, int], score: float, path: tuple, after: dict = after) -> None:
             if state not in after or after[state][0] < score:
@@ -112,14 +134,14 @@ class Restorer:
         self.model = model
         self.seen: dict[str, list[str]] = {}
 
-    def _words(self, token: str) -> list[str]:
+    def _words(self, token: str, spaced: bool = False) -> list[str]:
         core = token.strip(_EDGES)
         if not core and not any(c in LEET for c in token):
             return []
-        if is_plain(core) or self.model is None:
+        if self.model is None or (is_plain(core) and not spaced):
             return [core] if core else []
         whole = token.rstrip(".,;:?\"'") if any(c in LEET for c in token) else core
-        restored = [w for w in re.split(r"[\W\d_]+", decode_token(whole, self.model)) if w]
+        restored = [w for w in re.split(r"[\W\d_]+", decode_token(whole, self.model, spaced)) if w]
         # what stands plainly in the token counts too
         return restored + [w for w in re.split(r"[\W\d_]+", core) if len(w) > 2 and w not in restored]
 
@@ -134,7 +156,7 @@ class Restorer:
                 single.append(token[0])
                 continue
             if len(single) > 2:
-                out += self._words("".join(single))
+                out += self._words("".join(single), spaced=True)
             if single:
                 out += single
                 single = []
@@ -143,7 +165,7 @@ class Restorer:
                 got = seen[token] = self._words(token)
             out += got
         if len(single) > 2:
-            out += self._words("".join(single))
+            out += self._words("".join(single), spaced=True)
         return out + single
 
 

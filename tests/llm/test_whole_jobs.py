@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 
-from papyrarc.llm import lm_scoring
+from papyrarc.llm import lm_scoring, toxicity
 from papyrarc.llm.attention import start_weights
 
 from .conftest import sentence
@@ -48,3 +49,23 @@ def test_the_dictionary_changes_no_score(spark, odd_docs, monkeypatch):
     for other in found[1:]:
         assert [r[:3] for r in other] == [r[:3] for r in found[0]]
         assert np.allclose([r[3:] for r in other], [r[3:] for r in found[0]], rtol=1e-6)
+
+
+def test_doubled_letters_and_spaced_words_are_decoded():
+    text = "the idiot was stupid and a moron in the old trash i will kill you all and a better letter too " * 50
+    model = toxicity.CharacterModel(toxicity.trigram_counts(text))
+    for written, words in {
+        "iidiot": ["idiot"], "stuupid": ["stupid"], "idiott": ["idiot"], "such a i d i o t": ["such", "a", "idiot"], "I i d i o t": ["idiot"],
+        "k i l l y o u": ["kill", "you"], "s t u p i d i d i o t": ["stupid", "idiot"], "better letter all": ["better", "letter", "all"],
+    }.items():
+        assert set(words) <= set(toxicity.Restorer(model).words(written)), written
+
+
+def test_pairs_decode_as_in_the_lattice(monkeypatch):
+    rng = random.Random(4)
+    model = toxicity.CharacterModel(np.random.default_rng(1).integers(0, 50, toxicity.LETTERS**3))
+    words = ["".join(rng.choice("abcéö") * rng.choice((1, 2)) for _ in range(rng.randint(1, 6))) for _ in range(800)]
+    words = [w for w in words if not toxicity._TRIPLE.search(w)]
+    short = [toxicity.decode_token(w, model) for w in words]
+    monkeypatch.setattr(toxicity, "_TRIPLE", re.compile(""))
+    assert short == [toxicity.decode_token(w, model) for w in words] and short != words
