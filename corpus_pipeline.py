@@ -36,7 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates."""
+    """Keeps the document of least id of each group of near-duplicates, of a similarity of 0.85 or more."""
     ship(spark)
     return _kept(docs, near_duplicates(docs), F.col("kept"))
 
