@@ -4,63 +4,70 @@ from __future__ import annotations
 
 import numpy as np
 
-WINDOW, OVERLAP, WIDTH, HIDDEN = 32, 4, 16, 32
-#: Ends of the ranks of the softmax's head and of its further clusters; a token outside these is in the tail.
-CUTS = (128, 256, 512, 1024)
+WINDOW, OVERLAP, WIDTH, HIDDEN = 32, 4, 24, 32
+#: The softmax is a tree: the first HEAD ranks and the branches, then FAN twigs in a branch, then FAN ranks in a twig.
+HEAD, FAN = 128, 32
 END = 0  # the rank of the end of a text, which also stands before its first token
 LOG10_E = float(np.log10(np.e))
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_NEVER = np.float32(-80.0)  # the bias of an output that stands for no rank
 
 Weights = dict[str, np.ndarray]
 
 
-def start_weights(log_counts: np.ndarray, seed: int = 1) -> Weights:
-    """Small random weights; output biases are the log counts of the ranks, with the tail's as the last."""
+def branches(size: int) -> int:
+    return max(1, -(-(size - HEAD) // FAN**2))
+
+
+def output_masses(mass: np.ndarray) -> list[np.ndarray]:
+    """Masses of the tree's outputs: the head's, the twigs' by branch, and the ranks' by twig; none is 0 but where no rank stands."""
+    n = branches(len(mass))
+    rest = np.zeros(n * FAN**2)
+    rest[: max(0, len(mass) - HEAD)] = mass[HEAD:]
+    leaves = rest.reshape(n * FAN, FAN)
+    twigs = leaves.sum(1).reshape(n, FAN)
+    head = np.zeros(HEAD)
+    head[: len(mass)] = mass[:HEAD]
+    return [np.r_[head, twigs.sum(1)][None, :], twigs, leaves]
+
+
+def start_weights(mass: np.ndarray, seed: int = 1) -> Weights:
+    """Small random weights for ranks of these masses (above 0); output biases are their logarithms."""
     rng = np.random.default_rng(seed)
-    small = lambda *shape: (rng.standard_normal(shape) * 0.15).astype(np.float32)
-    w = {"E": small(CUTS[-1] + 1, WIDTH), "P": small(WINDOW, WIDTH) * np.float32(0.1), "c1": np.zeros(HIDDEN, np.float32)}
-    w |= {k: small(WIDTH, WIDTH) for k in ("Wq", "Wk", "Wv")} | {"Wo": small(WIDTH, WIDTH) * np.float32(0.1)} | {"W1": small(WIDTH, HIDDEN), "W2": small(HIDDEN, WIDTH) * np.float32(0.1)}
-    mass = np.exp(log_counts - log_counts.max())
-    for i in range(len(CUTS)):
-        low = CUTS[i - 1] if i else 0
-        own = mass[low : CUTS[i]]
-        if not i:  # the head also has an entry for each cluster and for the tail
-            own = np.r_[own, [mass[a:b].sum() for a, b in zip(CUTS, CUTS[1:], strict=False)], mass[CUTS[-1]]]
-        own = np.maximum(own, 1e-12)
-        w[f"U{i}"] = small(WIDTH, len(own)) * np.float32(0.3)
-        w[f"b{i}"] = np.log(own / own.sum()).astype(np.float32)
+    small = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
+    w = {"E": small(0.15, len(mass), WIDTH), "P": small(0.015, WINDOW, WIDTH), "c1": np.zeros(HIDDEN, np.float32)}
+    w |= {"Wqkv": small(0.15, WIDTH, 3 * WIDTH), "Wo": small(0.015, WIDTH, WIDTH), "W1": small(0.15, WIDTH, HIDDEN), "W2": small(0.015, HIDDEN, WIDTH)}
+    for level, own in enumerate(output_masses(mass)):
+        total = own.sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bias = np.where(own > 0, np.log(own / total), _NEVER)
+        w[f"U{level}"] = small(0.01, len(own), WIDTH + 1, own.shape[1])
+        w[f"U{level}"][:, WIDTH] = bias
     return w
 
 
 def bigram_weights(w: Weights, pairs: np.ndarray, smoothing: float = 30.0) -> Weights:
-    """Weights that start from a bigram model: embeddings and outputs factor its log-odds against the output biases.
+    """Weights that start from a bigram model: embeddings and the head's outputs factor its log-odds against the biases.
 
-    `pairs` counts the ranks (rows: before, columns: after). What a softmax can't tell from one pair is drawn to its bias.
+    `pairs` counts ranks (rows: before) by the head's outputs (columns: after). What a softmax can't tell from one pair is
+    drawn to its bias. Without any pair the weights stay as they are.
     """
+    if not pairs.any():
+        return w
     w = {k: v.copy() for k, v in w.items()}
-    columns = []
-    for i in range(len(CUTS)):
-        low = CUTS[i - 1] if i else 0
-        own = pairs[:, low : CUTS[i]]
-        if not i:
-            own = np.concatenate([own, *(pairs[:, a:b].sum(1, keepdims=True) for a, b in zip(CUTS, CUTS[1:], strict=False)), pairs[:, CUTS[-1] :].sum(1, keepdims=True)], 1)
-        bias = w[f"b{i}"].astype(np.float64)
-        p = np.exp(bias - bias.max())
-        p /= p.sum()
-        total = own.sum(1, keepdims=True)
-        columns.append((i, total, p, np.log((own + smoothing * p) / (total + smoothing) / np.maximum(p, 1e-12))))
-    before = np.sqrt(pairs.sum(1, keepdims=True) + 1.0)
-    after = np.concatenate([np.sqrt(p * total.sum() + 1.0) for _, total, p, _ in columns])
-    u, s, v = np.linalg.svd(before * np.concatenate([m for *_, m in columns], 1) * after, full_matrices=False)
-    root = np.sqrt(s[:WIDTH])
-    left, right = u[:, :WIDTH] * root / before, v[:WIDTH] * root[:, None] / after
+    p = np.exp(w["U0"][0, WIDTH].astype(np.float64))
+    p = np.maximum(p / p.sum(), 1e-12)
+    total = pairs.sum(1, keepdims=True)
+    odds = np.log((pairs + smoothing * p) / (total + smoothing) / p)
+    before, after = np.sqrt(total + 1.0), np.sqrt(p * total.sum() + 1.0)
+    m = before * odds * after
+    s, u = np.linalg.eigh(m.T @ m)
+    u = u[:, ::-1][:, :WIDTH]
+    root = np.sqrt(np.sqrt(np.maximum(s[::-1][:WIDTH], 1e-12)))
+    left, right = (m @ u) / root / before, (u * root).T / after
     balance = np.sqrt(np.linalg.norm(right) / max(1e-9, np.linalg.norm(left)))
     w["E"] = (left * balance).astype(np.float32)
-    at = 0
-    for i, *_, m in columns:
-        w[f"U{i}"] = (right[:, at : at + m.shape[1]] / balance).astype(np.float32)
-        at += m.shape[1]
+    w["U0"][0, :WIDTH] = right / balance
     return w
 
 
@@ -76,51 +83,42 @@ def windows(ranks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     text = np.repeat(np.arange(len(n)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     begin = k * step
-    at = begin[:, None] + np.arange(WINDOW)[None, :]
-    inside = at < lengths[text][:, None]
-    place = np.where(inside, starts[:-1][text][:, None] + at, 0)
-    targets = ranks[place]
-    inputs = np.where(at == 0, END, ranks[np.maximum(place - 1, 0)])
-    counts = inside & ((k == 0)[:, None] | (np.arange(WINDOW) >= OVERLAP)[None, :])
-    return np.where(inside, inputs, END), targets, counts, text
-
-
-def _forward(w: Weights, inputs: np.ndarray) -> dict[str, np.ndarray]:
-    x = w["E"][inputs] + w["P"]
-    q, k, v = x @ w["Wq"], x @ w["Wk"], x @ w["Wv"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += _MASK
-    np.exp(np.minimum(s, 60, out=s), out=s)
-    s /= s.sum(2, keepdims=True)
-    z = s @ v
-    y = x + z @ w["Wo"]
-    r = np.maximum(y @ w["W1"] + w["c1"], 0)
-    return {"x": x, "q": q, "k": k, "v": v, "a": s, "z": z, "y": y, "r": r, "h": y + r @ w["W2"]}
-
-
-def _groups(targets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(softmax, rows, columns): the head for all rows, and each cluster for its own."""
-    cluster = np.searchsorted(CUTS, targets, "right")
-    out = [(0, np.arange(len(targets)), np.where(cluster == 0, targets, CUTS[0] + cluster - 1))]
-    for c in range(1, len(CUTS)):
-        rows = np.flatnonzero(cluster == c)
-        if len(rows):
-            out.append((c, rows, targets[rows] - CUTS[c - 1]))
-    return out
+    first = starts[:-1][text] + begin
+    left = (lengths[text] - begin)[:, None]
+    span = np.arange(WINDOW)
+    inside = span < left
+    padded = np.r_[END, ranks, np.full(WINDOW, END, ranks.dtype)]
+    both = np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[first]
+    inputs, targets = both[:, :-1].copy(), both[:, 1:]
+    inputs[k == 0, 0] = END
+    inputs[~inside] = END
+    counts = inside & ((k == 0)[:, None] | (span >= OVERLAP))
+    return inputs, targets, counts, text
+
+
+def tree_place(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The head's output of each target; for those beyond the head (their rows): branch, twig, and place in the twig."""
+    rest = targets.astype(np.int64) - HEAD
+    rows = np.flatnonzero(rest >= 0)
+    beyond = rest[rows]
+    branch = beyond // FAN**2
+    head = np.where(rest < 0, targets, 0)
+    head[rows] = HEAD + branch
+    return head, rows, branch, beyond // FAN, beyond % FAN
 
 
 class Scorer:
     """The forward pass alone, with weights laid out so that few passes are made over few temporary arrays."""
 
-    BATCH = 48
+    BATCH = 64
 
     def __init__(self, w: Weights) -> None:
         self.embed, self.place, self.hidden = w["E"], w["P"], (w["W1"], w["c1"], w["W2"])
-        self.qkv = np.concatenate([w["Wq"] * np.float32(WIDTH**-0.5), w["Wk"], w["Wv"] @ w["Wo"]], 1)
-        self.out = [np.concatenate([w[f"U{i}"], w[f"b{i}"][None, :]]) for i in range(len(CUTS))]
-        self.largest = [float(np.abs(u).sum(0).max()) for u in self.out]
-        self.ones = [np.ones(u.shape[1], np.float32) for u in self.out]
+        qkv = w["Wqkv"].copy()
+        qkv[:, :WIDTH] *= np.float32(WIDTH**-0.5)
+        qkv[:, 2 * WIDTH :] = qkv[:, 2 * WIDTH :] @ w["Wo"]
+        self.qkv = qkv
+        self.out = [w[f"U{i}"] for i in range(3)]
 
     def _hidden(self, inputs: np.ndarray) -> np.ndarray:
         n = len(inputs)
@@ -129,7 +127,9 @@ class Scorer:
         x = x.reshape(-1, WIDTH)
         qkv = (x @ self.qkv).reshape(n, WINDOW, 3 * WIDTH)
         s = qkv[:, :, :WIDTH] @ qkv[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1)
-        np.exp(np.minimum(s, 60, out=s), out=s)
+        if s.max() > 60:
+            np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
         s *= _SEEN
         v = np.ones((n, WINDOW, WIDTH + 1), np.float32)
         v[:, :, :WIDTH] = qkv[:, :, 2 * WIDTH :]
@@ -141,85 +141,205 @@ class Scorer:
         x += r @ self.hidden[2]
         return x
 
+    def _softmax(self, level: int, node: int, h: np.ndarray, column: np.ndarray) -> np.ndarray:
+        logits = h @ self.out[level][node]
+        hit = logits[np.arange(len(logits)), column]
+        if logits.max() > 80:
+            top = logits.max(1, keepdims=True)
+            logits -= top
+            hit = hit - top[:, 0]
+        np.exp(logits, out=logits)
+        return hit - np.log(logits.sum(1))
+
     def log10_probabilities(self, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P of each counted target, in the windows' order; a tail token's is that of the tail as a whole."""
+        """log10 P of each counted target, in the windows' order."""
         wanted, t = np.flatnonzero(counts), targets[counts]
         h = np.ones((len(t), WIDTH + 1), np.float32)
         ends = np.cumsum(counts.sum(1))
+        head, rows, branch, twig, leaf = tree_place(t)
+        total = np.empty(len(t))
         for at in range(0, len(inputs), self.BATCH):
             a, b = (ends[at - 1] if at else 0), ends[min(at + self.BATCH, len(inputs)) - 1]
             h[a:b, :WIDTH] = self._hidden(inputs[at : at + self.BATCH])[wanted[a:b] - at * WINDOW]
-        total = np.zeros(len(t))
-        for i, rows, columns in _groups(t):
-            for at in range(0, len(rows), 1024):
-                part = slice(at, at + 1024)
-                own = h[part] if i == 0 else h[rows[part]]
-                logits = own @ self.out[i]
-                hit = logits[np.arange(len(logits)), columns[part]]
-                if np.abs(own).max() * self.largest[i] > 80 and logits.max() > 80:  # out of the range of single-precision exp
-                    top = logits.max(1, keepdims=True)
-                    logits -= top
-                    hit = hit - top[:, 0]
-                np.exp(logits, out=logits)
-                total[rows[part]] += hit - np.log(logits @ self.ones[i])
+            for i in range(a, b, 1024):
+                j = min(b, i + 1024)
+                total[i:j] = self._softmax(0, 0, h[i:j], head[i:j])
+        order = np.argsort(twig, kind="stable")
+        rows, branch, twig, leaf = rows[order], branch[order], twig[order], leaf[order]
+        h = h[rows]
+        extra = np.empty(len(rows))
+        for level, node, column in ((1, branch, twig % FAN), (2, twig, leaf)):
+            cuts = np.flatnonzero(np.diff(node, prepend=-1, append=-1)) if len(node) else np.zeros(1, int)
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                for i in range(a, b, 4096):
+                    j = min(b, i + 4096)
+                    extra[i:j] = self._softmax(level, int(node[i]), h[i:j], column[i:j])
+            total[rows] += extra
         return total * LOG10_E
 
 
+def _by_node(node: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts rows of a node together, and (node, begin, end) of each run."""
+    order = np.argsort(node, kind="stable")
+    own = node[order]
+    cuts = np.r_[np.flatnonzero(np.diff(own, prepend=-1)), len(own)].tolist()
+    return order, [(int(own[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _softmax_gradient(u: np.ndarray, h: np.ndarray, column: np.ndarray, scale: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of a softmax's weights and of its rows."""
+    p = h @ u
+    if p.max() > 60:
+        np.minimum(p, 60, out=p)
+    np.exp(p, out=p)
+    p *= scale / p.sum(1, keepdims=True)
+    p[np.arange(len(p)), column] -= scale
+    return h.T @ p, p @ u.T
+
+
+def _node_gradients(u: np.ndarray, h: np.ndarray, column: np.ndarray, runs: list[tuple[int, int, int]], scale: np.float32, grads: np.ndarray, back: np.ndarray) -> None:
+    """_softmax_gradient for many nodes, each with a run of rows: fills the nodes' gradients, adds to those of the rows."""
+    if len(runs) * 12 < len(h):
+        for i, (node, a, b) in enumerate(runs):
+            grads[i], more = _softmax_gradient(u[node], h[a:b], column[a:b], scale)
+            back[a:b] += more
+        return
+    # few rows a node: all at once, each row with its own copy of the node's weights
+    nodes, begin = (np.array(x) for x in zip(*((node, a) for node, a, _ in runs), strict=True))
+    own = u[np.repeat(nodes, np.diff(np.r_[begin, len(h)]))]
+    p = np.matmul(h[:, None, :], own)[:, 0]
+    np.exp(np.minimum(p, 60, out=p), out=p)
+    p *= scale / p.sum(1, keepdims=True)
+    p[np.arange(len(p)), column] -= scale
+    back += np.matmul(own, p[:, :, None])[:, :, 0]
+    np.add.reduceat(h[:, :, None] * p[:, None, :], begin, axis=0, out=grads)
+
+
+class Adam:
+    """Adam, with moments for the rows that a step touches only."""
+
+    def __init__(self, w: Weights) -> None:
+        self.w, self.first, self.second = w, {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+        self.steps = 0
+
+    def step(self, g: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+        self.steps += 1
+        rate *= min(1.0, self.steps / 10)
+        a, b = np.float32(1 / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
+        for k, d in g.items():
+            rows, d = d if isinstance(d, tuple) else (slice(None), d)
+            m, v = self.first[k][rows], self.second[k][rows]
+            m = m + np.float32(0.1) * (d - m)
+            v = v + np.float32(0.01) * (d * d - v)
+            self.first[k][rows], self.second[k][rows] = m, v
+            v *= b
+            np.sqrt(v, out=v)
+            v += np.float32(1e-8)
+            m = m * (a * np.float32(rate))
+            m /= v
+            self.w[k][rows] -= m
+
+
 def train(w: Weights, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray, rate: float, batch: int = 96, seed: int = 0) -> Weights:
     """One pass of Adam over the windows; the weights given stay as they are."""
-    w = {k: v.copy() for k, v in w.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    adam = Adam({k: v.copy() for k, v in w.items()})
+    train_more(adam, inputs, targets, counts, rate, batch, seed)
+    return adam.w
+
+
+def train_more(adam: Adam, inputs: np.ndarray, targets: np.ndarray, counts: np.ndarray, rate: float, batch: int = 96, seed: int = 0) -> None:
+    """One pass over further windows, which changes the weights of `adam`."""
     order = np.random.default_rng(seed).permutation(len(inputs))
+    w = adam.w
     scale = np.float32(WIDTH**-0.5)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    for step, at in enumerate(range(0, len(order), batch), 1):
-        rows_ = order[at : at + batch]
+    for begin in range(0, len(order), batch):
+        rows_ = order[begin : begin + batch]
         inp, cnt = inputs[rows_], counts[rows_]
-        t = targets[rows_][cnt]
-        f = _forward(w, inp)
-        h = f["h"][cnt]
-        g: Weights = {}
-        dh_rows = np.zeros_like(h)
-        for i, rows, columns in _groups(t):
-            part = h if i == 0 else h[rows]
-            p = part @ w[f"U{i}"] + w[f"b{i}"]
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), columns] -= 1
-            p /= np.float32(len(t))
-            g[f"U{i}"], g[f"b{i}"] = part.T @ p, p.sum(0)
-            dh_rows[rows] += p @ w[f"U{i}"].T
-        dh = np.zeros_like(f["h"])
-        dh[cnt] = dh_rows
-        du = (dh @ w["W2"].T) * (f["r"] > 0)
-        g["W2"], g["W1"], g["c1"] = flat(f["r"]).T @ flat(dh), flat(f["y"]).T @ flat(du), flat(du).sum(0)
+        wanted = np.flatnonzero(cnt)
+        t = targets[rows_].ravel()[wanted]
+        n = len(inp)
+        # forward
+        x = (w["E"][inp] + w["P"]).reshape(-1, WIDTH)
+        qkv = (x @ w["Wqkv"]).reshape(n, WINDOW, 3 * WIDTH)
+        q, k, v = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+        s = q @ k.transpose(0, 2, 1)
+        s *= scale
+        if s.max() > 60:
+            np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        s *= _SEEN
+        s /= s.sum(2, keepdims=True)
+        z = (s @ v).reshape(-1, WIDTH)
+        y = x + z @ w["Wo"]
+        r = y @ w["W1"]
+        r += w["c1"]
+        np.maximum(r, 0, out=r)
+        h = np.ones((len(wanted), WIDTH + 1), np.float32)
+        h[:, :WIDTH] = (y + r @ w["W2"])[wanted]
+        # softmaxes
+        even = np.float32(1 / len(t))
+        head, rest, branch, twig, leaf = tree_place(t)
+        own, dh_rows = _softmax_gradient(w["U0"][0], h, head, even)
+        g: dict = {"U0": own[None]}
+        if len(rest):
+            order_, runs = _by_node(twig)
+            rest = rest[order_]
+            part, back = h[rest], np.zeros((len(rest), WIDTH + 1), np.float32)
+            for name, column, runs_ in (("U1", (twig % FAN)[order_], _by_node(branch[order_])[1]), ("U2", leaf[order_], runs)):
+                u = w[name]
+                grads = np.empty((len(runs_), *u.shape[1:]), np.float32)
+                _node_gradients(u, part, column, runs_, even, grads, back)
+                g[name] = (np.array([node for node, *_ in runs_]), grads)
+            dh_rows[rest] += back
+        # backward
+        dh = np.zeros_like(y)
+        dh[wanted] = dh_rows[:, :WIDTH]
+        du = dh @ w["W2"].T
+        du *= r > 0
+        g["W2"], g["W1"], g["c1"] = r.T @ dh, y.T @ du, du.sum(0)
         dy = dh + du @ w["W1"].T
-        g["Wo"] = flat(f["z"]).T @ flat(dy)
-        dz = dy @ w["Wo"].T
-        da, dv = dz @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dz
-        ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True)) * scale
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        x = flat(f["x"]).T
-        g["Wq"], g["Wk"], g["Wv"] = x @ flat(dq), x @ flat(dk), x @ flat(dv)
-        dx = dy + dq @ w["Wq"].T + dk @ w["Wk"].T + dv @ w["Wv"].T
-        g["P"] = dx.sum(0)
-        g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], inp.ravel(), flat(dx))
-        now = rate * min(1.0, step / 10)
-        for k, d in g.items():
-            first[k] += np.float32(0.1) * (d - first[k])
-            second[k] += np.float32(0.01) * (d * d - second[k])
-            w[k] -= np.float32(now) * (first[k] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-    return w
+        g["Wo"] = z.T @ dy
+        dz = (dy @ w["Wo"].T).reshape(n, WINDOW, WIDTH)
+        dqkv = np.empty((n, WINDOW, 3 * WIDTH), np.float32)
+        dqkv[:, :, 2 * WIDTH :] = s.transpose(0, 2, 1) @ dz
+        ds = dz @ v.transpose(0, 2, 1)
+        ds -= (dz * z.reshape(n, WINDOW, WIDTH)).sum(2, keepdims=True)
+        ds *= s
+        ds *= scale
+        dqkv[:, :, :WIDTH] = ds @ k
+        dqkv[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
+        dqkv = dqkv.reshape(-1, 3 * WIDTH)
+        g["Wqkv"] = x.T @ dqkv
+        dy += dqkv @ w["Wqkv"].T
+        g["P"] = dy.reshape(n, WINDOW, WIDTH).sum(0)
+        place = np.argsort(inp.ravel(), kind="stable")
+        sorted_ = inp.ravel()[place]
+        cuts = np.flatnonzero(np.diff(sorted_.astype(np.int64), prepend=-1))
+        g["E"] = (sorted_[cuts], np.add.reduceat(dy[place], cuts, axis=0))
+        adam.step(g, rate)
 
 
-def pack_weights(w: Weights) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in sorted(w)])
+def flatten(w: Weights) -> np.ndarray:
+    """All weights in rows of WIDTH."""
+    flat = np.concatenate([w[k].ravel() for k in sorted(w)])
+    return np.r_[flat, np.zeros(-len(flat) % WIDTH, np.float32)].reshape(-1, WIDTH)
 
 
-def unpack_weights(flat: np.ndarray, like: Weights) -> Weights:
-    out, at = {}, 0
+def unflatten(rows: np.ndarray, like: Weights) -> Weights:
+    out, at, flat = {}, 0, rows.ravel()
     for k in sorted(like):
         out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
         at += like[k].size
     return out
+
+
+def pack_changes(change: np.ndarray) -> bytes:
+    """The rows that aren't zero: how many, their numbers, their values."""
+    has = np.flatnonzero(change.any(1))
+    return np.array([len(has)], "<i4").tobytes() + has.astype("<i4").tobytes() + change[has].astype("<f4").tobytes()
+
+
+def add_changes(total: np.ndarray, packed: bytes, times: float) -> None:
+    n = int(np.frombuffer(packed, "<i4", 1)[0])
+    rows = np.frombuffer(packed, "<i4", n, 4)
+    total[rows] += times * np.frombuffer(packed, "<f4", n * WIDTH, 4 + 4 * n).reshape(n, WIDTH)

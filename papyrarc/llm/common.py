@@ -29,15 +29,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder (a folder for each value of `by`, a column of few values) and read it back.
 
     This cuts lineage so that a lost executor costs a re-read, not a re-run, and keeps
     what several later jobs need from being computed again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

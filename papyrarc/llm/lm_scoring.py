@@ -13,10 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .attention import CUTS, END, Scorer, Weights, bigram_weights, pack_weights, start_weights, train, unpack_weights, windows
+from .attention import END, HEAD, Adam, Scorer, Weights, add_changes, bigram_weights, flatten, pack_changes, start_weights, train_more, tree_place, unflatten, windows
 from .common import crc_mod, drop_scratch, materialise, table
 
-TAIL = CUTS[-1]
 DICTIONARY, LONGEST = 200_000, 64  # words that every task knows: at most so many of at most so many bytes
 CHUNK_WORDS = 60_000
 FLUSH = 400_000
@@ -70,28 +69,20 @@ def _count_pieces(model_file: str):
 
 
 class Ranks:
-    """Subword ids by falling frequency: END, the first ranks, and a tail that is shared out by counts."""
-
-    def __init__(self, pieces: np.ndarray, counts: np.ndarray, n_pieces: int, n_docs: int) -> None:
-        order = np.lexsort((pieces, -counts))
-        pieces, counts = pieces[order], counts[order]
-        own = pieces[: TAIL - 1]
-        self.rank = np.full(n_pieces, TAIL, np.uint16)
-        self.rank[own] = np.arange(1, len(own) + 1)
-        rest = np.zeros(n_pieces)
-        rest[pieces[TAIL - 1 :]] = counts[TAIL - 1 :]
-        in_tail = self.rank == TAIL
-        self.tail_log = np.where(in_tail, np.log10((rest + 1) / (rest.sum() + max(1, in_tail.sum()))), 0.0)
-        mass = np.full(TAIL + 1, 0.5)
-        mass[END] += n_docs
-        mass[1 : len(own) + 1] += counts[: TAIL - 1]
-        mass[TAIL] += rest.sum()
-        self.log_counts = np.log(mass)
+    """Ranks of all subword ids: END, the most frequent ones by falling frequency, then all others by their letters, so that neighbours in the softmax's tree begin alike."""
 
+    def __init__(self, names: list[str], counts: np.ndarray, n_docs: int) -> None:
+        order = np.lexsort((np.arange(len(names)), -counts))
+        own = order[: HEAD - 1]
+        others = sorted(order[HEAD - 1 :].tolist(), key=names.__getitem__)
+        order = np.r_[own, np.array(others, np.int64)]
+        self.rank = np.empty(len(names), np.int64)
+        self.rank[order] = np.arange(1, len(names) + 1)
+        self.mass = np.r_[float(n_docs), counts[order]] + 0.5
 
 
 class WordTable:
-    """Words by number: where their ranks lie in a pool, their tail terms, and log10 of their share in the lexicon (nan if not in it).
+    """Words by number: where their ranks lie in a pool, and log10 of their share in the lexicon (nan if not in it).
 
     Number 0 is the end of a text. A table starts with the lexicon's words and learns others, which it forgets when they grow too many.
     """
@@ -99,27 +90,26 @@ class WordTable:
     def __init__(self, lib, ranks: Ranks, lexicon: list[bytes] = (), logs: np.ndarray | None = None, end_log: float = np.nan) -> None:
         self.lib, self.ranks = lib, ranks
         self.at: dict[bytes, int] = {}
-        self.pool = np.array([END], np.uint16)
-        self.starts, self.sizes, self.tails, self.logs = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1), np.array([end_log])
+        self.pool = np.array([END], np.int32)
+        self.starts, self.sizes, self.logs = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([end_log])
         if len(lexicon):
             self._learn(list(lexicon), logs)
-        self.first = (dict(self.at), self.pool, self.starts, self.sizes, self.tails, self.logs)
+        self.first = (dict(self.at), self.pool, self.starts, self.sizes, self.logs)
 
     def _learn(self, words: list[bytes], logs: np.ndarray | None = None) -> None:
         ids = self.lib.encode([w.decode() for w in words], num_threads=1)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum()))
-        tails = np.bincount(np.repeat(np.arange(len(ids)), sizes), weights=self.ranks.tail_log[flat], minlength=len(ids))
         self.at.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
         self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(sizes) - sizes]
-        self.pool = np.r_[self.pool, self.ranks.rank[flat]]
-        self.sizes, self.tails = np.r_[self.sizes, sizes], np.r_[self.tails, tails]
+        self.pool = np.r_[self.pool, self.ranks.rank[flat].astype(np.int32)]
+        self.sizes = np.r_[self.sizes, sizes]
         self.logs = np.r_[self.logs, np.full(len(words), np.nan) if logs is None else logs]
 
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
         """Numbers of all texts' words, each text closed by 0."""
         if len(self.at) > FLUSH + DICTIONARY:
-            at, self.pool, self.starts, self.sizes, self.tails, self.logs = self.first
+            at, self.pool, self.starts, self.sizes, self.logs = self.first
             self.at = dict(at)
         at = self.at
         new = [w for w in set().union(*map(set, texts)) if w not in at]
@@ -157,78 +147,93 @@ def _chunks(column: pa.Array) -> Iterator[list[list[bytes]]]:
         yield texts
 
 
-def _count_pairs(model_file: str, ranks):
+def _count_pairs(model_file: str, shared, outputs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TAIL + 1) ** 2, np.int64)
-        known = WordTable(_pieces(model_file), ranks.value)
+        ranks = shared.value
+        total = np.zeros(len(ranks.mass) * outputs, np.int64)
+        known = WordTable(_pieces(model_file), ranks)
         for batch in batches:
             for texts in _chunks(batch.column(0)):
                 flat, *_ = _laid_out(known, texts)
-                total += np.bincount(np.r_[END, flat[:-1]] * (TAIL + 1) + flat, minlength=len(total))
+                np.add.at(total, np.r_[END, flat[:-1]] * outputs + tree_place(flat)[0], 1)
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], names=["pair", "n"])
 
     return run
 
 
+_CHANGES = "trainer long, n double, change binary"
+
+
+def _changes(trainer: int, n: float, change: bytes) -> pa.Table:
+    return pa.table({"trainer": pa.array([trainer], pa.int64()), "n": pa.array([n]), "change": pa.array([change], pa.binary())})
+
+
 def _trainer(model_file: str, shared, round_: int, rate: float):
     def run(group: pa.Table) -> pa.Table:
         weights, ranks = shared.value
-        flat, starts, *_ = _laid_out(WordTable(_pieces(model_file), ranks), [words_of(t) for t in group["text"].to_pylist()])
-        inputs, targets, counts, _ = windows(flat, starts)
-        after = train(weights, inputs, targets, counts, rate, seed=round_)
-        return pa.table({"trainer": pa.array([group["trainer"][0].as_py()], pa.int64()), "n": pa.array([float(counts.sum())]), "weights": pa.array([pack_weights(after).tobytes()], pa.binary())})
+        words, adam, n = WordTable(_pieces(model_file), ranks), Adam({k: v.copy() for k, v in weights.items()}), 0
+        for chunk in group["text"].chunks:
+            for texts in _chunks(chunk):
+                flat, starts, *_ = _laid_out(words, texts)
+                inputs, targets, counts, _ = windows(flat, starts)
+                train_more(adam, inputs, targets, counts, rate, seed=round_)
+                n += len(flat)
+        return _changes(group["trainer"][0].as_py(), float(n), pack_changes(flatten(adam.w) - flatten(weights)))
 
     return run
 
 
-def _mean(group: pa.Table) -> pa.Table:
-    n = group["n"].to_numpy()
-    flat = sum(w * np.frombuffer(x, np.float32).astype(np.float64) for w, x in zip(n, group["weights"].to_pylist(), strict=True)) / n.sum()
-    return pa.table({"trainer": pa.array([group["group"][0].as_py()], pa.int64()), "n": pa.array([float(n.sum())]), "weights": pa.array([flat.astype(np.float32).tobytes()], pa.binary())})
+def _mean(n_rows: int, width: int):
+    def run(group: pa.Table) -> pa.Table:
+        total, n = np.zeros((n_rows, width)), group["n"].to_numpy()
+        for own, change in zip(n.tolist(), group["change"], strict=True):
+            add_changes(total, change.as_py(), own / n.sum())
+        return _changes(group["group"][0].as_py(), float(n.sum()), pack_changes(total))
+
+    return run
 
 
-def train_attention(docs: DataFrame, model_file: str, ranks: Ranks, n_docs: int, text_col: str = "text", per_trainer: int = 1000, rounds: int = 4, rate: float = 0.015, fan_in: int = 32) -> Weights:
+def train_attention(docs: DataFrame, model_file: str, ranks: Ranks, n_docs: int, text_col: str = "text", per_trainer: int = 4000, rounds: int = 4, rate: float = 0.02, fan_in: int = 16) -> Weights:
     """Train on all n documents, each once.
 
-    The weights start from a bigram model of all documents, whose counts are summed over all tasks (at most the square of
-    the number of ranks). Each round deals its part to trainers of about per_trainer / rounds documents, which all start
-    from the same weights; their results are averaged by number of tokens, fan_in at a time, until one is left. Rows are
-    dealt by number, not by id, so that null and repeated ids are spread evenly.
+    The weights start from a bigram model of all documents, whose counts are summed over all tasks: at most one for each
+    subword and output of the softmax's head. Each round deals its part to trainers of about per_trainer / rounds documents, which all start
+    from the same weights; their changes are averaged by number of tokens, fan_in at a time, until one is left. Rows are
+    dealt by number, not by id, so that null and repeated ids are spread evenly. Null and empty texts teach the end of a text
+    alone; repeated rows count as often as they occur; without rows the weights that the counts give are returned.
     """
-    weights = start_weights(ranks.log_counts)
+    weights = start_weights(ranks.mass)
     spark = docs.sparkSession
     trainers = max(1, math.ceil(n_docs / per_trainer))
     at = F.xxhash64("row")
     chosen = materialise(
         docs.select(F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-        .select("text", F.pmod(at, F.lit(trainers)).alias("trainer"), F.pmod(F.shiftrightunsigned(at, 32), F.lit(rounds)).alias("round")),
-        "training",
+        .select("text", F.pmod(at, F.lit(trainers)).alias("trainer"), F.pmod(F.shiftrightunsigned(at, 32), F.lit(rounds)).cast("int").alias("round")),
+        "training", "round",
     )
-    counted = chosen.select("text").mapInArrow(_count_pairs(model_file, spark.sparkContext.broadcast(ranks)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros((TAIL + 1) ** 2)
+    outputs = weights["U0"].shape[2]
+    counted = chosen.select("text").mapInArrow(_count_pairs(model_file, spark.sparkContext.broadcast(ranks), outputs), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(len(ranks.mass) * outputs)
     pairs[counted["pair"].to_numpy()] = counted["n"].to_numpy()
-    weights = bigram_weights(weights, pairs.reshape(TAIL + 1, TAIL + 1))
-    schema = "trainer long, n double, weights binary"
+    weights = bigram_weights(weights, pairs.reshape(-1, outputs))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((weights, ranks))
-        state = chosen.where(F.col("round") == r).groupBy("trainer").applyInArrow(_trainer(model_file, shared, r, rate * (1 - 0.8 * r / rounds)), schema)
+        state = chosen.where(F.col("round") == r).select("trainer", "text").groupBy("trainer").applyInArrow(_trainer(model_file, shared, r, rate * (1 - 0.85 * r / rounds)), _CHANGES)
+        flat = flatten(weights).astype(np.float64)
         left = trainers
         while left > 1:
             left = -(-left // fan_in)
-            state = state.withColumn("group", F.pmod("trainer", F.lit(left))).groupBy("group").applyInArrow(_mean, schema)
-        rows = state.collect()  # one row
-        if rows:
-            weights = unpack_weights(np.frombuffer(rows[0]["weights"], np.float32), weights)
+            state = state.withColumn("group", F.pmod("trainer", F.lit(left))).groupBy("group").applyInArrow(_mean(*flat.shape), _CHANGES)
+        for row in state.collect():  # one row
+            add_changes(flat, row["change"], 1.0)
+        weights = unflatten(flat, weights)
     drop_scratch(chosen)
     return weights
 
 
-_LN10 = math.log(10)
-
-
-def _score(model_file: str, shared, denominator: float, lexicon_share: float):
-    """Two kinds of rows: a text's scores over the words of the dictionary, and each other word with its weighted attention score."""
+def _score(model_file: str, shared, denominator: float):
+    """Two kinds of rows: a text's score, with its base over the words of the dictionary, and how often it has each other word."""
     names = ["row", "id", "held_out", "word", "n", "known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,45 +246,52 @@ def _score(model_file: str, shared, denominator: float, lexicon_share: float):
                 k = len(texts)
                 flat, starts, numbers, sizes, ends = _laid_out(known, texts)
                 inputs, targets, counts, _ = windows(flat, starts)
-                attention = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=scorer.log10_probabilities(inputs, targets, counts), minlength=len(sizes)) + known.tails[numbers]
+                score = np.add.reduceat(scorer.log10_probabilities(inputs, targets, counts), starts[:-1])
                 value = known.logs[numbers]
                 in_lexicon = ~np.isnan(value)
-                own = attention + math.log10(1 - lexicon_share)
-                mixed = np.where(in_lexicon, np.logaddexp((np.nan_to_num(value) + math.log10(lexicon_share)) * _LN10, own * _LN10) / _LN10, 0.0)
                 begin = ends - np.diff(np.r_[0, ends])
                 base = np.add.reduceat(np.nan_to_num(value), begin)
-                score = np.add.reduceat(mixed, begin)
                 found = np.add.reduceat(in_lexicon.astype(np.int64), begin) - (end_count == 0)
-                # the words that aren't in the lexicon, each where it stands
-                missing = np.flatnonzero(~in_lexicon)
-                text_of = np.searchsorted(ends, missing, "right")
-                place = missing - begin[text_of]
                 keys = [batch.column(c).slice(at, k) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*keys, pa.nulls(k, pa.binary()), pa.array(ends - begin, pa.int64()), pa.array(found, pa.int64()), pa.array(base), pa.array(score)], names=names)
-                m = len(missing)
-                rare = [texts[i][p] for i, p in zip(text_of.tolist(), place.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([keys[0].take(pa.array(text_of)), pa.nulls(m, keys[1].type), pa.nulls(m, pa.bool_()), pa.array(rare, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(own[missing])], names=names)
+                # the words that aren't in the lexicon
+                missing = np.flatnonzero(~in_lexicon)
+                text_of = np.searchsorted(ends, missing, "right")
+                rare = Counter((i, texts[i][p]) for i, p in zip(text_of.tolist(), (missing - begin[text_of]).tolist(), strict=True))
+                m = len(rare)
+                own = keys[0].take(pa.array([i for i, _ in rare], pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, pa.nulls(m, keys[1].type), pa.nulls(m, pa.bool_()), pa.array([w for _, w in rare], pa.binary()), pa.array(rare.values(), pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
                 at += k
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out, model_file: str, id_col: str = "doc_id", text_col: str = "text", lexicon_share: float = 0.25, **training) -> DataFrame:
+def _common(words: DataFrame) -> pa.Table:
+    """The words of the highest counts: as many classes of counts, an eighth of a doubling each, as together hold DICTIONARY words at most."""
+    short = words.where(F.col("word").isNotNull() & (F.octet_length("word") <= LONGEST)).withColumn("class", F.floor(8 * F.log2("n")).cast("int"))
+    held, least = 0, None
+    for row in short.groupBy("class").count().orderBy(F.desc("class")).collect():  # at most 8 * 63 classes
+        held += row["count"]
+        if held > DICTIONARY:
+            break
+        least = row["class"]
+    return short.where(F.col("class") >= F.lit(least).cast("int")).select("word", "n").toArrow()
+
+
+def score_texts(docs: DataFrame, held_out, model_file: str, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """Score whole texts by an attention model and by word counts, both learned from rows that are not held out.
 
     Returns (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Words are counted over all training texts. Every task knows the most frequent ones (a dictionary bounded in number and
     length); a text's other words go through a join with the whole table of counts, so that the dictionary is only a
-    cache and its bounds change no result. Subword counts over the whole
-    corpus order the model's vocabulary and share out its tail; the attention model is trained by `train_attention`. A text
-    is scored in overlapping windows, each token once. The model's probability of a word is that of its subwords under
-    attention, mixed with its share of the corpus at a weight of lexicon_share; a word that no training text has gets
-    the attention's part alone.
+    cache and its bounds change no result. The attention model is trained by `train_attention` over all training texts and gives every
+    subword of the vocabulary a probability of its own. A text is scored in overlapping windows, each token once; its score is
+    the sum of log10 of the model's probabilities of its subwords and of its end.
 
     Null and empty texts have the closing token alone. Rows for which `held_out` is null (a null id) count as training rows. Repeated ids keep
-    their rows; other columns are ignored; an empty table gives an empty result, and with no training rows
-    all tokens are unknown.
+    their rows; other columns are ignored; an empty table gives an empty result. With no training rows
+    all tokens are unknown, base_score is 0 and the model is the one that training starts from, so that scores stay finite.
     """
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
@@ -287,30 +299,31 @@ def score_texts(docs: DataFrame, held_out, model_file: str, id_col: str = "doc_i
     words = materialise(docs.where(~held).select(text).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, distinct, n_docs = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     got = words.where("word is not null").mapInArrow(_count_pieces(model_file), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-    ranks = Ranks(got["piece"].to_numpy(), got["n"].to_numpy(), _pieces(model_file).get_piece_size(), n_docs)
-    common = words.where((F.col("word").isNotNull()) & (F.octet_length("word") <= LONGEST)).orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
+    lib = _pieces(model_file)
+    counts = np.zeros(lib.get_piece_size())
+    counts[got["piece"].to_numpy()] = got["n"].to_numpy()
+    ranks = Ranks([lib.id_to_piece(i) for i in range(len(counts))], counts, n_docs)
+    common = _common(words)
     weights = train_attention(docs.where(~held), model_file, ranks, n_docs, text_col, **training)
     denominator = float(total + distinct + 1)
     shared = spark.sparkContext.broadcast((weights, ranks, common["word"].to_pylist(), common["n"].to_numpy().astype(np.float64), n_docs))
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held.alias("held_out"), text)
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = numbered.mapInArrow(_score(model_file, shared, denominator, lexicon_share), f"row long, id {kind}, held_out boolean, word binary, n long, known long, base double, score double")
+    scored = numbered.mapInArrow(_score(model_file, shared, denominator), f"row long, id {kind}, held_out boolean, word binary, n long, known long, base double, score double")
     scored = materialise(scored, "scored")
-    rare = scored.where("word is not null").select("row", "word", F.col("score").alias("own"))
+    rare = scored.where("word is not null").select("row", "word", "n")
     count = F.coalesce(F.col("c"), F.lit(0))
-    share = (count + 1) / F.lit(denominator)
-    mixed = F.when(count > 0, F.log10(share * lexicon_share + F.pow(F.lit(10.0), "own"))).otherwise(F.col("own"))
     others = (
         rare.join(words.where("word is not null").select("word", F.col("n").alias("c")), "word", "left")
         .groupBy("row")
-        .agg(F.sum(F.log10(share)).alias("more_base"), F.sum((count > 0).cast("long")).alias("more_known"), F.sum(mixed).alias("more_score"))
+        .agg(F.sum(F.col("n") * F.log10((count + 1) / F.lit(denominator))).alias("more_base"), F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("more_known"))
     )
     return (
         scored.where("word is null").join(others, "row", "left")
         .select(
             F.col("id").alias(id_col), "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+            F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
         )
     )
 

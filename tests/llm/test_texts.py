@@ -11,9 +11,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from papyrarc.llm import language_id, licenses, lm_scoring, packing, pieces, toxicity
-from papyrarc.llm.attention import CUTS, Scorer, start_weights, train, windows
+from papyrarc.llm.attention import WIDTH, Scorer, add_changes, flatten, pack_changes, start_weights, train, unflatten, windows
 from papyrarc.llm.common import crc_mod
 from papyrarc.llm.queries import QUERIES, SQL
 
@@ -223,12 +224,14 @@ def test_windows_score_each_token_once():
 
 def test_attention_is_causal_and_normalised():
     rng = np.random.default_rng(0)
-    w = start_weights(np.zeros(CUTS[-1] + 1))
+    n = 2500  # ranks in the head, in whole branches and in one that isn't full
+    w = start_weights(np.ones(n))
     flat = rng.integers(1, 40, 400)
+    flat[::7] = rng.integers(40, n, len(flat[::7]))
     inputs, targets, counts, _ = windows(flat, np.array([0, 400]))
     w = train(w, inputs, targets, counts, 0.02)
     scorer = Scorer(w)
-    total = sum(10 ** scorer.log10_probabilities(inputs[:1], np.full_like(targets[:1], r), counts[:1])[7] for r in range(CUTS[-1] + 1))
+    total = sum(10 ** scorer.log10_probabilities(inputs[:1], np.full_like(targets[:1], r), counts[:1])[7] for r in range(n))
     assert abs(total - 1) < 1e-4
     changed = inputs[:1].copy()
     changed[0, 20:] = 3
@@ -240,13 +243,52 @@ def test_training_gradients():
     """A pass of training lowers the loss on text with structure."""
     flat = np.tile([5, 9, 2, 7], 500)
     inputs, targets, counts, _ = windows(flat, np.array([0, 2000]))
-    w = start_weights(np.zeros(CUTS[-1] + 1))
+    w = start_weights(np.ones(1025))
     before = Scorer(w).log10_probabilities(inputs, targets, counts).mean()
     for i in range(6):
         w = train(w, inputs, targets, counts, 0.03, batch=16, seed=i)
     assert Scorer(w).log10_probabilities(inputs, targets, counts).mean() > before / 3
 
 
+def test_scores_without_training_rows(odd_docs):
+    out = lm_scoring.score_texts(odd_docs, F.lit(True), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(out) == odd_docs.count() and all(math.isfinite(r.score) and r.score < 0 for r in out)
+    assert {(r.n_known, r.train_tokens, r.base_score) for r in out} == {(0, 0, 0.0)}
+
+
+def test_gradients_by_differences():
+    """A step of training goes down the slope that small changes of the weights show, in every weight and at every level of the softmax."""
+    rng = np.random.default_rng(4)
+    flat = np.r_[rng.integers(1, 100, 60), rng.integers(100, 1500, 60), 0]
+    inputs, targets, counts, _ = windows(flat, np.array([0, len(flat)]))
+    w = start_weights(np.ones(1500), seed=3)
+    loss = lambda v: -Scorer(v).log10_probabilities(inputs, targets, counts).sum()
+    after = train(w, inputs, targets, counts, 1e-2, batch=len(inputs))  # Adam's first step has the sign of the gradient
+    step = flatten(after) - flatten(w)
+    for key in w:
+        only = w | {key: after[key]}
+        assert loss(only) < loss(w), key
+    assert loss(after) < loss(w) and np.allclose(flatten(unflatten(flatten(w) + step, w)), flatten(after), atol=1e-6)
+
+
+def test_changes_add_up():
+    rng = np.random.default_rng(6)
+    total, want = np.zeros((50, WIDTH)), np.zeros((50, WIDTH))
+    for times in (0.25, 0.75):
+        change = np.where(rng.random((50, 1)) < 0.3, rng.standard_normal((50, WIDTH)), 0).astype(np.float32)
+        add_changes(total, pack_changes(change), times)
+        want += times * change
+    assert np.allclose(total, want)
+
+
+def test_attention_beats_word_counts_on_held_out_texts(spark):
+    """On given tables the attention model alone gives held-out texts a higher probability than word counts do."""
+    docs = docs_of(spark, "/root/testdata/sf0.01")
+    out = lm_scoring.score_texts(docs, crc_mod("doc_id", 7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
+    base, score = out.where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert score > base
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_equal_sql(name, spark, sf_dir, duck):
     from compare import rows
