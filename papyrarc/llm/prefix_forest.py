@@ -27,11 +27,16 @@ def hash_strings(x: np.ndarray, trees: int, seed: int) -> np.ndarray:
     return out
 
 
+def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of rows with one vector; each row is summed by itself, so that equal rows get equal values wherever they stand."""
+    return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
+
+
 class PrefixForest:
-    """For each tree the rows in order of their hash strings, which is a trie laid flat."""
+    """For each tree the rows in order of their hash strings, which is a trie laid flat. `x` are unit vectors, `raw` those that were given."""
 
-    def __init__(self, x: np.ndarray, trees: int, seed: int) -> None:
-        self.x, self.trees, self.seed = x, trees, seed
+    def __init__(self, x: np.ndarray, raw: np.ndarray, trees: int, seed: int) -> None:
+        self.x, self.raw, self.trees, self.seed = x, raw, trees, seed
         strings = hash_strings(x, trees, seed)
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, 1)
@@ -49,9 +54,12 @@ class PrefixForest:
                 high[depth, t] = np.searchsorted(self.sorted[t], begin | rest, "right")
         return low, high
 
-    def search(self, q: np.ndarray, q_key: np.ndarray, key: np.ndarray, ids: np.ndarray, candidates: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(self, q: np.ndarray, raw_q: np.ndarray, q_key: np.ndarray, key: np.ndarray, ids: np.ndarray, candidates: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the rows (and cosines) of its k nearest candidates, ties to the smaller id.
 
+        One product of matrices tells which candidates can be among the k nearest, with a margin far above its rounding;
+        these are ranked by `cosines` of the vectors that were given.
+
         Descent finds the longest prefix that each tree shares with the query. All trees then ascend together, a
         bit at a time, and rows join until there are `candidates` different ones.
         """
@@ -74,8 +82,8 @@ class PrefixForest:
             cos = self.x[rows] @ q[i]
             if len(rows) > k:
                 worst = np.partition(cos, len(cos) - k)[len(cos) - k]
-                near = cos >= worst - 1e-12
-                rows, cos = rows[near], cos[near]
+                rows = rows[cos >= worst - 1e-9]
+            cos = cosines(self.raw[rows], raw_q[i])
             best = np.lexsort((ids[rows], -cos))[:k]
             out.append((rows[best], cos[best]))
         return out
@@ -111,13 +119,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
             x = unit_rows(group["vector"])
             raw = np.asarray(group["vector"].combine_chunks().flatten(), np.float64).reshape(len(x), -1)
             base, query = side == 0, side == 1
-            forest = PrefixForest(x[base], trees, seed)
-            got = forest.search(x[query], key[query], key[base], ids[base], max(k + 1, int(candidates * base.sum())), k)
-            lists = []
-            for q, (rows_, _) in zip(raw[query], got, strict=True):
-                v = raw[base][rows_] if len(rows_) else raw[:0]
-                score = (v @ q) / (np.linalg.norm(v, axis=1) * np.linalg.norm(q))
-                lists.append([{"score": s, "vec_id": i} for s, i in zip(score.tolist(), ids[base][rows_].tolist(), strict=True)])
+            # scaled so that squares neither overflow nor vanish, by a power of two, which changes no digit
+            raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])
+            own = ids[base]
+            forest = PrefixForest(x[base], raw[base], trees, seed)
+            got = forest.search(x[query], raw[query], key[query], key[base], own, max(k + 1, int(candidates * base.sum())), k)
+            lists = [[{"score": s, "vec_id": i} for s, i in zip(cos.tolist(), own[rows_].tolist(), strict=True)] for rows_, cos in got]
             yield pa.RecordBatch.from_arrays([pa.array(key[query]), pa.array(ids[query]), pa.array(lists, schema.field("found").type)], schema=schema)
 
     work = as_rows.unionByName(as_queries).repartition(parts, "size", "ti", "tj").sortWithinPartitions("size", "ti", "tj")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from papyrarc.llm import warc
 from papyrarc.llm.covertree import build, pairs_within
 from papyrarc.llm.embedding_dedup import near_vectors
-from papyrarc.llm.prefix_forest import nearest
+from papyrarc.llm.prefix_forest import PrefixForest, cosines, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, id string, key string"
 
@@ -112,6 +112,22 @@ def test_exact_neighbours_when_all_rows_are_candidates(spark):
         assert [(-round(r.score, 9), r.vec_id) for r in sorted(out, key=lambda r: r.rank) if r.query_id == q[0]] == truth
 
 
+def test_ties_go_to_the_smaller_id():
+    """A quarter of the rows are exact copies; among equal cosines the smaller ids win, whatever a product of matrices rounds to."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        raw = rng.standard_normal((200, 16))
+        raw[rng.permutation(200)[:50]] = rng.standard_normal(16)
+        raw[rng.permutation(200)[:20]] = rng.standard_normal(16)
+        ids = rng.permutation(1000)[:200]
+        x = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        forest = PrefixForest(x, raw, 8, 1)
+        for i, (rows, cos) in enumerate(forest.search(x[:40], raw[:40], np.arange(40), np.arange(200), ids, 200, 5)):
+            exact = cosines(raw, raw[i])
+            want = sorted((-exact[j], ids[j]) for j in range(200) if j != i)[:5]
+            assert [(-c, ids[j]) for c, j in zip(cos, rows, strict=True)] == want
+
+
 def test_archives(spark, tmp_path):
     pages = [(1, "http://e.com/a", "<p>x\r\n\r\nWARC/1.1</p>"), (2, "http://e.com/b?q", "<p>x\r\n\r\nWARC/1.1</p>"), (3, None, None), (4, "http://e.com/c", ""), (5, "http://e.com/é", "été"), (5, "http://e.com/é", "été"), (6, "http://e.com/d", "d"), (6, "http://e.com/e", "e"), (-7, "http://e.com/f", "d"), (None, "http://e.com/g", "d"), (8, "x", "y" * 300_000)]
     df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, digest string, key int").repartition(2)
