@@ -94,10 +94,16 @@ class PieceVocabulary:
         marked = SPACE + text.replace(" ", SPACE)
         return (_BY_LINE if self.line_break_alone else _BY_SPACE).findall(marked)
 
+    def raw(self, ids: list[str]) -> bytes:
+        """What ids given as decimal strings stand for."""
+        return b"".join(map(self.values.__getitem__, ids))
+
+    def text(self, raw: bytes, first: str) -> str:
+        """Text of what ids stand for, the first of which is given; the blank that encoding puts first is taken off."""
+        return (raw[1:] if raw[:1] == b" " and first != self._blank else raw).decode("utf-8", "replace")
+
     def decode(self, ids: list[str]) -> str:
-        """Text of ids given as decimal strings; the blank that encoding puts first is taken off."""
-        raw = b"".join(map(self.values.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " and ids[0] != self._blank else raw).decode("utf-8", "replace")
+        return self.text(self.raw(ids), ids[0]) if ids else ""
 
     @functools.cached_property
     def _blank(self) -> str:
@@ -108,33 +114,54 @@ _BY_LINE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _BY_SPACE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+class Known:
+    """A process's bounded memory of encoded chunks: their ids in decimal with commas, how many, and what these decode to; and the chunks on which the library differs."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, tuple[str, int, bytes]] = {}
+        self.differ: set[str] = set()
+
+    def learn(self, vocab: PieceVocabulary, new: list[str]) -> None:
+        """Encode and decode new chunks, and compare with the library; where it differs, its ids are taken."""
+        if len(self.ids) > CACHE_LIMIT:
+            self.ids.clear()
+            self.differ.clear()
+        ours = [vocab.merge(c) for c in new]
+        theirs = _library_ids(vocab, new)
+        texts = vocab.library.decode(theirs) if new else []
+        for c, a, b, text in zip(new, ours, theirs, texts, strict=True):
+            ids = list(map(str, b))
+            raw = vocab.raw(ids)
+            self.ids[c] = (",".join(ids), len(ids), raw)
+            if a != b or vocab.text(raw, ids[0]) != text:
+                self.differ.add(c)
+
+
 @functools.lru_cache(maxsize=2)
-def vocabulary(model_file: str) -> tuple[PieceVocabulary, dict[str, str]]:
-    """The vocabulary and this process's bounded memory of encoded chunks."""
-    return PieceVocabulary(model_file), {}
+def vocabulary(model_file: str) -> tuple[PieceVocabulary, Known]:
+    """The vocabulary and this process's memory of encoded chunks."""
+    return PieceVocabulary(model_file), Known()
 
 
 def _library_ids(vocab: PieceVocabulary, chunks: list[str]) -> list[list[int]]:
-    """The library's ids of chunks; it puts a space before each text, which is allowed for."""
-    lead = [c.startswith(SPACE) for c in chunks]
-    got = vocab.library.encode([c[1:] if s else "\n" + c for c, s in zip(chunks, lead, strict=True)], num_threads=1)
-    return [x if s else x[2:] for x, s in zip(got, lead, strict=True)]
+    """The library's ids of chunks; it puts a space before each text, which is allowed for, and gives no ids to an empty one."""
+    alone = {c: f"a{c.replace(SPACE, ' ')}" if c.startswith(SPACE) else f"\n{c}" for c in chunks if not c.startswith(SPACE) or c == SPACE}
+    before = {x: len(vocab.library.encode(x)) for x in ("a", "\n")}
+    got = vocab.library.encode([alone.get(c, c[1:]) for c in chunks], num_threads=1) if chunks else []
+    return [x[before[alone[c][0]] :] if c in alone else x for c, x in zip(chunks, got, strict=True)]
 
 
-def encode_texts(texts: list[str], vocab: PieceVocabulary, known: dict[str, str]) -> tuple[list[str], set[str]]:
-    """Ids of each text, in decimal with commas, and the chunks on which the library differs."""
+def encode_texts(texts: list[str], vocab: PieceVocabulary, known: Known) -> Iterator[tuple[str, int, str, bool]]:
+    """Of each text the ids in decimal with commas, how many, the text that they decode to, and whether the library has the same for all its parts."""
     parts = [vocab.chunks(t) for t in texts]
-    if len(known) > CACHE_LIMIT:
-        known.clear()
-    new = [c for c in set().union(*map(set, parts)) if c not in known]
-    ours = [vocab.merge(c) for c in new]
-    wrong: set[str] = set()
-    checked = [i for i, c in enumerate(new) if c != SPACE and (vocab.line_break_alone or c.startswith(SPACE))]
-    for i, theirs in zip(checked, _library_ids(vocab, [new[i] for i in checked]) if checked else [], strict=True):
-        if ours[i] != theirs:
-            wrong.add(new[i])
-    known.update(zip(new, (",".join(map(str, x)) for x in ours), strict=True))
-    return [",".join(map(known.__getitem__, p)) for p in parts], wrong
+    held, full = known.ids, len(known.ids) > CACHE_LIMIT
+    known.learn(vocab, [c for c in set().union(*map(set, parts)) if full or c not in held])
+    for chunks in parts:
+        if not chunks:
+            yield "", 0, "", True
+            continue
+        ids, counts, raws = zip(*map(held.__getitem__, chunks), strict=True)
+        yield ",".join(ids), sum(counts), vocab.text(b"".join(raws), ids[0].partition(",")[0]), not known.differ or known.differ.isdisjoint(chunks)
 
 
 def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -142,14 +169,13 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     Returns (id_col, n_tokens, ids_sha256, decoded_sha256, agrees) and, if asked, ids array<int> and decoded
     string. No piece crosses a space or line break, so texts are encoded part by part; distinct parts are
-    encoded once and compared with the library's ids for them; `agrees` is false if a text has a part for
-    which these differ. Null texts are taken as empty and give no ids. Null and repeated ids keep their
+    encoded and decoded once, and compared with the library's ids and text for them; `agrees` is false if a text has a part for
+    which these differ, and such a part gets the library's ids. Null texts are taken as empty and give no ids. Null and repeated ids keep their
     rows; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, known = vocabulary(model_file)
-        differ: set[str] = set()
         for batch in batches:
             n, at = batch.num_rows, 0
             while at < n:
@@ -158,21 +184,17 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 while at + len(texts) < n and size < 4_000_000:
                     texts.append(batch.column(1)[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
-                joined, wrong = encode_texts(texts, vocab, known)
-                differ |= wrong
-                split = [j.split(",") if j else [] for j in joined]
-                decoded = [vocab.decode(s) if s else "" for s in split]
-                agrees = [not differ or differ.isdisjoint(vocab.chunks(t)) for t in texts]
+                joined, counts, decoded, agrees = map(list, zip(*encode_texts(texts, vocab, known), strict=True))
                 columns = [
                     batch.column(0).slice(at, len(texts)),
-                    pa.array([len(s) for s in split], pa.int64()),
+                    pa.array(counts, pa.int64()),
                     pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string()),
                     pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
                     pa.array(agrees, pa.bool_()),
                 ]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]
                 if with_ids:
-                    columns += [pa.array([list(map(int, s)) for s in split], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    columns += [pa.array([list(map(int, j.split(","))) if j else [] for j in joined], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(texts)
