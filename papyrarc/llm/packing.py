@@ -154,6 +154,54 @@ def _fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, f
     return len(fill), -float(np.mean((fill / capacity) ** 2)) if len(fill) else 0.0
 
 
+_POOL = 40
+
+
+def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity: int, rng: random.Random) -> list[int]:
+    """Make bins fuller by exchanging up to two of their items for up to two displaced ones; returns what is displaced then.
+
+    `child` gives each item's bin, -1 for those displaced, and is changed in place. At most _POOL displaced items are on offer at a time.
+    """
+    held: dict[int, list[int]] = {}
+    for i, b in enumerate(child):
+        if b >= 0:
+            held.setdefault(b, []).append(i)
+    size = sizes.tolist()
+    pool = displaced[:]
+    rng.shuffle(pool)
+    order = [b for b, own in held.items() if sum(size[i] for i in own) < capacity]
+    rng.shuffle(order)
+    offer: list[tuple[int, int, int]] = []
+    for b in order:
+        if not pool:
+            break
+        if not offer:
+            at = pool[:_POOL]
+            offer = sorted([(size[i], i, -1) for i in at] + [(size[i] + size[j], i, j) for k, i in enumerate(at) for j in at[:k] if size[i] + size[j] <= capacity])
+        own = held[b]
+        room = capacity - sum(size[i] for i in own)
+        most, best = 0, None
+        for out in [(), *((i,) for i in own), *((i, j) for k, i in enumerate(own[:12]) for j in own[:k])]:
+            given = sum(size[i] for i in out)
+            k = bisect_left(offer, (room + given + 1, -1, -1)) - 1
+            if k >= 0 and offer[k][0] - given > most:
+                most, best = offer[k][0] - given, (out, offer[k][1:])
+                if most == room:
+                    break
+        if best is None:
+            continue
+        taken = {i for i in best[1] if i >= 0}
+        for i in best[0]:
+            child[i] = -1
+        for i in taken:
+            child[i] = b
+        held[b] = [*(i for i in own if i not in best[0]), *taken]
+        pool = [*(i for i in pool if i not in taken), *best[0]]
+        rng.shuffle(pool)
+        offer = []
+    return pool
+
+
 def crossover(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random, share: float = 0.15) -> np.ndarray:
     """Inject whole well-filled bins of `second` into `first`, drop the bins that then hold duplicates, and best-fit what was displaced."""
     fill = np.bincount(second, weights=sizes)
@@ -172,32 +220,97 @@ def crossover(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, capacity
     own, place = np.unique(second[injected], return_inverse=True)
     child[injected] = place + len(old)
     n = len(old) + len(own)
-    load = np.bincount(child[child >= 0], weights=sizes[child >= 0], minlength=n).astype(int)
+    return _settled(child.tolist(), displaced.tolist(), n, sizes, capacity, rng)
+
+
+def _settled(bins: list[int], displaced: list[int], n: int, sizes: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+    """Bins 0 to n - 1, refilled from the displaced items, and the rest put by best-fit, largest first."""
+    order = np.array(sorted(refilled(bins, displaced, sizes, capacity, rng), key=lambda i: -sizes[i]), np.int64)
+    placed = np.array(bins)
+    load = np.bincount(placed[placed >= 0], weights=sizes[placed >= 0], minlength=n).astype(int)
     room = sorted((capacity - x, b) for b, x in enumerate(load.tolist()) if x < capacity)
-    bins = child.tolist()
-    order = displaced[np.argsort(-sizes[displaced], kind="stable")].tolist()
-    best_fit(sizes.tolist(), order, room, bins, n, capacity)
+    best_fit(sizes.tolist(), order.tolist(), room, bins, n, capacity)
     return np.array(bins)
 
 
+def opened(bins: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+    """Open the lightest bin and a few others, and settle their items anew."""
+    fill = np.bincount(bins, weights=sizes)
+    used = np.flatnonzero(fill)
+    chosen = {int(used[fill[used].argmin()]), *rng.sample(used.tolist(), min(len(used), 4))}
+    displaced = np.flatnonzero(np.isin(bins, list(chosen)))
+    child = bins.copy()
+    child[displaced] = -1
+    return _settled(child.tolist(), displaced.tolist(), len(fill), sizes, capacity, rng)
+
+
+def emptied(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Empty the lightest bins: move their items where they fit, or exchange them for smaller items of bins with just enough room.
+
+    Every step makes the lightest bin lighter and another one fuller, until none is left that does.
+    """
+    bins = bins.copy()
+    while True:
+        fill = np.bincount(bins, weights=sizes).astype(np.int64)
+        used = np.flatnonzero(fill)
+        if len(used) < 2:
+            return bins
+        light = int(used[fill[used].argmin()])
+        if fill.sum() + capacity > capacity * len(used):  # the least possible number of bins
+            return bins
+        room = capacity - fill
+        room[fill == 0] = 0
+        room[light] = 0
+        while fill[light]:
+            own = np.flatnonzero(bins == light)
+            for i in own[np.argsort(-sizes[own], kind="stable")]:
+                fits = np.flatnonzero(room >= sizes[i])
+                if len(fits):
+                    to, gain, other = int(fits[room[fits].argmin()]), int(sizes[i]), -1
+                    break
+                gains = np.where((sizes < sizes[i]) & (sizes[i] - sizes <= room[bins]), sizes[i] - sizes, 0)
+                gains[own] = 0
+                other = int(gains.argmax())
+                to, gain = int(bins[other]), int(gains[other])
+                if gain:
+                    break
+            else:
+                return bins
+            bins[i] = to
+            if other >= 0:
+                bins[other] = light
+            fill[light] -= gain
+            room[to] -= gain
+
+
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int, keep: int) -> list[np.ndarray]:
-    """Best `keep` packings after some generations; stops early when the least possible number of bins is reached."""
+    """Best `keep` packings of an island: ends when `generations` in a row bring none that is better, or with the least possible number of bins.
+
+    Children come by turns from a crossover and from opening some bins; each has its lightest bins emptied as far as exchanges go.
+    """
     rng = random.Random(seed)
     listed = sizes.tolist()
     least = -(-int(sizes.sum()) // capacity)
+    population = list(population)
     while len(population) < keep:
         noise = np.array([rng.gauss(0, 0.05) for _ in listed]) if population or seed else 0.0
         order = np.argsort(-(sizes * (1 + noise)), kind="stable").tolist()
         bins = [0] * len(listed)
         best_fit(listed, order, [], bins, 0, capacity)
         population.append(np.array(bins))
-    ranked = sorted(((_fitness(p, sizes, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])
-    for g in range(generations):
-        if ranked[0][0][0] <= least or len(ranked) < 2:
+        if _fitness(population[-1], sizes, capacity)[0] <= least:
             break
+    ranked = sorted(((_fitness(p, sizes, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])
+    born, idle = len(population), 0
+    while idle < generations and ranked[0][0][0] > least and len(ranked) > 1:
         a, b = rng.sample(ranked[: max(2, keep)], 2)
-        child = crossover(a[2], b[2], sizes, capacity, rng)
-        ranked = sorted([*ranked, (_fitness(child, sizes, capacity), len(population) + g, child)], key=lambda x: x[:2])[:keep]
+        child = a[2] if born == len(population) else crossover(a[2], b[2], sizes, capacity, rng) if born % 2 else opened(a[2], sizes, capacity, rng)
+        child = emptied(child, sizes, capacity)
+        best = ranked[0][0]
+        fit = _fitness(child, sizes, capacity)
+        if all(fit != r[0] for r in ranked):  # equal ones would crowd out the others
+            ranked = sorted([*ranked, (fit, born, child)], key=lambda x: x[:2])[: max(2, keep)]
+        born, idle = born + 1, 0 if ranked[0][0] < best else idle + 1
     return [p for *_, p in ranked[:keep]]
 
 
@@ -213,17 +326,29 @@ def _state(block: int, island: int, items: np.ndarray, sizes: np.ndarray, bins:
     })
 
 
-def pack(items: DataFrame, capacity: int, per_block: int = 4096, islands: int = 3, generations: int = 12, keep: int = 4, migrations: int = 1) -> DataFrame:
-    """Pack items (columns item long, unique, and length long, 1 to capacity) into bins: (item, sequence_id, offset).
+def _placed(full: float):
+    """Items with their bin, their place in it, and whether the bin holds less than `full`."""
 
-    Items are dealt by a hash into blocks of about `per_block`, which bounds a task and costs at most one
-    bin in some thousands. Every block evolves on several islands, each a task of its own; after each epoch the
-    elite of an island moves to the next one, and the best packing of all islands is taken at the end.
-    """
-    n = items.count()
-    n_blocks = max(1, -(-n // per_block))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                bins, sizes = np.frombuffer(r["bins"], "<i4").astype(np.int64), np.frombuffer(r["sizes"], "<i4").astype(np.int64)
+                order = np.argsort(bins, kind="stable")
+                ends = np.cumsum(sizes[order])
+                begin = ends - sizes[order]
+                new = np.r_[True, bins[order][1:] != bins[order][:-1]]
+                offset = begin - np.maximum.accumulate(np.where(new, begin, 0))
+                loose = np.bincount(bins, weights=sizes)[bins[order]] < full
+                columns = [np.frombuffer(r["items"], "<i8")[order], sizes[order], (r["block"] << 32) + bins[order], offset, loose]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["item", "length", "sequence_id", "offset", "loose"])
+
+    return run
+
+
+def _pack_blocks(items: DataFrame, n_blocks: int, first_block: int, capacity: int, islands: int, generations: int, keep: int, migrations: int, full: float) -> DataFrame:
+    """Pack items dealt into blocks, each on its own: (item, length, sequence_id, offset, loose)."""
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = items.select(F.expr(f"pmod(xxhash64(item), {n_blocks})").alias("block"), "item", F.col("length").cast("int").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+    dealt = items.select(F.expr(f"{first_block} + pmod(xxhash64(item), {n_blocks})").alias("block"), "item", F.col("length").cast("int").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
 
     def found(group: pa.Table) -> pa.Table:
         group = group.sort_by("item")
@@ -245,20 +370,26 @@ def pack(items: DataFrame, capacity: int, per_block: int = 4096, islands: int =
     for _ in range(migrations):
         moved = state.withColumn("home", F.col("island")).withColumn("island", F.explode(F.array("island", ((F.col("island") + 1) % islands).cast("int"))))
         state = moved.groupBy("block", "island").applyInArrow(settle, _STATE)
-    best = materialise(state, "packings").groupBy("block").agg(F.min_by(F.struct("items", "sizes", "bins"), F.struct("n_bins", "score", "island")).alias("s")).select("block", "s.*")
+    best = state.groupBy("block").agg(F.min_by(F.struct("items", "sizes", "bins"), F.struct("n_bins", "score", "island")).alias("s")).select("block", "s.*")
+    return materialise(best.mapInArrow(_placed(full * capacity), "item long, length long, sequence_id long, offset long, loose boolean"), "packings")
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                bins, sizes = np.frombuffer(r["bins"], "<i4").astype(np.int64), np.frombuffer(r["sizes"], "<i4").astype(np.int64)
-                order = np.argsort(bins, kind="stable")
-                ends = np.cumsum(sizes[order])
-                begin = ends - sizes[order]
-                new = np.r_[True, bins[order][1:] != bins[order][:-1]]
-                offset = begin - np.maximum.accumulate(np.where(new, begin, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["items"], "<i8")[order]), pa.array((r["block"] << 32) + bins[order]), pa.array(offset)], names=["item", "sequence_id", "offset"])
 
-    return best.mapInArrow(placed, "item long, sequence_id long, offset long")
+def pack(items: DataFrame, capacity: int, per_block: int = 4096, islands: int = 3, generations: int = 12, keep: int = 4, migrations: int = 1, full: float = 0.98) -> DataFrame:
+    """Pack items (columns item long, unique, and length long, 1 to capacity) into bins: (item, sequence_id, offset).
+
+    Items are dealt by a hash into blocks of about `per_block`, which bounds a task. Every block evolves on several islands,
+    each a task of its own; after each epoch the elite of an island moves to the next one, and the best packing of all
+    islands is taken at the end. The bins of all blocks that hold less than a share of `full` are opened again and their items
+    packed in the same way, so that the room that each block leaves is used up by the others. An empty table gives an empty result.
+    """
+    how = {"capacity": capacity, "islands": islands, "generations": generations, "keep": keep, "migrations": migrations, "full": full}
+    n_blocks = max(1, -(-items.count() // per_block))
+    out = _pack_blocks(items, n_blocks, 0, **how)
+    if n_blocks == 1:
+        return out.select("item", "sequence_id", "offset")
+    loose = out.where("loose").select("item", "length")
+    again = _pack_blocks(loose, max(1, -(-loose.count() // per_block)), n_blocks, **how)
+    return out.where("not loose").select("item", "sequence_id", "offset").union(again.select("item", "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, **options) -> DataFrame:
