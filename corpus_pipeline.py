@@ -8,41 +8,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrarc.llm.common import crc_mod, materialise, table
-from papyrarc.llm.language_id import UNDETERMINED, identify_language, train_language_model
+from papyrarc.llm.language_id import keep_determined, train_language_model
 from papyrarc.llm.near_dedup import near_duplicates
 from papyrarc.llm.packing import pack_documents
-from papyrarc.llm.toxicity import score_toxicity, train_toxicity
+from papyrarc.llm.toxicity import keep_harmless, train_toxicity
 from papyrarc.shipping import ship
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, keep) -> DataFrame:
-    """Rows of `docs` whose id has a verdict that says so, as often and with the columns they have."""
-    good = verdicts.where(keep).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi").select(docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null text, or no letter. The model learns from the language of four fifths of the rows."""
+    """Drops documents without a language: null text, or no letter. The model learns from the language of four fifths of the rows.
+
+    Every row is judged by its own text, so that null and repeated ids keep those of their rows that have a language. An empty table gives an
+    empty result.
+    """
     ship(spark)
-    model = train_language_model(docs.where(crc_mod("doc_id", 5) != 0), "text", "lang")
-    return _kept(docs, identify_language(docs, model), F.col("lang_pred") != UNDETERMINED)
+    return keep_determined(docs, train_language_model(docs.where(crc_mod("doc_id", 5) != 0), "text", "lang"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are predicted toxic. The lexicon is learned from three fourths of the labelled rows."""
+    """Drops documents that are predicted toxic. The lexicon is learned from three fourths of the labelled rows.
+
+    Every row is judged by its own text: of an id with a clean and a toxic text the clean one stays. Null and empty texts stay.
+    An empty table gives an empty result.
+    """
     ship(spark)
-    model = train_toxicity(docs.where(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
-    return _kept(docs, score_toxicity(docs, model), F.col("predicted") == 0)
+    return keep_harmless(docs, train_toxicity(docs.where(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates, of a similarity of 0.85 or more."""
+    """Keeps one document of each group of near-duplicates, of a similarity of 0.8 or more over shingles of five words: that of the least id.
+
+    Rows are grouped by numbers of their own. Of rows with the same id and similar texts one stays, rows with a null id come
+    after all others of their group, and rows without words stay. A pair at the very threshold is missed with a
+    probability of (1 - 0.8^5)^32 = 3e-6. An empty table gives an empty result.
+    """
     ship(spark)
-    return _kept(docs, near_duplicates(docs), F.col("kept"))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, id_col=row, percent=80, n_bands=32).select(row, "component_id")
+    first = rows.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents that are left into sequences of 2048 tokens: a row for each piece."""
+    """Packs the documents that are left into sequences of 2048 tokens: a row for each piece.
+
+    Null and empty texts hold the closing id alone, and null and repeated ids are documents of their own. An empty table gives an
+    empty result.
+    """
     import public_tokenizers
 
     ship(spark)

@@ -156,6 +156,20 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def keep_determined(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text has a language: those that `identify_language` doesn't call `und`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in _texts(batch.column(at)):
+                langs, _ = shared.value.score(texts)
+                yield batch.slice(first, len(texts)).filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_language_model(docs.where(crc_mod("doc_id", 5) != 0), "text", "lang")

@@ -54,7 +54,7 @@ def trigram_counts(text: str) -> np.ndarray:
 
 
 class CharacterModel:
-    """log10 P(letter | two letters before), with add-one smoothing."""
+    """log10 P(letter | two letters before); a tenth is added to each count."""
 
     def __init__(self, counts: np.ndarray) -> None:
         table_ = counts.reshape(LETTERS, LETTERS, LETTERS).astype(float) + 0.1
@@ -364,6 +364,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
+def keep_harmless(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `score_toxicity` doesn't predict toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        restorer = Restorer(model.characters)
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(restorer.words(value.as_py() or "")) < threshold for value in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train_toxicity(docs.where(crc_mod("doc_id", 4) != 2), labels)

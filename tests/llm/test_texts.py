@@ -53,6 +53,17 @@ def test_agenda_equals_the_library_on_random_words():
     assert [vocab.merge(w) for w in words] == pieces._library_ids(vocab, words)
 
 
+def test_a_difference_from_the_library_is_told_every_time(spark):
+    """A vocabulary whose merges went wrong: each text with such a part says so, and still gets the library's ids."""
+    vocab = pieces.PieceVocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    right = vocab.merge
+    vocab.merge = lambda chunk: [1] if chunk == "▁stone" else right(chunk)
+    known = pieces.Known()
+    for _ in range(3):
+        (ids, n, text, agrees), (*_, fine) = pieces.encode_texts(["a stone", "a  b "], vocab, known)
+        assert not agrees and fine and text == "a stone" and ids == ",".join(map(str, vocab.library.encode("a stone"))) and n == ids.count(",") + 1
+
+
 def check_packing(out, docs, path, capacity):
     from tokenizers import Tokenizer
 
@@ -102,6 +113,49 @@ def test_genetic_packing_never_gets_worse():
     assert np.bincount(end[0], weights=sizes).max() <= 2048
 
 
+def test_genetic_packing_beats_best_fit():
+    """Sets of pieces that fill their bins to the last token, which best-fit by falling size does not find."""
+    won = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        sizes = []
+        for _ in range(12):
+            a, b = sorted(rng.choice(np.arange(300, 1748), 2, replace=False).tolist())
+            sizes += [a, b - a, 2048 - b] if b - a >= 30 else [a, 2048 - a]
+        sizes = rng.permutation(np.array(sizes, np.int64))
+        least = -(-int(sizes.sum()) // 2048)
+        bins = [0] * len(sizes)
+        best_fit = packing.best_fit(sizes.tolist(), np.argsort(-sizes, kind="stable").tolist(), [], bins, 0, 2048)
+        got = packing._fitness(packing.evolve(sizes, [], 2048, seed + 1, 60, 6)[0], sizes, 2048)[0]
+        assert least <= got <= best_fit
+        won += got < best_fit
+    assert won >= 4
+
+
+def test_emptied_keeps_items_and_capacity():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(20, 900, 300)
+    bins = np.arange(300) // 2
+    after = packing.emptied(bins, sizes, 2048)
+    assert np.bincount(after, weights=sizes).max() <= 2048 and len(np.unique(after)) < 150
+    assert len(np.unique(after)) <= -(-int(sizes.sum()) // 2048) + 1
+
+
+def test_blocks_share_the_room_that_they_leave(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(n)) for i, n in enumerate(rng.integers(1, 1400, 600))]
+    items = spark.createDataFrame(rows, "item long, length long")
+    used = {}
+    for full in (0.0, 0.98):  # without the second level, and with it
+        got = packing.pack(items, 2048, per_block=60, full=full).collect()
+        fill = Counter()
+        for r in got:
+            fill[r.sequence_id] += rows[r.item][1]
+        assert sorted(r.item for r in got) == list(range(600)) and max(fill.values()) <= 2048
+        used[full] = len(fill)
+    assert used[0.98] < used[0.0] and used[0.98] <= -(-sum(n for _, n in rows) // 2048) + 3
+
+
 def test_languages(odd_docs, no_docs, spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     model = language_id.train_language_model(docs.where(crc_mod("doc_id", 5) != 0), "text", "lang")
@@ -191,6 +245,56 @@ def test_licenses(odd_docs, no_docs, spark):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def worn_labels(text, templates, coverage=0.75):
+    """Labels of templates of which some stretch of the text, of at most twice the template's length, holds enough word pairs in order."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.encode().lower())
+    found = set()
+    for template, label in templates.items():
+        t = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.encode().lower())
+        pairs = list(zip(t, t[1:], strict=False))
+        for begin in range(len(words)):
+            ours = list(zip(words[begin:], words[begin + 1 : begin + 2 * len(t)], strict=False))
+            best = [0] * (len(pairs) + 1)  # longest common subsequence
+            for g in ours:
+                row = best[:]
+                for j, p in enumerate(pairs):
+                    row[j + 1] = best[j] + 1 if p == g else max(best[j + 1], row[j])
+                best = row
+            if best[-1] >= coverage * len(pairs):
+                found.add(label)
+                break
+    return found
+
+
+def test_worn_licenses_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    known = licenses.TEMPLATES
+    filler = "the of a river stone under license copy software free".split()
+    texts = ["under the x " * 8 + "under the released under the mit license", "under the x " * 200 + "released under the mit license " + "under the y " * 200]
+    for template in list(known) * 4:
+        words = template.split()
+        for _ in range(int(rng.integers(0, 4))):  # wear it
+            at = int(rng.integers(0, len(words)))
+            kind = rng.integers(0, 3)
+            words[at : at + 1] = [] if kind == 0 else [str(rng.choice(filler))] if kind == 1 else [words[at], str(rng.choice(filler))]
+        texts.append(" ".join([*rng.choice(filler, rng.integers(0, 30)), *words, *rng.choice(filler, rng.integers(0, 30))]))
+    texts += [" ".join(sorted(list(known)[0].split())), " ".join(reversed(list(known)[1].split()))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in licenses.scan_licenses(docs, phrases={}, templates=known).collect()}
+    for i, text in enumerate(texts):
+        assert set(filter(None, out[i].labels.split(","))) == worn_labels(text, known), text
+        assert all(s.coverage >= 0.75 and s.first <= s.last < out[i].n_words for s in out[i].spans)
+    assert "mit" in out[0].labels and "mit" in out[1].labels and not out[len(texts) - 1].labels
+
+
+def test_whole_licenses(spark):
+    texts = [t for t in licenses.WHOLE_TEXTS]
+    texts = [*texts, *(" ".join(w for i, w in enumerate(t.split()) if i % 20) for t in texts)]  # every twentieth word is lost
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=licenses.WHOLE_TEXTS).collect()
+    for r in out:
+        assert list(licenses.WHOLE_TEXTS.values())[r.doc_id % len(licenses.WHOLE_TEXTS)] in r.labels.split(",")
+
+
 def test_scores(odd_docs, no_docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     held = crc_mod("doc_id", 7) == 2
