@@ -2,43 +2,99 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-#: Letters with marks and the letters they are searched as. Fixed values.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters that are a plain letter with marks, and the letters they are searched as.
+MARKED = "".join(c for c in map(chr, range(0xC0, 0x2000)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1 and "a" <= unicodedata.normalize("NFD", c)[0] <= "z")
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
 
 
 def tokens(text: Column | str) -> Column:
-    """Array of a text's words: runs of letters and digits, lower-cased, without common marks."""
+    """Array of a text's words: runs of letters and digits, lower-cased, without marks on Latin letters, be they part of the letter or after it."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.translate(F.lower(c), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}", ""), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  # term, doc, field, tf, positions
     doc_stats: DataFrame  # doc, length
+    stems: bool = False  # whether terms are stems; then those of a query are stemmed too
 
     def vocabulary(self) -> DataFrame:
         """(term, documents): in how many documents each term stands."""
         return self.postings.groupBy("term").agg(F.count_distinct("doc").alias("documents"))
 
+    def terms(self, words: list[str]) -> list[str]:
+        """The index's terms for a query's words."""
+        return [stem(w) for w in words] if self.stems else list(words)
+
+
+def _postings(stems: bool):
+    """Each document's terms with their places; a document is one row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends = np.asarray(lists.offsets)
+            words = lists.flatten()
+            if not len(words):
+                continue
+            coded = words.dictionary_encode()
+            code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            if stems:
+                again = pa.array([stem(w) for w in names.to_pylist()], pa.string()).dictionary_encode()
+                code, names = again.indices.to_numpy().astype(np.int64)[code], again.dictionary
+            ends = ends - ends[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            key = row * len(names) + code
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            place = (order - ends[:-1][row[order]]).astype(np.int32)
+            at = order[cuts]
+            positions = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(order)].astype(np.int32)), pa.array(place))
+            rows = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(code[at])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.diff(np.r_[cuts, len(order)])), positions], names=["term", "doc", "field", "tf", "positions"])
+
+    return run
+
 
 def build_index(docs: DataFrame, id_col: str, fields: list[str], stems: bool = False) -> Index:
-    """Positional postings of each field and the number of tokens of each document. A null field has no tokens."""
+    """Positional postings of each field and the number of tokens of each document, of unique ids. A null field has no tokens."""
     words = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("t")) for f in fields))).alias("x"))
-    flat = words.select("doc", "x.field", F.posexplode("x.t").alias("pos", "term"))
-    if stems:
-        flat = stem_terms(flat)
-    postings = flat.groupBy("term", "doc", "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    stats = words.select("doc", F.size("x.t").alias("n")).groupBy("doc").agg(F.sum("n").alias("length"))
-    return Index(postings, stats)
+    kind = docs.schema[id_col].dataType.simpleString()
+    postings = words.select("doc", "x.field", "x.t").mapInArrow(_postings(stems), f"term string, doc {kind}, field string, tf long, positions array<int>")
+    length = sum((F.size(tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields), F.lit(0)).cast("long")
+    return Index(postings, docs.select(F.col(id_col).alias("doc"), length.alias("length")), stems)
+
+
+def write_index(index: Index, path: str) -> None:
+    """Store an index, its postings sorted by term over all files, so that a search reads the few row groups that hold its terms."""
+    parts = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index.postings.repartitionByRange(parts, "term", "doc").sortWithinPartitions("term", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    index.doc_stats.write.parquet(f"{path}/doc_stats")
+    index.doc_stats.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).withColumn("stems", F.lit(index.stems)).write.parquet(f"{path}/totals")
+
+
+@dataclass(frozen=True)
+class StoredIndex(Index):
+    totals: tuple[int, float] = (0, 0.0)
+
+
+def read_index(spark: SparkSession, path: str) -> StoredIndex:
+    """An index that `write_index` has stored; the number of documents and their mean length are read once."""
+    n, avgdl, stems = spark.read.parquet(f"{path}/totals").first()
+    return StoredIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), stems, (n, avgdl or 0.0))
 
 
 _VOWEL = "aeiou"
@@ -71,6 +127,7 @@ _STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+@functools.lru_cache(maxsize=200_000)
 def stem(w: str) -> str:
     """Porter's stem of a lower-case English word; words of up to two letters and words with other letters stay."""
     if len(w) < 3 or not (w.isascii() and w.isalpha()):
@@ -118,50 +175,79 @@ def stem_terms(rows: DataFrame) -> DataFrame:
     return rows.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term")
 
 
+def _population(index: Index) -> DataFrame:
+    """One row: n, avgdl."""
+    if isinstance(index, StoredIndex):
+        return index.doc_stats.sparkSession.range(1).select(F.lit(index.totals[0]).alias("n"), F.lit(index.totals[1]).alias("avgdl"))
+    return index.doc_stats.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+
+
 def bm25(index: Index, terms: list[str], fields: list[str] | None = None) -> DataFrame:
     """(doc, bm25, matched): documents with any of the terms; lower scores are better. The population is all documents.
 
     Only the query's own postings are read; statistics are one row. matched counts the terms found.
     """
-    wanted = index.postings.where(F.col("term").isin(terms))
-    if fields:
-        wanted = wanted.where(F.col("field").isin(fields))
-    per_doc = wanted.groupBy("term", "doc").agg(F.sum("tf").alias("tf"))
-    df = per_doc.groupBy("term").agg(F.count("*").alias("df"))
-    population = index.doc_stats.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    # at most one row for each term of the query, and one row of totals
-    weights = F.broadcast(df.crossJoin(population).select("term", "avgdl", F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf")))
-    scored = per_doc.join(weights, "term").join(index.doc_stats, "doc")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    return scored.groupBy("doc").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("matched"))
+    return search(index, any_of=terms, fields=fields)
 
 
 def search(index: Index, all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = (), prefixes: list[str] = (), fields: list[str] | None = None) -> DataFrame:
     """(doc, bm25, matched) of the documents that hold all, any and none of the given terms, and words with each prefix.
 
-    Score is that of the terms asked for; a prefix stands for all words of the vocabulary that begin with it.
+    Score is that of the terms asked for; a prefix stands for all words of the vocabulary that begin with it. Terms are words; in an
+    index of stems they are stemmed, prefixes are taken as they are. With `none_of` alone, all other documents are found.
+
+    The postings of all terms and prefixes are read in one scan and summed up once for each document.
     """
-    postings = index.postings.where(F.col("field").isin(fields)) if fields else index.postings
-    scores = bm25(index, [*all_of, *any_of], fields) if all_of or any_of else index.doc_stats.select("doc", F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("matched"))
-    if all_of:
-        has = postings.where(F.col("term").isin(list(all_of))).groupBy("doc").agg(F.count_distinct("term").alias("k")).where(F.col("k") == len(set(all_of)))
-        scores = scores.join(has.select("doc"), "doc", "left_semi")
-    if any_of:
-        scores = scores.join(postings.where(F.col("term").isin(list(any_of))).select("doc"), "doc", "left_semi")
-    for p in prefixes:
-        scores = scores.join(postings.where(F.col("term").startswith(p)).select("doc"), "doc", "left_semi")
-    if none_of:
-        scores = scores.join(postings.where(F.col("term").isin(list(none_of))).select("doc"), "doc", "left_anti")
-    return scores
-
-
-def phrase(index: Index, words: list[str]) -> DataFrame:
-    """(doc, field, starts): where the words stand one after the other."""
-    wanted = index.postings.where(F.col("term").isin(words)).select("term", "doc", "field", "positions")
-    placed = wanted.join(F.broadcast(wanted.sparkSession.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, i int")), "term")
-    starts = placed.select("doc", "field", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("start"), "i")
-    whole = starts.groupBy("doc", "field", "start").agg(F.count_distinct("i").alias("k")).where((F.col("k") == len(words)) & (F.col("start") >= 0))
-    return whole.groupBy("doc", "field").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    every, some, no = index.terms(all_of), index.terms(any_of), index.terms(none_of)
+    scored = sorted({*every, *some})
+    c = F.col("term")
+    of = lambda terms: c.isin(list(terms)) if terms else F.lit(False)
+    starts = [c.startswith(p) for p in prefixes]
+    postings = index.postings.where(functools.reduce(lambda a, b: a | b, starts, of({*scored, *no})))
+    if fields:
+        postings = postings.where(F.col("field").isin(fields))
+    # a row for each document: frequencies of the terms that count, and which conditions it meets
+    tf = [F.sum(F.when(c == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(scored)]
+    flags = [F.max(of(no).cast("int")).alias("no"), F.max(of(some).cast("int")).alias("some"), *(F.max(p.cast("int")).alias(f"p{i}") for i, p in enumerate(starts))]
+    per_doc = postings.groupBy("doc").agg(*tf, *flags)
+    good = F.col("no") == 0
+    for i, t in enumerate(scored):
+        if t in every:
+            good &= F.col(f"tf{i}").isNotNull()
+    if some:
+        good &= F.col("some") == 1
+    for i in range(len(starts)):
+        good &= F.col(f"p{i}") == 1
+    if not (every or some or starts):
+        left = index.doc_stats.join(per_doc.where("no = 1").select("doc"), "doc", "left_anti") if no else index.doc_stats
+        return left.select("doc", F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("matched"))
+    if not scored:
+        return per_doc.where(good).select("doc", F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("matched"))
+    # how many documents hold each term: one row, before the other conditions
+    df = per_doc.agg(*(F.count(f"tf{i}").alias(f"df{i}") for i in range(len(scored)))).crossJoin(_population(index))
+    found = per_doc.where(good).crossJoin(F.broadcast(df)).join(index.doc_stats, "doc")
+    part = lambda i: (
+        F.greatest(F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
+        * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+    )
+    score = sum((F.coalesce(part(i), F.lit(0.0)) for i in range(len(scored))), F.lit(0.0))
+    matched = sum((F.col(f"tf{i}").isNotNull().cast("long") for i in range(len(scored))), F.lit(0))
+    return found.select("doc", (-score).alias("bm25"), matched.cast("long").alias("matched"))
+
+
+def phrase(index: Index, words: list[str], fields: list[str] | None = None) -> DataFrame:
+    """(doc, field, starts): where the words stand one after the other. An index of stems finds all forms of the words.
+
+    Places of each word are brought together in one row for each document and field, and intersected there.
+    """
+    words = index.terms(words)
+    wanted = index.postings.where(F.col("term").isin(words))
+    if fields:
+        wanted = wanted.where(F.col("field").isin(fields))
+    before = lambda i: F.transform("positions", lambda p: p - i)
+    of = wanted.groupBy("doc", "field").agg(*(F.flatten(F.collect_list(F.when(F.col("term") == w, before(i)))).alias(f"w{i}") for i, w in enumerate(words)))
+    starts = functools.reduce(lambda a, b: F.array_intersect(a, b), [F.col(f"w{i}") for i in range(len(words))])
+    return of.select("doc", "field", F.array_sort(starts).alias("starts")).where(F.size("starts") > 0)
 
 
 def update_index(index: Index, before: DataFrame, after: DataFrame, id_col: str, fields: list[str]) -> Index:
@@ -170,8 +256,8 @@ def update_index(index: Index, before: DataFrame, after: DataFrame, id_col: str,
     old, new = mark(before), mark(after)
     gone = old.join(new, ["doc", "mark"], "left_anti").select("doc").distinct()
     fresh = new.join(old, ["doc", "mark"], "left_anti").select("doc").distinct()
-    added = build_index(after.join(fresh, after[id_col] == fresh["doc"], "left_semi"), id_col, fields)
-    return Index(index.postings.join(gone, "doc", "left_anti").unionByName(added.postings), index.doc_stats.join(gone, "doc", "left_anti").unionByName(added.doc_stats))
+    added = build_index(after.join(fresh, after[id_col] == fresh["doc"], "left_semi"), id_col, fields, index.stems)
+    return Index(index.postings.join(gone, "doc", "left_anti").select(index.postings.columns).unionByName(added.postings), index.doc_stats.join(gone, "doc", "left_anti").unionByName(added.doc_stats), index.stems)
 
 
 def top_results(scores: DataFrame, captures: DataFrame, n: int, id_col: str = "capture_id") -> DataFrame:

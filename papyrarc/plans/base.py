@@ -6,6 +6,8 @@ conversation turns are attempts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ MODES = ("article", "full_page", "imported_singlefile")
 JOB_STATES = ("queued", "running", "succeeded", "failed", "cancelled")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or the warehouse where it is not set."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

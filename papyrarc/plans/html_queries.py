@@ -104,7 +104,7 @@ def d9_markdown(spark, sf):
 
 @query("d14_retained_code_blocks", "SELECT doc_id, CAST(2 AS BIGINT) AS protected, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS retained FROM documents")
 def d14(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("code"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("code"))
     before = docs.union(docs.withColumn("code", F.concat(F.col("code"), F.lit("\r\n"))))
     after = docs.union(docs.where("doc_id % 3 <> 0")).withColumn("code", F.concat(F.lit(" \n"), F.col("code")))
     return H.retained_code_blocks(before, after, "doc_id", "code")

@@ -60,9 +60,9 @@ def b6(spark, sf):
     return rows.select("page_id", urls.resolve_href("href", "url").alias("resolved"))
 
 
-@query("b7_slugify", r"""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 120)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'capture') AS slug FROM documents""")
+@query("b7_slugify", r"""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'capture') AS slug FROM documents""")
 def b7(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", urls.slugify(F.substring("text", 1, 120)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", urls.slugify("text").alias("slug"))
 
 
 @query("b8_response_filename", r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a b_' || page_id || '.pdf' WHEN 1 THEN 'r_' || page_id || '.pdf' WHEN 2 THEN 'bare' || page_id || '.pdf' ELSE nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1), '') END AS filename FROM pages""")
@@ -119,9 +119,9 @@ def c8(spark, sf):
     return table(spark, sf, "documents").select("doc_id", content.truncate_utf8("text", 1000).alias("cut"))
 
 
-@query("c9_normalise_tag", r"SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 100 THEN t END AS tag FROM (SELECT doc_id, trim(regexp_replace('  ' || substr(text, 1, 60 + doc_id % 80), '\s+', ' ', 'g')) AS t FROM documents)")
+@query("c9_normalise_tag", r"SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 100 THEN t END AS tag FROM (SELECT doc_id, trim(regexp_replace('  ' || text, '\s+', ' ', 'g')) AS t FROM documents)")
 def c9(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr("doc_id", "concat('  ', substr(text, 1, cast(60 + doc_id % 80 as int))) AS t")
+    rows = table(spark, sf, "documents").selectExpr("doc_id", "concat('  ', text) AS t")
     return rows.select("doc_id", content.normalise_tag("t").alias("tag"))
 
 

@@ -8,14 +8,16 @@ from papyrarc.operators import browse as B
 from papyrarc.operators import html as H
 from papyrarc.operators import search as S
 
-from .base import CAPTURES, capture_bodies, capture_metadata, sql_text, sql_text_of, table
-from .html_queries import _MAIN
+from papyrarc.functions import urls
+
+from .base import CAPTURES, capture_bodies, capture_metadata, scratch, sql_domain, table
+from .html_queries import _MAIN, _TITLE
 from .registry import Registry
 
 registry = Registry()
 query = registry.query
 
-_WORDS = f"regexp_extract_all(translate(lower({{}}), '{S.MARKED}', '{S.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_WORDS = f"regexp_extract_all(translate(regexp_replace(lower({{}}), '\\p{{Mn}}', '', 'g'), '{S.MARKED}', '{S.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
 _TOKENS = "tok AS (SELECT doc_id AS doc, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, " + _WORDS.replace("{}", "text") + " AS w FROM documents)), stats AS (SELECT doc_id AS doc, len(" + _WORDS.replace("{}", "text") + ") AS length FROM documents)"
 
 
@@ -69,12 +71,71 @@ def f6(spark, sf):
 _NEW = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' amended' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1"
 
 
-@query("f7_updated_index", f"WITH new AS ({_NEW}), t AS (SELECT doc_id AS doc, unnest({_WORDS.replace('{}', 'text')}) AS term FROM new) SELECT term, count(*) AS tf, count(DISTINCT doc) AS docs FROM t WHERE starts_with(term, 'a') GROUP BY term")
+@query("f7_updated_index", f"WITH new AS ({_NEW}), t AS (SELECT doc_id AS doc, unnest({_WORDS.replace('{}', 'text')}) AS term FROM new) SELECT term, count(*) AS tf, count(DISTINCT doc) AS docs FROM t GROUP BY term")
 def f7(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     after = docs.where("doc_id % 5 <> 1").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" amended"))).otherwise(F.col("text")))
     changed = S.update_index(S.build_index(docs.where("doc_id % 5 <> 2"), "doc_id", ["text"]), docs.where("doc_id % 5 <> 2"), after, "doc_id", ["text"])
-    return changed.postings.where(F.col("term").startswith("a")).groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("doc").alias("docs"))
+    return changed.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("doc").alias("docs"))
+
+
+#: Words of licenses and their stems by the published algorithm.
+_STEMMED = {"license": "licens", "licenses": "licens", "licensed": "licens", "licensing": "licens", "permission": "permiss", "permissions": "permiss", "granted": "grant", "general": "gener", "public": "public", "copying": "copi", "copies": "copi", "reserved": "reserv", "rights": "right", "distribution": "distribut", "unauthorized": "unauthor", "prohibited": "prohibit", "released": "releas", "available": "avail", "creative": "creativ", "commons": "common", "attribution": "attribut", "apache": "apach", "version": "version", "this": "thi", "the": "the"}
+
+
+@query("f2_known_stems", f"WITH {_TOKENS}, known AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in _STEMMED.items()) + ") AS k(word, stem)) SELECT stem, count(*) AS n FROM tok JOIN known ON word = term GROUP BY stem")
+def f2_known(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(S.tokens("text")).alias("term")).where(F.col("term").isin(list(_STEMMED)))
+    return S.stem_terms(words).groupBy(F.col("term").alias("stem")).agg(F.count("*").alias("n"))
+
+
+def _stemmed(terms: dict[str, list[str]]) -> str:
+    """A table of tokens in which all forms of a word are written as its stem."""
+    forms = "CASE " + " ".join("WHEN term IN (" + ", ".join(f"'{f}'" for f in words) + f") THEN '{s}'" for s, words in terms.items()) + " ELSE term END"
+    return _TOKENS.replace("tok AS (", "plain AS (").replace(", stats AS", f", tok AS (SELECT doc, {forms} AS term, pos FROM plain), stats AS")
+
+
+_FORMS = {"licens": ["license", "licenses", "licensed", "licensing", "licens"], "right": ["right", "rights", "righted", "righting"], "reserv": ["reserved", "reserve", "reserves", "reserving", "reserv"]}
+
+
+@query("f5_stemmed_search", f"WITH {_stemmed(_FORMS)}, {_bm25(['licens'])} SELECT doc, round(bm25, 6) AS bm25 FROM scores")
+def f5_stemmed(spark, sf):
+    """A search for one form of a word over an index of stems finds all forms."""
+    return S.search(S.build_index(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"], stems=True), any_of=["licenses"]).select("doc", F.round("bm25", 6).alias("bm25"))
+
+
+@query("f6_stemmed_phrase", f"WITH {_stemmed(_FORMS)} SELECT a.doc, count(*) AS n FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'right' AND b.term = 'reserv' GROUP BY a.doc")
+def f6_stemmed(spark, sf):
+    index = S.build_index(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", ["text"], stems=True)
+    return S.phrase(index, ["right", "reserve"]).select("doc", F.size("starts").cast("long").alias("n"))
+
+
+FIELDS = ("title", "site_name", "author", "source_url", "domain", "text")
+
+
+def six_fields(spark, sf):
+    """Captures with all fields that a collection is searched by; these pages name no author."""
+    pages = H.page_metadata(table(spark, sf, "pages"))
+    return pages.select(F.col("page_id").alias("capture_id"), "title", "site_name", F.lit(None).cast("string").alias("author"), F.col("url").alias("source_url"), urls.url_domain("url").alias("domain"), "text")
+
+
+_SIX = f"""f AS (SELECT page_id AS doc, coalesce({_TITLE}, '') AS title, url AS source_url, {sql_domain('url')} AS domain, {_MAIN} AS text FROM pages), w AS (SELECT doc, {_WORDS.replace('{}', 'title')} AS title, {_WORDS.replace('{}', 'source_url')} AS source_url, {_WORDS.replace('{}', 'domain')} AS domain, {_WORDS.replace('{}', 'text')} AS text FROM f),
+  stats AS (SELECT doc, len(title) + len(source_url) + len(domain) + len(text) AS length FROM w)"""
+
+
+@query("f5_field_search", f"WITH {_SIX}, tok AS (SELECT doc, unnest(title || domain) AS term FROM w), {_bm25(['the', 'example'])} SELECT doc, round(bm25, 6) AS bm25, matched FROM scores WHERE matched = 2 AND doc NOT IN (SELECT doc FROM tok WHERE term = 'org')")
+def f5_field(spark, sf):
+    """Terms in the title and domain of an index of six fields."""
+    found = S.search(S.build_index(six_fields(spark, sf), "capture_id", list(FIELDS)), all_of=["the", "example"], none_of=["org"], fields=["title", "domain"])
+    return found.select("doc", F.round("bm25", 6).alias("bm25"), "matched")
+
+
+@query("f7_stored_index", f"WITH {_TOKENS}, {_bm25(['license', 'public'])} SELECT doc, round(bm25, 6) AS bm25, matched FROM scores WHERE doc IN (SELECT doc FROM tok WHERE starts_with(term, 'lic'))")
+def f7_stored(spark, sf):
+    """A search over an index that was written, sorted by term, and read again."""
+    path = scratch(spark, "index")
+    S.write_index(_index(spark, sf), path)
+    return S.search(S.read_index(spark, path), any_of=["license", "public"], prefixes=["lic"]).select("doc", F.round("bm25", 6).alias("bm25"), "matched")
 
 
 @query("e6_match_filter", f"WITH {_TOKENS}, {CAPTURES} SELECT capture_id, domain FROM captures WHERE status = 'succeeded' AND capture_id IN (SELECT doc FROM tok WHERE term = 'the')")
