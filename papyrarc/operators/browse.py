@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,12 +53,25 @@ def sort_keys(order: str) -> list[Column]:
 def result_page(captures: DataFrame, order: str = "newest", limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of results: a limit of 1 to 200, and an offset past the end moved to the last page.
 
-    Adds total, page_offset, previous_offset and next_offset. The number of rows is counted first.
+    Adds total, page_offset, previous_offset and next_offset. Rows are counted by the day of their capture first (by hundredths
+    of their score for `relevance`), so that only the days that the page lies in are sorted, however far it is.
     """
     limit = min(200, max(1, limit))
-    total = captures.count()
+    keys = sort_keys(order)
+    coarse = F.floor(F.col("bm25") * 100) if order == "relevance" else F.to_date("captured_at")
+    counts = captures.groupBy(coarse.alias("of")).agg(F.count("*").alias("n")).orderBy(F.desc("of") if order == "newest" else F.asc("of")).collect()  # a row for each day
+    total = sum(r.n for r in counts)
     offset = max(0, min(offset, (max(0, total - 1) // limit) * limit))
-    page = captures.orderBy(*sort_keys(order)).offset(offset).limit(limit)
+    before, skipped, chosen = 0, 0, []
+    for r in counts:
+        if before + r.n > offset and before < offset + limit:
+            chosen.append(r.of)
+        elif before + r.n <= offset:
+            skipped += r.n
+        before += r.n
+    inside = coarse.isin([c for c in chosen if c is not None])
+    rows = captures.where((F.coalesce(inside, F.lit(False)) | coarse.isNull()) if None in chosen else inside)
+    page = rows.orderBy(*keys).offset(offset - skipped).limit(limit)
     n = lambda v: F.lit(v).cast("long")
     return page.withColumns({"total": n(total), "page_offset": n(offset), "previous_offset": n(offset - limit if offset >= limit else None), "next_offset": n(offset + limit if offset + limit < total else None)})
 
@@ -102,18 +116,31 @@ def tag_counts(tags: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-def trimmed_durations(captures: DataFrame, column: str = "duration_ms", share: float = 0.95) -> DataFrame:
+def trimmed_durations(captures: DataFrame, column: str = "duration_ms", share: float = 0.95, bins: int = 1024) -> DataFrame:
     """(average, p95) over the shortest max(1, floor(share * n)) durations of succeeded captures; 0 without any.
 
-    A row's place is found without bringing all rows to one task: durations are counted, and places are running
-    sums over their distinct values.
+    A row's place is found without sorting: durations are counted in `bins` equal steps, and the step that holds
+    the last one wanted is divided again until it holds one value. Each round is one grouped sum of at most `bins` rows.
     """
-    counts = captures.where((F.col("status") == SUCCEEDED) & F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    placed = counts.crossJoin(F.broadcast(total)).withColumn("kept", F.greatest(F.lit(1), F.floor(F.col("total") * share)))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = placed.withColumn("used", F.greatest(F.lit(0), F.least(F.col("n"), F.col("kept") - before))).where("used > 0")
-    return used.agg(F.coalesce(F.sum(F.col("v") * F.col("used")) / F.sum("used"), F.lit(0.0)).alias("average"), F.coalesce(F.max("v"), F.lit(0)).alias("p95"))
+    rows = captures.where((F.col("status") == SUCCEEDED) & F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    left = kept = max(1, int(math.floor(n * share))) if n else 0
+    total, last = 0, low
+    while left:
+        if low == high:
+            total, last, left = total + left * low, low, 0
+            break
+        at = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.lit(low)) / F.lit((high - low) / bins)))
+        found = rows.where(F.col("v").between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("bin").collect()
+        for r in found:
+            if r.n > left:
+                low, high = r.low, r.high
+                break
+            total, last, left = total + r.total, r.high, left - r.n
+            if not left:
+                break
+    kind = captures.schema[column].dataType.simpleString()
+    return captures.sparkSession.range(1).select(F.lit(float(total) / kept if kept else 0.0).alias("average"), F.lit(last if kept else 0).cast(kind).alias("p95"))
 
 
 def capture_history(captures: DataFrame, key: str = "normalised", hash_col: str = "content_hash") -> DataFrame:

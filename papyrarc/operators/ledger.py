@@ -101,7 +101,11 @@ def plan_import(source: DataFrame, ledger: DataFrame, captures: DataFrame, *, or
     that an earlier row of the same run brings, makes its row a duplicate of that capture; a URL that can't be
     stored is skipped; the others are imported. `failed` marks rows whose reading failed (a column error). New captures
     get ids above the stored ones, in source order. Returns source_id, outcome, capture_id, content_hash, detail.
+    Raises ValueError if `order` is null, negative or repeated among the source's rows, as ids could then be given twice.
     """
+    wrong = source.groupBy(order).agg(F.count("*").alias("rows")).where((F.col("rows") > 1) | F.col(order).isNull() | (F.col(order) < 0)).take(1)
+    if wrong:
+        raise ValueError(f"source rows need different numbers in {order}, not {wrong[0][0]} {wrong[0][1]} times")
     done = ledger.where(F.col("outcome").isNotNull() & ((F.col("outcome") != "failed") | F.lit(not retry_failed)))
     due = source.join(done.select("source_id"), "source_id", "left_anti")
     if limit is not None:
@@ -125,6 +129,26 @@ def plan_import(source: DataFrame, ledger: DataFrame, captures: DataFrame, *, or
     return planned.select("source_id", "outcome", capture.cast("long").alias("capture_id"), "content_hash", detail.alias("detail"))
 
 
+def import_tables(source: DataFrame, planned: DataFrame, captures: DataFrame, aliases: DataFrame, tags: DataFrame, modes: Column | None = None) -> dict[str, DataFrame]:
+    """The tables after an import that `plan_import` has planned: captures, aliases, tags and ledger.
+
+    An imported row becomes a succeeded capture with its address, hash and mode (`modes`, an expression over the source; without a body
+    metadata_only). Imported rows and duplicates add their address as an alias of their capture, and
+    their names (a column tags, an array) to its tags; all other rows only reach the ledger.
+    """
+    rows = planned.select("source_id", "outcome", "capture_id", "content_hash", "detail").join(source.drop("content_hash", "error"), "source_id")
+    mode = F.when(F.col("body").isNull(), "metadata_only").otherwise(modes if modes is not None else F.lit("imported_singlefile"))
+    new = rows.where("outcome = 'imported'").select("capture_id", F.col("url").alias("source_url"), normalise_url("url").alias("normalised"), "content_hash", F.lit(SUCCEEDED).alias("status"), mode.alias("mode"))
+    kept = rows.where("outcome in ('imported', 'duplicate')")
+    named = kept.select("capture_id", F.explode("tags").alias("tag")) if "tags" in source.columns else kept.select("capture_id", F.lit(None).cast("string").alias("tag")).limit(0)
+    return {
+        "captures": captures.unionByName(new, allowMissingColumns=True),
+        "aliases": merge_aliases(aliases, kept.select("capture_id", "url", F.lit("original").alias("kind"))),
+        "tags": merge_tags(tags, named),
+        "ledger": planned,
+    }
+
+
 def merge_aliases(aliases: DataFrame, more: DataFrame) -> DataFrame:
     """Aliases with new (capture_id, url) pairs; those that are there stay as they are."""
     new = more.join(aliases.select("capture_id", "url"), ["capture_id", "url"], "left_anti").dropDuplicates(["capture_id", "url"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +14,14 @@ from papyrarc.operators import recode as R
 from papyrarc.sources import archive as A
 from papyrarc.streaming import jobs as J
 
-from .base import CAPTURES, JOBS, TAGS, capture_bodies, capture_metadata, jobs, sql_domain, sql_normalise, table, tags
+from .html_queries import _MAIN
+from .base import CAPTURES, JOBS, TAGS, capture_bodies, capture_metadata, jobs, scratch, sql_domain, sql_normalise, table, tags
 from .registry import Registry
 
 registry = Registry()
 query = registry.query
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or the warehouse where it is not set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 #: A legacy archive out of documents: ids, URLs by number, texts as bodies; every 13th address can't be stored.
 _SOURCE = """source AS (SELECT 's' || doc_id AS source_id, doc_id AS "order", CASE WHEN doc_id % 13 = 5 THEN 'ftp://old.example.com/' || doc_id ELSE 'http://www.example.com/p/' || (doc_id // 2) || '?utm_source=x' END AS url, text AS body, CASE WHEN doc_id % 29 = 3 THEN 'unreadable' END AS error FROM documents)"""
 _LEDGER = """ledger AS (SELECT 's' || doc_id AS source_id, CASE doc_id % 3 WHEN 0 THEN 'imported' WHEN 1 THEN 'failed' END AS outcome, doc_id AS capture_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 4 = 0)"""
@@ -47,9 +40,12 @@ def stored(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").where("doc_id % 6 = 0").selectExpr("doc_id AS capture_id", "sha2(text, 256) AS content_hash", "CASE WHEN doc_id % 12 = 0 THEN 'succeeded' ELSE 'failed' END AS status")
 
 
-@query("a2_candidate_files", "SELECT page_id, strlen(html) AS length, 'output.html' AS name FROM pages")
+@query("a2_candidate_files", f"WITH {CAPTURES} SELECT DISTINCT 'domain=' || domain AS snapshot FROM captures WHERE status = 'succeeded'")
 def a2(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.octet_length("html").cast("long").alias("length"), F.lit("output.html").alias("name"))
+    """Folders of a written export, found by listing its files."""
+    path = scratch(spark, "files")
+    A.export_texts(capture_metadata(spark, sf), capture_bodies(spark, sf), path)
+    return A.snapshot_listing(A.candidate_files(spark, path).where("length > 0 and name like 'part-%'"))
 
 
 @query("a3_index_scan", f"WITH {_SOURCE} SELECT source_id, url FROM source")
@@ -62,11 +58,11 @@ def a4(spark, sf):
     return A.snapshot_listing(table(spark, sf, "documents").select(F.col("source").alias("snapshot")))
 
 
-@query("a6_append_captures", f"WITH {CAPTURES} SELECT CAST(CAST(captured_at AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT sha256(body)) AS hashes FROM captures GROUP BY 1")
+@query("a6_append_captures", f"WITH {CAPTURES} SELECT capture_id, CAST(CAST(captured_at AS DATE) AS VARCHAR) AS day, sha256(body) AS content_hash, strlen(body) AS html_size, 'html' AS body_format FROM captures")
 def a6(spark, sf):
-    path = _scratch(spark, "captures")
+    path = scratch(spark, "captures")
     A.append_captures(capture_metadata(spark, sf).join(capture_bodies(spark, sf), "capture_id"), path)
-    return spark.read.parquet(path).groupBy(F.to_date("captured_at").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("hashes"))
+    return spark.read.parquet(path).select("capture_id", F.col("capture_date").cast("string").alias("day"), "content_hash", "html_size", "body_format")
 
 
 @query("a7_run_report")
@@ -74,12 +70,11 @@ def a7(spark, sf):
     return A.run_report(L.plan_import(source(spark, sf), ledger(spark, sf), stored(spark, sf), retry_failed=True))
 
 
-@query("a9_export_texts", f"SELECT domain, count(*) AS n FROM (SELECT {sql_domain('url')} AS domain FROM pages WHERE page_id % 10 <> 9) GROUP BY domain")
+@query("a9_export_texts", f"SELECT page_id AS capture_id, {sql_domain('url')} AS domain, md5({_MAIN}) AS text_md5 FROM pages WHERE page_id % 10 <> 9")
 def a9(spark, sf):
-    path = _scratch(spark, "export")
-    bodies = capture_bodies(spark, sf).withColumnRenamed("body", "html")
-    A.export_texts(capture_metadata(spark, sf), H.markdown(H.page_blocks(bodies, "capture_id", "html"), "capture_id"), path)
-    return spark.read.schema("capture_id long, markdown string, domain string").json(path).groupBy("domain").agg(F.count("*").alias("n"))
+    path = scratch(spark, "export")
+    A.export_texts(capture_metadata(spark, sf).select("capture_id", "domain", "status"), capture_bodies(spark, sf).select("capture_id", H.main_text("body").alias("text")), path)
+    return spark.read.schema("capture_id long, text string, domain string").json(path).select("capture_id", "domain", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 @query("a10_domain_violations", f"WITH {JOBS} SELECT 'status' AS \"column\", status AS value, count(*) AS n FROM jobs WHERE status IN ('failed', 'cancelled') GROUP BY status")
@@ -89,14 +84,23 @@ def a10(spark, sf):
     return A.domain_violations(rows, {"status": ["queued", "running", "succeeded"], "kind": ["capture", "import"]})
 
 
-@query("a11_schema_fingerprint", "SELECT sha256('documents(doc_id,lang,n_chars,source,text)' || chr(10) || 'pages(html,page_id,url)') AS fingerprint FROM (SELECT count(*) FROM pages)")
+def _sql_types(name: str, columns: list[str]) -> str:
+    types = " || ',' || ".join(f"'{c} ' || replace(replace(typeof({c}), 'VARCHAR', 'string'), 'BIGINT', 'bigint')" for c in columns)
+    return f"(SELECT '{name}(' || max({types}) || ')' FROM {name})"
+
+
+@query("a11_schema_fingerprint", f"SELECT sha256({_sql_types('documents', ['doc_id', 'lang', 'n_chars', 'source', 'text'])} || chr(10) || {_sql_types('pages', ['html', 'page_id', 'url'])}) AS fingerprint")
 def a11(spark, sf):
-    return A.schema_fingerprint(spark, {n: table(spark, sf, n) for n in ("documents", "pages")})
+    return A.schema_fingerprint({n: table(spark, sf, n) for n in ("documents", "pages")})
+
 
+_SUM = "CAST(sum(CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)) AS VARCHAR)"
 
-@query("a12_table_snapshot", "SELECT 'labels' AS name, true AS ok FROM (SELECT count(*) FROM labels) UNION ALL SELECT 'pages', true FROM (SELECT count(*) FROM pages)")
+
+@query("a12_table_snapshot", f"""SELECT 'labels' AS name, count(*) AS n_rows, {_SUM.format("concat_ws('|', doc_id, quality, toxic)")} AS checksum, true AS ok FROM labels
+  UNION ALL SELECT 'pages', count(*), {_SUM.format("concat_ws('|', html, page_id, url)")}, true FROM pages""")
 def a12(spark, sf):
-    path = _scratch(spark, "snapshot")
+    path = scratch(spark, "snapshot")
     A.write_snapshot({n: table(spark, sf, n) for n in ("labels", "pages")}, path)
     return A.verify_snapshot(spark, path, ["labels", "pages"])
 
@@ -165,14 +169,28 @@ def l1(spark, sf):
     return L.upsert_urls(known, pages, "url", "page_id").select("normalised", "original")
 
 
-@query("l2_plan_import", f"""WITH {_SOURCE}, {_LEDGER}, {_STORED}, due AS (SELECT *, sha256(body) AS h, "order" % 13 = 5 AS bad FROM source WHERE source_id NOT IN (SELECT source_id FROM ledger WHERE outcome IS NOT NULL AND outcome <> 'failed')),
-  m AS (SELECT content_hash, min(capture_id) AS stored_id FROM stored WHERE status = 'succeeded' GROUP BY 1), r AS (SELECT due.*, stored_id, min(CASE WHEN error IS NULL AND NOT bad AND stored_id IS NULL THEN "order" END) OVER (PARTITION BY h) AS first FROM due LEFT JOIN m ON m.content_hash = h)
-  SELECT source_id, CASE WHEN error IS NOT NULL THEN 'failed' WHEN stored_id IS NOT NULL OR "order" > first THEN 'duplicate' WHEN bad THEN 'skipped' ELSE 'imported' END AS outcome,
-  CASE WHEN error IS NOT NULL THEN NULL WHEN stored_id IS NOT NULL THEN stored_id WHEN "order" > first THEN top + 1 + first WHEN bad THEN NULL ELSE top + 1 + "order" END AS capture_id FROM r, (SELECT max(capture_id) AS top FROM stored)""")
+_PLANNED = f"""{_SOURCE}, {_LEDGER}, {_STORED}, due AS (SELECT *, sha256(body) AS h, "order" % 13 = 5 AS bad FROM source WHERE source_id NOT IN (SELECT source_id FROM ledger WHERE outcome IS NOT NULL AND outcome <> 'failed')),
+  m AS (SELECT content_hash, min(capture_id) AS stored_id FROM stored WHERE status = 'succeeded' GROUP BY 1), r AS (SELECT due.*, stored_id, min(CASE WHEN error IS NULL AND NOT bad AND stored_id IS NULL THEN "order" END) OVER (PARTITION BY h) AS first FROM due LEFT JOIN m ON m.content_hash = h),
+  planned AS (SELECT source_id, url, body, "order", CASE WHEN error IS NOT NULL THEN 'failed' WHEN stored_id IS NOT NULL OR "order" > first THEN 'duplicate' WHEN bad THEN 'skipped' ELSE 'imported' END AS outcome,
+  CASE WHEN error IS NOT NULL THEN NULL WHEN stored_id IS NOT NULL THEN stored_id WHEN "order" > first THEN top + 1 + first WHEN bad THEN NULL ELSE top + 1 + "order" END AS capture_id FROM r, (SELECT max(capture_id) AS top FROM stored))"""
+
+
+@query("l2_plan_import", f"WITH {_PLANNED} SELECT source_id, outcome, capture_id FROM planned")
 def l2(spark, sf):
     return L.plan_import(source(spark, sf), ledger(spark, sf), stored(spark, sf), retry_failed=True).select("source_id", "outcome", "capture_id")
 
 
+@query("l2_import_tables", f"""WITH {_PLANNED} SELECT 'capture' AS kind, capture_id, 'imported_singlefile' AS value FROM planned WHERE outcome = 'imported' UNION ALL SELECT 'capture', capture_id, NULL FROM stored
+  UNION ALL SELECT DISTINCT 'alias', capture_id, url FROM planned WHERE outcome IN ('imported', 'duplicate') UNION ALL SELECT DISTINCT 'tag', capture_id, 'group ' || ("order" % 3) FROM planned WHERE outcome IN ('imported', 'duplicate')""")
+def l2_tables(spark, sf):
+    """An import as one job: captures, aliases and tags after it."""
+    rows = source(spark, sf).withColumn("tags", F.array(F.concat(F.lit(" group  "), (F.col("order") % 3).cast("string")), F.lit("")))
+    none = spark.createDataFrame([], "capture_id long, url string, kind string, tag string")
+    out = L.import_tables(rows, L.plan_import(rows, ledger(spark, sf), stored(spark, sf), retry_failed=True), stored(spark, sf), none.select("capture_id", "url", "kind"), none.select("capture_id", "tag"))
+    row = lambda name, value, table_: out[table_].select(F.lit(name).alias("kind"), "capture_id", F.col(value).alias("value"))
+    return row("capture", "mode", "captures").union(row("alias", "url", "aliases")).union(row("tag", "tag", "tags"))
+
+
 #: PDFs of a legacy archive: by the document's number an original, a page, a missing file, two outputs, a wrong length.
 def pdf_tables(spark, sf):
     docs = table(spark, sf, "documents").selectExpr("doc_id", "concat('s', doc_id) AS snapshot_id", "doc_id % 5 AS k")
@@ -203,11 +221,13 @@ def bodies(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select(F.col("page_id").alias("capture_id"), F.col("html").cast("binary").alias("body"), F.lit("none").alias("compression"), F.when(F.col("page_id") % 7 == 0, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2("html", 256)).alias("content_hash"), F.octet_length("html").cast("long").alias("html_size"))
 
 
-@query("l6_recode_bodies", "SELECT CASE WHEN page_id % 7 = 0 THEN 'failed' ELSE 'changed' END AS outcome, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes_before FROM pages WHERE page_id % 5 <> 0 OR page_id % 7 = 0 GROUP BY 1")
+@query("l6_recode_bodies", "SELECT page_id AS capture_id, CASE WHEN page_id % 7 = 0 THEN 'failed' ELSE 'changed' END AS outcome, strlen(html) AS bytes_before, CASE WHEN page_id % 7 <> 0 THEN sha256(html) END AS decoded FROM pages WHERE page_id % 5 <> 0 OR page_id % 7 = 0")
 def l6(spark, sf):
     rows = bodies(spark, sf)
     done = rows.where("capture_id % 5 = 0 and capture_id % 7 <> 0").select("capture_id", "content_hash")
-    return R.recode_bodies(rows, done).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("bytes_before").alias("bytes_before"))
+    coded = R.recode_bodies(rows, done)
+    plain = R.decode_bodies(coded.where("body is not null").select("capture_id", "body", F.lit("zstd").alias("compression"))).select("capture_id", F.sha2("plain", 256).alias("decoded"))
+    return coded.select("capture_id", "outcome", "bytes_before").join(plain, "capture_id", "left")
 
 
 @query("h9_recode_report")
@@ -215,18 +235,24 @@ def h9(spark, sf):
     return R.recode_report(R.recode_bodies(bodies(spark, sf), bodies(spark, sf).limit(0)))
 
 
-@query("l7_verify_bodies", "SELECT count(*) AS checked, count_if(page_id % 7 = 0) AS failed FROM pages")
+_PROBLEMS = "SELECT page_id AS capture_id, CASE WHEN page_id % 7 = 0 THEN 'hash differs' END AS problem FROM pages"
+
+
+@query("l7_verify_bodies", _PROBLEMS)
 def l7(spark, sf):
-    rows = bodies(spark, sf)
-    return R.verification_report(R.verify_bodies(rows)).select("checked", "failed")
+    return R.verify_bodies(bodies(spark, sf))
 
 
-@query("l7_verify_coded_bodies", "SELECT count(*) AS checked, count_if(page_id % 7 = 0) AS failed FROM pages")
+@query("l7_verify_coded_bodies", _PROBLEMS)
 def l7_coded(spark, sf):
     plain = bodies(spark, sf)
     coded = R.recode_bodies(plain.withColumn("content_hash", F.sha2("body", 256)), plain.limit(0)).where("body is not null")
-    rows = coded.select("capture_id", "body", F.lit("zstd").alias("compression"), F.when(F.col("capture_id") % 7 == 0, "wrong").otherwise(F.col("content_hash")).alias("content_hash"))
-    return R.verification_report(R.verify_bodies(rows)).select("checked", "failed")
+    return R.verify_bodies(coded.select("capture_id", "body", F.lit("zstd").alias("compression"), F.when(F.col("capture_id") % 7 == 0, "wrong").otherwise(F.col("content_hash")).alias("content_hash")))
+
+
+@query("l7_verification_report", "SELECT count(*) AS checked, count_if(page_id % 7 = 0) AS failed, array_to_string(list_slice(list(page_id ORDER BY page_id) FILTER (page_id % 7 = 0), 1, 20), ',') AS failures FROM pages")
+def l7_report(spark, sf):
+    return R.verification_report(R.verify_bodies(bodies(spark, sf))).select("checked", "failed", F.array_join("failures", ",").alias("failures"))
 
 
 @query("l8_backfill_format", "SELECT page_id AS capture_id, 'html' AS body_format FROM pages WHERE page_id % 2 = 0")

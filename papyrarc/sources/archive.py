@@ -65,19 +65,30 @@ def require_source(tables: dict[str, DataFrame], columns: dict[str, list[str]],
             raise SourceContractError(f"table {name} has {bad}")
 
 
-def schema_fingerprint(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(fingerprint): SHA-256 of all tables' sorted column lists."""
-    text = "\n".join(f"{name}({','.join(sorted(df.columns))})" for name, df in sorted(tables.items()))
-    return spark.range(1).select(F.sha2(F.lit(text), 256).alias("fingerprint"))
+def schema_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
+    """(fingerprint): SHA-256 of all tables' columns, sorted, with the types that their rows have; a table without rows has those of its schema."""
+    out = None
+    for name, df in sorted(tables.items()):
+        columns = sorted(df.columns)
+        listed = F.concat_ws(",", *(F.concat(F.lit(f"{c} "), F.typeof(c)) for c in columns))
+        empty = ",".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+        # every row is looked at, so that files of one table whose columns differ fail here
+        row = df.agg(F.coalesce(F.max(listed), F.lit(empty)).alias("text")).select(F.lit(name).alias("name"), "text")
+        out = row if out is None else out.unionByName(row)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("name", "text"))), lambda x: F.concat(x["name"], F.lit("("), x["text"], F.lit(")")))
+    return out.agg(F.sha2(F.array_join(texts, "\n"), 256).alias("fingerprint"))
 
 
 def append_captures(captures: DataFrame, path: str) -> None:
-    """Append captures with hash, size and format derived from their body, by day of capture."""
+    """Append captures with hash, size and format derived from their body, by day of capture.
+
+    A day is written by as many tasks as its size asks for; the adaptive planner splits large ones and joins small ones.
+    """
     rows = captures.withColumns({"content_hash": content_hash("body"), "html_size": html_size("body"), "body_format": F.coalesce("body_format", detect_body_format("body")) if "body_format" in captures.columns else detect_body_format("body")})
     bad = rows.where(F.col("status").isNotNull() & ~F.col("status").isin("pending", "succeeded", "failed", "cancelled")).limit(1).count()
     if bad:
         raise SourceContractError("captures hold an unknown status")
-    rows.withColumn("capture_date", F.to_date("captured_at")).repartition("capture_date", F.pmod(F.xxhash64("capture_id"), F.lit(8))).write.mode("append").partitionBy("capture_date").option("compression", "zstd").parquet(path)
+    rows.withColumn("capture_date", F.to_date("captured_at")).hint("rebalance", "capture_date").write.mode("append").partitionBy("capture_date").option("compression", "zstd").parquet(path)
 
 
 def run_report(outcomes: DataFrame, failures: str = "failed", most: int = 100) -> DataFrame:
@@ -90,15 +101,16 @@ def run_report(outcomes: DataFrame, failures: str = "failed", most: int = 100) -
 def export_texts(captures: DataFrame, texts: DataFrame, path: str) -> None:
     """Markdown and metadata of succeeded captures, by domain, as JSON lines."""
     rows = captures.where("status = 'succeeded'").join(texts, "capture_id")
-    rows.repartition("domain", F.pmod(F.xxhash64("capture_id"), F.lit(8))).write.mode("overwrite").partitionBy("domain").option("compression", "gzip").json(path)
+    rows.hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain").option("compression", "gzip").json(path)
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(name, n_rows, checksum) of each table; the checksum doesn't depend on the order of rows."""
-    parts = [df.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("checksum")).select(F.lit(name).alias("name"), "n_rows", "checksum") for name, df in sorted(tables.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    """(name, n_rows, checksum) of each table; the checksum, a sum over the MD5 of all rows, doesn't depend on their order."""
+    out = None
+    for name, df in sorted(tables.items()):
+        text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sorted(df.columns)))
+        part = df.agg(F.count("*").alias("n_rows"), F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("checksum")).select(F.lit(name).alias("name"), "n_rows", "checksum")
+        out = part if out is None else out.union(part)
     return out
 
 
@@ -113,8 +125,8 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
 
 
 def verify_snapshot(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """(name, ok): whether each table is as its manifest says."""
+    """(name, n_rows, checksum, ok): the manifest of each table as it is now, and whether it is as the stored one says."""
     said = spark.read.schema("name string, n_rows long, checksum string").json(f"{path}/_manifest")
     now = manifest({name: spark.read.parquet(f"{path}/{name}") for name in names})
     same = F.col("n_rows").eqNullSafe(F.col("n_now")) & F.col("checksum").eqNullSafe(F.col("sum_now"))
-    return said.join(now.select("name", F.col("n_rows").alias("n_now"), F.col("checksum").alias("sum_now")), "name", "full_outer").select("name", F.coalesce(same, F.lit(False)).alias("ok"))
+    return said.join(now.select("name", F.col("n_rows").alias("n_now"), F.col("checksum").alias("sum_now")), "name", "full_outer").select("name", F.col("n_now").alias("n_rows"), F.col("sum_now").alias("checksum"), F.coalesce(same, F.lit(False)).alias("ok"))

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,12 +37,38 @@ def suppress_fresh(submissions: DataFrame, seconds: int) -> DataFrame:
 
 
 def suppress_fresh_batch(submissions: DataFrame, seconds: int) -> DataFrame:
-    """The batch twin of `suppress_fresh`, by a fold over each key's sorted times in Spark."""
-    rows = submissions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("all"))
-    none = F.array().cast("array<struct<ts:timestamp,event_id:bigint>>")
-    far = lambda done, x: F.unix_micros(x["ts"]) - F.unix_micros(F.element_at(done, -1)["ts"]) >= seconds * 1_000_000
-    kept = F.aggregate("all", none, lambda done, x: F.when((F.size(done) == 0) | F.coalesce(far(F.when(F.size(done) == 0, F.array(x)).otherwise(done), x), F.lit(True)), F.concat(done, F.array(x))).otherwise(done))
-    return rows.select("key", F.explode(kept).alias("k")).select("key", "k.event_id", "k.ts")
+    """The batch twin of `suppress_fresh`.
+
+    Of a key's events at one time only the first can be accepted, so those are taken in a grouped minimum. An event that
+    comes `seconds` after the one before is accepted whatever came earlier; there each key is cut into runs. Such pauses
+    span whole slices of time, so they are found between a key's slices, not its events. A run is read in order by one
+    task, which holds one time and no rows.
+    """
+    if seconds <= 0:
+        return submissions.select("key", "event_id", "ts")
+    width = seconds * 1_000_000
+    at = F.unix_micros("ts")
+    first = submissions.groupBy("key", "ts").agg(F.min("event_id").alias("event_id")).withColumn("slice", F.expr(f"floor(unix_micros(ts) / {width})"))
+    slices = first.groupBy("key", "slice").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    by_key = Window.partitionBy("key").orderBy("slice")
+    pause = F.coalesce(F.col("low") - F.lag("high").over(by_key) >= width, F.lit(True))
+    runs = slices.withColumn("run", F.sum(pause.cast("long")).over(by_key)).select(F.col("key").alias("of"), F.col("slice").alias("in"), "run")
+    schema = pa.schema([("key", pa.int64()), ("event_id", pa.int64()), ("ts", pa.timestamp("us", tz="UTC"))])
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, 0
+        for batch in batches:
+            key, run, time = (batch.column(c).to_pylist() for c in ("key", "run", "at"))
+            kept = []
+            for i, of in enumerate(zip(key, run, strict=True)):
+                if of != now or time[i] - last >= width:
+                    now, last = of, time[i]
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())).cast(schema.field(c).type) for c in schema.names], schema=schema)
+
+    parts = int(submissions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.join(runs, F.col("key").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("in"))).select(F.col("key").cast("long"), "run", at.alias("at"), F.col("event_id").cast("long"), F.col("ts").cast("timestamp"))
+    return dealt.repartition(parts, "key", "run").sortWithinPartitions("key", "run", "at").mapInArrow(accept, "key long, event_id long, ts timestamp")
 
 
 def next_state(state: str | None, event: str) -> str | None:
@@ -62,7 +89,8 @@ def next_state(state: str | None, event: str) -> str | None:
 def job_states(events: DataFrame, timeout_seconds: int = 60) -> DataFrame:
     """Stream of (job_id, state, attempts, overdue) whenever a job changes, from events (job_id, event, ts).
 
-    Only queued jobs can be cancelled; an attempt counts when a job starts to run. A watchdog, on event time, marks jobs that run for
+    Only queued jobs can be cancelled; an attempt counts when a job starts to run. A batch's events of a job are taken in order of
+    time, and of event_id where there is one. A watchdog, on event time, marks jobs that run for
     longer than five minutes or four times the timeout. `events` needs a watermark on ts.
     """
     allowed = max(300, 4 * timeout_seconds)
@@ -72,7 +100,8 @@ def job_states(events: DataFrame, timeout_seconds: int = 60) -> DataFrame:
         if state.hasTimedOut:
             yield pd.DataFrame([(key[0], now, attempts, now == "running")], columns=["job_id", "state", "attempts", "overdue"])
             return
-        for r in pd.concat(list(frames)).sort_values("ts").itertuples():
+        rows = pd.concat(list(frames))
+        for r in rows.sort_values([c for c in ("ts", "event_id") if c in rows]).itertuples():
             after = next_state(now, r.event)
             if after == "running" and now != "running":
                 attempts, started = attempts + 1, r.ts.timestamp()
@@ -87,20 +116,46 @@ def job_states(events: DataFrame, timeout_seconds: int = 60) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(fold, "job_id long, state string, attempts int, overdue boolean", "state string, attempts int, started double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+_STATES = (None, "queued", "running", *_FINAL)
+#: For each kind of event: the state that follows on each state, and whether an attempt begins there.
+_MOVES = {e: tuple((_STATES.index(next_state(s, e)), int(next_state(s, e) == "running" and s != "running")) for s in _STATES) for e in ("queued", "running", "succeeded", "failed", "retry", "cancelled")}
+_STAY = tuple((i, 0) for i in range(len(_STATES)))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each stretch of a job's events, in order, makes of every state that it may find."""
+    job, first, moves = None, None, list(_STAY)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([job], pa.int64()), pa.array([first[0]], pa.timestamp("us", tz="UTC")), pa.array([first[1]], pa.int64()), pa.array([[m for m, _ in moves]], pa.list_(pa.int32())), pa.array([[n for _, n in moves]], pa.list_(pa.int32()))], names=["job_id", "ts", "event_id", "ends", "attempts"])
+
+    for batch in batches:
+        for of, ts, event_id, event in zip(*(batch.column(c).to_pylist() for c in ("job_id", "ts", "event_id", "event")), strict=True):
+            if first is None or of != job:
+                if first is not None:
+                    yield out()
+                job, first, moves = of, (ts, event_id), list(_STAY)
+            step = _MOVES.get(event, _STAY)
+            moves = [(step[s][0], n + step[s][1]) for s, n in moves]
+    if first is not None:
+        yield out()
+
+
 def job_states_batch(events: DataFrame) -> DataFrame:
-    """(job_id, state, attempts) after all events of each job, by a fold over its sorted events in Spark."""
-    rows = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event"))).alias("all"))
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).alias("attempts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s, e = acc["state"], x["event"]
-        after = (
-            F.when((e == "queued") & s.isNull(), "queued").when((e == "running") & (s == "queued"), "running").when(e.isin("succeeded", "failed") & (s == "running"), e)
-            .when((e == "retry") & s.isin("running", "failed"), "queued").when((e == "cancelled") & (s == "queued"), "cancelled").otherwise(s)
-        )
-        return F.struct(after.alias("state"), (acc["attempts"] + F.when((after == "running") & (F.coalesce(s, F.lit("")) != "running"), 1).otherwise(0)).alias("attempts"))
-
-    return rows.select("job_id", F.aggregate("all", start, step).alias("s")).select("job_id", "s.state", "s.attempts").where("state is not null")
+    """(job_id, state, attempts) after all events of each job.
+
+    Events are sorted over all tasks by job, time and id, so that a job of any number of events is spread over several. Each task
+    sums up its stretch of a job as what it makes of every state, one row, and a job's stretches, at most one
+    for each task, are composed in order.
+    """
+    rows = events.select(F.col("job_id").cast("long"), F.col("ts").cast("timestamp"), F.col("event_id").cast("long"), "event")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "job_id", "ts", "event_id").sortWithinPartitions("job_id", "ts", "event_id")
+    stretches = ordered.mapInArrow(_stretches, "job_id long, ts timestamp, event_id long, ends array<int>, attempts array<int>")
+    whole = stretches.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ends", "attempts"))).alias("all"))
+    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("n"))
+    end = F.aggregate("all", start, lambda acc, x: F.struct(F.get(x["ends"], acc["s"]).alias("s"), (acc["n"] + F.get(x["attempts"], acc["s"])).alias("n")))
+    return whole.select("job_id", end.alias("e")).select("job_id", F.get(F.array(*(F.lit(s).cast("string") for s in _STATES)), F.col("e.s")).alias("state"), F.col("e.n").alias("attempts")).where("state is not null")
 
 
 def overdue_jobs(jobs: DataFrame, now: datetime | Column, timeout_seconds: int = 60) -> DataFrame:

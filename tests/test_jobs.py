@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from datetime import datetime, timezone
+
 import pytest
+from pyspark.sql import functions as F
 
 from papyrarc.operators import browse as B
 from papyrarc.operators import ledger as L
@@ -118,3 +122,114 @@ def test_latest_pointer_takes_late_arrivals_only_if_not_older(spark):
 def test_state_machine():
     assert J.next_state("running", "cancelled") == "running"
     assert J.next_state("queued", "cancelled") == "cancelled"
+
+
+def test_suppression_keeps_its_state_from_batch_to_batch(spark, sf_dir, tmp_path):
+    rows = Q.submissions(spark, sf_dir).where("key % 4 = 1")
+    batch = {(r.key, r.event_id) for r in J.suppress_fresh_batch(rows, 86400).collect()}
+    several = [(r.key, r.event_id) for r in _stream(spark, rows, tmp_path, lambda s: J.suppress_fresh(s, 86400), "append", parts=3).collect()]
+    assert len(several) == len(batch) and set(several) == batch
+
+
+def test_late_submissions_are_suppressed(spark, tmp_path):
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc)
+    rows = spark.createDataFrame([(1, 1, at(0)), (1, 2, at(100)), (1, 3, at(50)), (1, 4, at(199)), (1, 5, at(200))], "key long, event_id long, ts timestamp")
+    out = _stream(spark, rows, tmp_path, lambda s: J.suppress_fresh(s, 100), "append", parts=5, order="event_id")
+    assert sorted(r.event_id for r in out.collect()) == [1, 2, 5]
+
+
+def test_job_states_over_several_batches(spark, sf_dir, tmp_path):
+    rows = Q.job_events(spark, sf_dir).where("job_id % 5 = 1")
+    out = _stream(spark, rows, tmp_path, lambda s: J.job_states(s.withWatermark("ts", "1000 days")), "update", parts=3)
+    most = {}
+    for r in out.where("not overdue").collect():
+        most[r.job_id] = max(most.get(r.job_id, 0), r.attempts)
+    assert most == {r.job_id: r.attempts for r in J.job_states_batch(rows).collect()}
+
+
+def test_watchdog_tells_overdue_jobs(spark, tmp_path):
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc)
+    events = [(1, 1, at(0), "queued"), (1, 2, at(10), "running"), (2, 3, at(20), "queued"), (2, 4, at(30), "running"), (2, 5, at(40), "succeeded"), (3, 6, at(36_000), "queued"), (4, 7, at(72_000), "queued"), (5, 8, at(90_000), "queued")]
+    df = spark.createDataFrame(events, "job_id long, event_id long, ts timestamp, event string")
+    out = _stream(spark, df, tmp_path, lambda s: J.job_states(s.withWatermark("ts", "1 minute")), "update", parts=8)
+    assert {(r.job_id, r.state, r.attempts) for r in out.where("overdue").collect()} == {(1, "running", 1)}
+
+
+@pytest.mark.parametrize("seconds", [0, 1, 7, 60])
+def test_suppression_batch_by_brute_force(spark, seconds):
+    """Many events of one key in short order, ties, pauses, and a null key."""
+    rng = random.Random(seconds)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), i, datetime.fromtimestamp(1_700_000_000 + rng.choice([0, 500, 90_000]) + rng.randint(0, 200) / 2, timezone.utc)) for i in range(900)]
+    want, last = set(), {}
+    for key, i, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        if key not in last or (ts - last[key]).total_seconds() >= seconds:
+            last[key] = ts
+            want.add((key, i))
+    got = J.suppress_fresh_batch(spark.createDataFrame(rows, "key long, event_id long, ts timestamp").repartition(3), seconds).collect()
+    assert len(got) == len(want) and {(r.key, r.event_id) for r in got} == want
+
+
+def test_job_states_batch_by_brute_force(spark):
+    """One job with most events, so that its stretches lie in several tasks."""
+    rng = random.Random(3)
+    kinds = ["queued", "running", "succeeded", "failed", "retry", "cancelled", "unknown"]
+    rows = [(rng.choice([7] * 9 + [8, 9]), i, datetime.fromtimestamp(1_700_000_000 + rng.randint(0, 400), timezone.utc), rng.choice(kinds)) for i in range(3000)] + [(11, 9000, datetime.fromtimestamp(1_700_000_000, timezone.utc), "running")]
+    states, attempts = {}, {}
+    for job, _, _, event in sorted(rows, key=lambda r: (r[2], r[1])):
+        before = states.get(job)
+        states[job] = J.next_state(before, event)
+        attempts[job] = attempts.get(job, 0) + (states[job] == "running" and before != "running")
+    got = J.job_states_batch(spark.createDataFrame(rows, "job_id long, event_id long, ts timestamp, event string").repartition(3)).collect()
+    assert {r.job_id: (r.state, r.attempts) for r in got} == {j: (s, attempts[j]) for j, s in states.items() if s}
+
+
+@pytest.mark.parametrize("order", ["newest", "oldest", "relevance"])
+def test_pages_of_every_order(spark, order):
+    """Days without and with many captures, ties, and captures without a time."""
+    rng = random.Random(1)
+    rows = [(i, None if i % 17 == 0 else datetime(2024, 1, rng.choice([1, 1, 1, 2, 9]), rng.randint(0, 3)), rng.randint(0, 9) / 3) for i in range(230)]
+    df = spark.createDataFrame(rows, "capture_id long, captured_at timestamp_ntz, bm25 double").cache()
+    whole = [r.capture_id for r in df.orderBy(*B.sort_keys(order)).collect()]
+    for offset in (0, 40, 120, 200, 229, 10**9):
+        page = B.result_page(df, order, 40, offset).collect()
+        at = min(offset, 200)
+        assert [r.capture_id for r in page] == whole[at : at + 40] and {(r.total, r.page_offset) for r in page} == {(230, at)}
+    assert B.result_page(df.limit(0), order).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_trimmed_durations_by_brute_force(spark, kind):
+    rng = random.Random(2)
+    for n in (0, 1, 2, 19, 400):
+        values = [rng.choice([5, 5, 5, rng.randint(0, 10**9), rng.randint(0, 100)]) for _ in range(n)]
+        values = [v + rng.random() for v in values] if kind == "double" else values
+        other = 1.0 if kind == "double" else 1
+        df = spark.createDataFrame([("succeeded", v) for v in values] + [("failed", other), ("succeeded", None)], f"status string, duration_ms {kind}")
+        (got,) = B.trimmed_durations(df, bins=16).collect()
+        kept = sorted(values)[: max(1, int(n * 0.95))]
+        assert got.p95 == (kept[-1] if kept else 0) and got.average == pytest.approx(sum(kept) / len(kept) if kept else 0.0)
+
+
+def test_ids_need_a_unique_order(spark):
+    source = spark.createDataFrame([("a", "http://e.com/1", "x", 7), ("b", "http://e.com/2", "y", 7)], "source_id string, url string, body string, `order` long")
+    ledger = spark.createDataFrame([], "source_id string, outcome string, capture_id long, content_hash string")
+    stored = spark.createDataFrame([], "capture_id long, content_hash string, status string")
+    with pytest.raises(ValueError, match="different numbers"):
+        L.plan_import(source, ledger, stored)
+
+
+def test_a_broken_table_is_found(spark, sf_dir, tmp_path):
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("labels", "pages")}
+    A.write_snapshot(tables, str(tmp_path / "s"))
+    assert {(r.name, r.ok) for r in A.verify_snapshot(spark, str(tmp_path / "s"), ["labels", "pages"]).collect()} == {("labels", True), ("pages", True)}
+    # one changed value, and as many rows
+    labels = tables["labels"]
+    first = labels.agg({"doc_id": "min"}).first()[0]
+    labels.withColumn("toxic", F.when(F.col("doc_id") == first, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int")).write.mode("overwrite").parquet(str(tmp_path / "s" / "labels"))
+    assert {(r.name, r.ok) for r in A.verify_snapshot(spark, str(tmp_path / "s"), ["labels", "pages"]).collect()} == {("labels", False), ("pages", True)}
+
+
+def test_fingerprint_tells_types(spark):
+    one, two = spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(1, "x")], "a long, b string")
+    of = lambda df: A.schema_fingerprint({"t": df}).first()[0]
+    assert of(one) != of(two) and of(one) == of(one.select("b", "a")) == of(one.limit(0))
