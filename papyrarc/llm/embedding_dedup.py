@@ -16,6 +16,8 @@ from .covertree import build, pairs_within
 
 BLOCK = 1024
 PIVOTS = 64
+#: Labels that get pivots are the largest ones, so many that the driver and broadcasts hold PIVOTS * PIVOTED_LABELS vectors at most.
+PIVOTED_LABELS = 300
 
 
 def usable(vector: Column) -> Column:
@@ -94,7 +96,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     Returns (id_col, n_links, component_id, kept), a row for each vector. Exact: every pair of a label is either
     compared in double precision or ruled out by covering radii.
 
-    The top of the tree is laid over all executors: at most max_pivots rows of each label (those of least hash) are cell
+    The top of the tree is laid over all executors: at most max_pivots rows of each of the PIVOTED_LABELS largest labels (those of least hash) are cell
     centers, and a pair of cells is dropped if centers and covering radii say that no two of their rows can be near. Cells
     are cut into blocks of about `block` rows by hash, and each remaining pair of blocks is a task, which
     builds cover trees and descends them together. Tasks return counts and each row's least linked row, never pairs, so a group of
@@ -112,12 +114,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         "vectors",
     )
     valid = rows.where("part is not null and id is not null")
-    sizes = valid.groupBy("part").count()
-    # every label's pivots are the few rows of least hash: bounded by max_pivots for each label
+    sizes = materialise(valid.groupBy("part").count(), "sizes")
+    # the largest labels' pivots are the few rows of least hash: bounded by max_pivots for each of PIVOTED_LABELS labels
     hashed = valid.select("part", F.struct(F.xxhash64("key").alias("h"), "key").alias("k"))
-    bound = sizes.select("part", F.least(F.lit(max_pivots), F.ceil(F.col("count") / block)).cast("int").alias("cells"), "count")
-    salted = hashed.groupBy("part", F.pmod(F.col("k.h"), F.lit(max_pivots)).alias("s")).agg(F.min("k").alias("k"))
-    chosen = salted.join(bound, "part").where(F.col("s") < F.col("cells")).select("k.key", "s")
+    large = sizes.where(F.col("count") > block).orderBy(F.desc("count"), "part").limit(PIVOTED_LABELS)
+    bound = F.broadcast(large.select("part", F.least(F.lit(max_pivots), F.ceil(F.col("count") / block)).cast("int").alias("cells"), "count"))
+    salted = hashed.join(bound, "part").groupBy("part", "cells", F.pmod(F.col("k.h"), F.lit(max_pivots)).alias("s")).agg(F.min("k").alias("k"))
+    chosen = salted.where(F.col("s") < F.col("cells")).select("k.key", "s")
     picked = valid.join(F.broadcast(chosen), "key").select("part", "s", "vector").toArrow()
     pivots: dict[int, np.ndarray] = {}
     if picked.num_rows:
@@ -126,22 +129,25 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
             pivots[int(part)] = unit_rows(picked.filter(pa.array(part_of == part)).sort_by("s")["vector"])
     shared = spark.sparkContext.broadcast(pivots)
     celled = materialise(valid.select("key", "id", "part", "vector").mapInArrow(_to_cells(shared, block), "key long, id long, part long, cell long, distance double, vector array<double>"), "cells")
-    cells = celled.groupBy("part", "cell").agg(F.max("distance").alias("radius"), F.count("*").alias("n")).collect()  # at most max_pivots for each label
     limit = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     by_part: dict[int, list] = {}
-    for c in cells:
+    for c in celled.where(F.col("part").isin(list(pivots))).groupBy("part", "cell").agg(F.max("distance").alias("radius"), F.count("*").alias("n")).collect():  # at most max_pivots for each pivoted label
         by_part.setdefault(c["part"], []).append(c)
     plan = []
     for part, own in by_part.items():
         for a in own:
             near = []
             for b in own:
-                d = 0.0 if a is b or part not in pivots else float(np.linalg.norm(pivots[part][a["cell"]] - pivots[part][b["cell"]]))
+                d = 0.0 if a is b else float(np.linalg.norm(pivots[part][a["cell"]] - pivots[part][b["cell"]]))
                 if d - a["radius"] - b["radius"] <= limit:
                     near.append((int(b["cell"]), max(1, -(-int(b["n"]) // block))))
             plan.append((part, int(a["cell"]), max(1, -(-int(a["n"]) // block)), near))
     planned = spark.createDataFrame(plan, "part long, cell long, blocks int, near array<struct<cell:long,blocks:int>>")
-    placed = celled.join(F.broadcast(planned), ["part", "cell"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("long"))
+    # labels without pivots are one cell; none of them has more than a PIVOTED_LABELS-th of all rows, unless it is a single block
+    found_plan = celled.join(F.broadcast(planned), ["part", "cell"], "left")
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    alone = found_plan.where("blocks is null").drop("blocks", "near").join(sizes, "part").select("key", "id", "part", "cell", "vector", blocks.alias("blocks"), F.array(F.struct(F.lit(0).cast("long").alias("cell"), blocks.alias("blocks"))).alias("near"))
+    placed = found_plan.where("blocks is not null").select(alone.columns).union(alone).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("long"))
     own = F.col("cell") * (1 << 32) + F.col("block")
     others = F.flatten(F.transform("near", lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda b: c["cell"] * (1 << 32) + b.cast("long"))))
     tasks = placed.select("key", "id", "vector", F.col("part").alias("task"), own.alias("own"), F.explode(others).alias("other")).select(
