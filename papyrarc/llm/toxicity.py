@@ -298,7 +298,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts among the texts that have it. It must stand in min_texts toxic texts and after min_contexts
     different words, which a passage that is merely copied does not, and its share must exceed that of all
     texts by more than chance, given how many features are tried. max_features bounds the model: the
-    features of most toxic texts are kept. All labelled rows are counted. A text's score is the share of toxic ones among
+    features of most toxic texts are kept, down to a count at which they are no more than that. All labelled rows are counted. A text's score is the share of toxic ones among
     the labelled texts whose largest weight is about the same, made to rise with the weight. A text with several labels is toxic
     if one of them says so; null labels are ignored.
     """
@@ -320,9 +320,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     found = (
         toxic.mapInArrow(_learn_toxic(model), "feature string, n long, contexts long")
         .groupBy("feature").agg(F.sum("n").alias("n"), F.bit_count(F.expr("bit_or(contexts)")).alias("contexts"))
-        .where((F.col("n") >= min_texts) & (F.col("contexts") >= min_contexts))
-        .orderBy(F.desc("n"), "feature").limit(max_features).select("feature", "n").toArrow()
+        .where((F.col("n") >= min_texts) & (F.col("contexts") >= min_contexts)).select("feature", "n", F.floor(8 * F.log2("n")).alias("class"))
     )
+    found = materialise(found, "features")
+    held, least = 0, None
+    for row in found.groupBy("class").count().orderBy(F.desc("class")).collect():  # at most 8 * 63 classes of counts
+        held += row["count"]
+        if held > max_features:
+            break
+        least = row["class"]
+    found = found.where(F.col("class") >= F.lit(least).cast("long")).select("feature", "n").toArrow()
     bad = dict(zip(found["feature"].to_pylist(), found["n"].to_pylist(), strict=True))
     wanted = spark.sparkContext.broadcast(frozenset(bad))
     got = clean.mapInArrow(_count_clean(model, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
