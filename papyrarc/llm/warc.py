@@ -52,12 +52,14 @@ def _record(kind: str, fields: list[tuple[str, Column]], block: Column) -> Colum
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 5000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 5000, archive_bytes: int = 256 << 20) -> None:
     """Write gzipped WARC files with three records for each row.
 
     Of rows with equal payloads of at least `min_bytes`, the one with the largest id is a response and the
     others are revisits that refer to it; a null payload is empty. Repeated ids are numbered, so that each row has
     records of its own; of equal payloads with the same largest id the highest number is the response. A null id comes before all.
+    A file holds the records of records_per_file rows at most, and of fewer if the largest payload asks for it, so that no archive has more
+    than about archive_bytes (or one row) before compression and each can be read by one task.
     Only ids and digests are joined to find copies; a group of copies of any size is dealt over salted keys.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
@@ -91,7 +93,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     metadata = _record("metadata", [("WARC-Record-ID", of(METADATA)), ("WARC-Concurrent-To", of(RESPONSE)), *common, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit(CRLF)))
     capture = F.concat_ws(CRLF * 2, request, F.when(F.col("again"), revisit).otherwise(response), metadata)
     # every record ends with two line breaks: between the records of a row by concat_ws, after a row by the sink
-    all_rows.select(capture.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    largest = rows.agg(F.coalesce(F.max("bytes"), F.lit(0))).first()[0]
+    in_file = max(1, min(records_per_file, archive_bytes // (largest + 4096)))
+    all_rows.select(capture.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", in_file).text(path)
 
 
 _READ = pa.schema([

@@ -128,6 +128,14 @@ def test_ties_go_to_the_smaller_id():
             assert [(-c, ids[j]) for c, j in zip(cos, rows, strict=True)] == want
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(i, "http://e.com/", "z" * 50_000 + str(i)) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"), archive_bytes=120_000)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in Path(tmp_path / "w").glob("part-*")]
+    assert len(sizes) >= 6 and max(sizes) <= 120_000
+    assert warc.assemble_captures(warc.read_records(spark, str(tmp_path / "w"), with_payload=True)).count() == 12
+
+
 def test_archives(spark, tmp_path):
     pages = [(1, "http://e.com/a", "<p>x\r\n\r\nWARC/1.1</p>"), (2, "http://e.com/b?q", "<p>x\r\n\r\nWARC/1.1</p>"), (3, None, None), (4, "http://e.com/c", ""), (5, "http://e.com/é", "été"), (5, "http://e.com/é", "été"), (6, "http://e.com/d", "d"), (6, "http://e.com/e", "e"), (-7, "http://e.com/f", "d"), (None, "http://e.com/g", "d"), (8, "x", "y" * 300_000)]
     df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, digest string, key int").repartition(2)
