@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where a test set none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("papyrarc.scratch.dir", None)
-        if not path:
-            path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-            spark.conf.set("papyrarc.scratch.dir", path)
-    return path.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, or the warehouse where that is not set."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
