@@ -170,6 +170,60 @@ def test_languages(odd_docs, no_docs, spark, sf_dir):
     assert language_id.identify_language(no_docs, model).count() == 0
 
 
+def test_languages_by_brute_force(odd_docs, spark, sf_dir):
+    """Naive Bayes in plain Python, one n-gram after the other."""
+    docs = docs_of(spark, sf_dir).where("doc_id < 120").select("doc_id", "text", "lang").union(odd_docs.select("doc_id", "text", "lang"))
+    rows = docs.collect()
+    size, orders, smoothing = 512, (1, 2, 3), 0.5
+    grams = lambda t: language_id.ngram_buckets([t.replace("\0", " ")], orders, size)[0].tolist()
+    counts, seen = {}, Counter()
+    for r in rows:
+        if r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+            seen[r.lang] += 1
+    want = Counter()
+    for r in rows:
+        mine = Counter(grams(r.text or ""))
+        if not mine:
+            want[str(r.doc_id), "und", 0.0] += 1
+            continue
+        logs = {x: math.log(seen[x] / sum(seen.values()) + 1e-12) + sum(n * math.log((c[g] + smoothing) / (sum(c.values()) + smoothing * size)) for g, n in mine.items()) for x, c in counts.items()}
+        best = min(x for x in logs if logs[x] == max(logs.values()))
+        want[str(r.doc_id), best, round(1 / sum(math.exp(v - logs[best]) for v in logs.values()), 6)] += 1
+    model = language_id.train_language_model(docs, "text", "lang", orders, size, smoothing)
+    assert Counter((str(r.doc_id), r.lang_pred, round(r.score, 6)) for r in language_id.identify_language(docs, model).collect()) == want
+
+
+def test_decoding_by_all_paths():
+    """The likeliest path of a short token's lattice, by trying every path."""
+    model = toxicity.CharacterModel(toxicity.trigram_counts("the idiot was stupid and a moron in the old trash book bell " * 50))
+    logs, border = model.logs, toxicity.LETTERS - 1
+
+    def paths(token, i, a, b, score, out):
+        if i == len(token):
+            yield score + logs[a][b][border], out
+            return
+        c = token[i]
+        letters = c if c.isalpha() else ""
+        for x, cost in [*((x, 0.0) for x in letters), *((x, toxicity.SUBSTITUTED) for x in toxicity.LEET.get(c, ""))]:
+            yield from paths(token, i + 1, b, toxicity._code(x), score + logs[a][b][toxicity._code(x)] + cost, out + x)
+        if i and c == token[i - 1] and letters:
+            yield from paths(token, i + 1, a, b, score + toxicity.REPEATED, out)
+        elif c in toxicity.SPACERS and 0 < i < len(token) - 1:
+            yield from paths(token, i + 1, a, b, score + toxicity.SPACED, out)
+        if not letters:
+            yield from paths(token, i + 1, border, border, score + logs[a][b][border] + toxicity.SYMBOL_KEPT, out + c)
+
+    rng = np.random.default_rng(7)
+    written = ["iidiot", "stuupid", "idioot", "bbook", "1d!0t", "m.o-r.on", "tr@@sh", "be11", "b00k", "the", "oold", "$tuupid"]
+    written += ["".join(rng.choice(list("aoitsd10$.-"), 6)) for _ in range(60)]
+    for token in written:
+        scored = sorted(paths(token, 0, border, border, 0.0, ""), reverse=True)
+        best = {out for score, out in scored if score > scored[0][0] - 1e-9}
+        assert toxicity.decode_token(token, model) in best, token
+    assert toxicity.decode_token("stuupid", model) == "stupid" and toxicity.decode_token("iidiot", model) == "idiot" and toxicity.decode_token("book", model) == "book"
+
+
 def test_ngrams_stay_within_their_text():
     one, cut = language_id.ngram_buckets(["abc", "", "12", "x-y"], (1, 2, 3), 1 << 20)
     alone = [language_id.ngram_buckets([t], (1, 2, 3), 1 << 20)[0] for t in ("abc", "", "12", "x-y")]
