@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .common import drop_scratch, materialise
 
 
-HOT_NODES = 20_000
+#: Nodes are joined apart if they have so many rows, and so many that there can be no more than HOT_NODES of them.
+HOT_NODES, HOT_LEAST = 20_000, 1000
 
 
 def _with_least(edges: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
@@ -17,7 +18,7 @@ def _with_least(edges: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
     Nodes with so many rows that there can be no more than HOT_NODES of them are few, and so are broadcast; their rows stay where
     they are. All others are joined by key, and none of them fills a task.
     """
-    many = max(1000, 1 + n_rows // HOT_NODES)
+    many = max(HOT_LEAST, 1 + n_rows // HOT_NODES)
     hot = F.broadcast(least.where(F.col("n") >= many).select(F.col("a").alias("of"), F.col("m").alias("hot_m")))
     marked = edges.join(hot, F.col("a") == F.col("of"), "left")
     rest = marked.where("of is null").select("a", "b").join(least.where(F.col("n") < many).select("a", "m"), "a")

@@ -17,6 +17,7 @@ from .superminhash import bands, signatures
 from .wordhash import chunks, shingle_hashes, word_hashes
 
 CHUNK_BYTES = 1 << 20
+PIVOTS = 16
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -101,39 +102,86 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list
     return out
 
 
-def _verify(numerator: int, denominator: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("block", pa.int64())])
+
+
+def _links(group: pa.Table, numerator: int, denominator: int) -> np.ndarray:
+    """(n, n) which of a task's sets are similar enough."""
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    both = intersections(sets)
+    return denominator * both >= numerator * (sizes[:, None] + sizes[None, :] - both)
+
+
+class _Found:
+    """Rows for the links of tasks and for what is left to do, in batches."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[list, list, list, list]] = []
+        self.size = 0
+
+    def add(self, a: list[int], b: list[int | None], bucket: int | None = None, block: int | None = None) -> None:
+        self.rows.append((a, b, [bucket] * len(a), [block] * len(a)))
+        self.size += len(a)
+
+    def batch(self) -> pa.RecordBatch:
+        columns = [[x for part in parts for x in part] for parts in zip(*self.rows, strict=True)] if self.rows else [[]] * 4
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_FOUND)
+
+
+def _verify_blocks(numerator: int, denominator: int):
+    """Links within a block and to its bucket's pivots, and the block's rows that no pivot of the bucket's main group is linked to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
-        for group in runs(batches, ["bucket", "ti", "tj"]):
-            ids = group.column("rep").to_pylist()
-            block = group.column("block").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            if len(sets) < 2:
+        found = _Found()
+        for group in runs(batches, ["bucket", "block"]):
+            ids, pivot = group.column("rep").to_numpy(), group.column("pivot").to_numpy()
+            if len(ids) < 2:
                 continue
-            sizes = np.array([len(s) for s in sets])
-            both = intersections(sets)
-            union = sizes[:, None] + sizes[None, :] - both
-            linked = np.triu(denominator * both >= numerator * union, 1)
-            ti, tj = group.column("ti")[0].as_py(), group.column("tj")[0].as_py()
-            if ti != tj:  # pairs within a block belong to that block's own task
-                linked &= block[:, None] != block[None, :]
-            x, y = forest(len(sets), *np.nonzero(linked))
-            a += [ids[i] for i in x]
-            b += [ids[i] for i in y]
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            linked = _links(group, numerator, denominator)
+            x, y = forest(len(ids), *np.nonzero(np.triu(linked, 1)))
+            found.add(ids[x].tolist(), ids[y].tolist())
+            if pivot.any():
+                # every block of the bucket sees the same pivots, and so agrees on the main group of those that are linked
+                at = np.flatnonzero(pivot)
+                at = at[np.lexsort(([len(group.column("shingles")[int(i)].as_py()) for i in at], ids[at]))]
+                root = np.arange(len(at))
+                for i, j in zip(*np.nonzero(np.triu(linked[np.ix_(at, at)], 1)), strict=True):
+                    root[root == root[j]] = root[i]
+                main = at[root == np.bincount(root).argmax()]
+                far = np.flatnonzero(~pivot & ~linked[:, main].any(1))
+                if len(far):
+                    found.add(ids[far].tolist(), [None] * len(far), group.column("bucket")[0].as_py(), group.column("block")[0].as_py())
+            if found.size > 50_000:
+                yield found.batch()
+        yield found.batch()
+
+    return run
+
+
+def _verify_across(numerator: int, denominator: int):
+    """Links between a bucket's rows that are far from its pivots and the rows of another block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Found()
+        for group in runs(batches, ["bucket", "block", "part"]):
+            ids, side = group.column("rep").to_numpy(), group.column("side").to_numpy()
+            if side.all() or not side.any():
+                continue
+            linked = np.triu(_links(group, numerator, denominator) & (side[:, None] != side[None, :]), 1)
+            x, y = forest(len(ids), *np.nonzero(linked))
+            found.add(ids[x].tolist(), ids[y].tolist())
+            if found.size > 50_000:
+                yield found.batch()
+        yield found.batch()
 
     return run
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85,
-    n_bands: int = 20, band_width: int = 5, block: int = 128,
+    n_bands: int = 20, band_width: int = 5, block: int = 256,
 ) -> DataFrame:
     """Group documents whose sets of k-word shingles have a Jaccard similarity of `percent`/100 or more.
 
@@ -144,9 +192,13 @@ def near_duplicates(
     2. Texts with equal sets form a class, whose least id stands for it. Copies meet in a grouped
        minimum, never as pairs.
     3. Classes that share a band's key form a bucket. Buckets with the same members are verified once. A
-       bucket is cut into blocks of about `block` classes and each pair of blocks is a task of its
-       own, so that a bucket of any size is spread evenly; no pairs are emitted.
-    4. A task intersects whole sets exactly and returns a spanning forest of the confirmed links.
+       bucket is cut into blocks of about `block` classes, each a task of its own, so that a bucket of any size is
+       spread evenly; no pairs are emitted. A task intersects whole sets exactly and returns a spanning forest of the
+       confirmed links.
+    4. The blocks of a bucket also get up to PIVOTS of its classes. Classes that are linked to one of the main
+       group of these need no comparison with each other across blocks, as they belong together already. Only those that are
+       not so linked are compared with all other blocks, in parts of about `block`. So no link between
+       components is lost, and the sets of a bucket of copies are sent once, not once for each other block.
     5. Connected components of those forests give component_id.
 
     A pair at the very threshold shares no band with a probability of (1 - 0.85^5)^20 = 8e-6.
@@ -169,17 +221,27 @@ def near_duplicates(
         .groupBy("n", "least", "members").agg(F.min(F.struct("band", "key")).alias("at"))
         .select("at.band", "at.key", F.xxhash64("at.band", "at.key").alias("bucket"), F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks"))
     )
-    members = keyed.join(buckets, ["band", "key"]).select("bucket", "rep", "blocks", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as int)").alias("block"))
-    tasks = materialise(
-        members.select("bucket", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("bucket", "rep", F.col("block").cast("long"), F.least("block", "other").cast("long").alias("ti"), F.greatest("block", "other").cast("long").alias("tj")),
-        "tasks",
-    )
-    texts = docs.join(tasks.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = texts.mapInArrow(_shingle_table(k), "rep long, shingles binary").dropDuplicates(["rep", "shingles"])
+    members = materialise(keyed.join(buckets, ["band", "key"]).select("bucket", "rep", "blocks", F.expr("cast(pmod(xxhash64(rep, 7), blocks) as long)").alias("block")), "members")
+    large = members.where("blocks > 1")
+    pivots = large.groupBy("bucket", "blocks", F.expr(f"pmod(xxhash64(rep, 11), {PIVOTS})").alias("s")).agg(F.min_by("rep", F.xxhash64("rep", F.lit(13))).alias("rep"))
+    tasks = members.select("bucket", "block", "rep", F.lit(False).alias("pivot")).union(pivots.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)), "rep", F.lit(True)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = tasks.join(sets, "rep").repartition(parts, "bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj")
-    edges = work.mapInArrow(_verify(percent, 100), "a long, b long")
+
+    def with_sets(tasks: DataFrame, *keys: str) -> DataFrame:
+        wanted = docs.join(tasks.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+        sets = wanted.mapInArrow(_shingle_table(k), "rep long, shingles binary").dropDuplicates(["rep", "shingles"])
+        return tasks.join(sets, "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    kind = "a long, b long, bucket long, block long"
+    found = materialise(with_sets(tasks, "bucket", "block").mapInArrow(_verify_blocks(percent, 100), kind), "found")
+    edges = found.where("b is not null").select("a", "b")
+    far = found.where("b is null").select("bucket", "block", F.col("a").alias("rep"))
+    if far.take(1):
+        n_parts = far.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        ours = far.join(n_parts, "bucket").join(large.select("bucket", F.col("rep"), "blocks"), ["bucket", "rep"]).select("bucket", F.col("block").alias("own"), "rep", F.expr("cast(pmod(xxhash64(rep, 17), parts) as long)").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
+        theirs = large.join(n_parts, "bucket").select("bucket", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "rep", F.lit(True).alias("side"))
+        across = materialise(ours.where("own <> block").select("bucket", "block", "part", "rep", F.lit(False).alias("side")).union(theirs), "across")
+        edges = edges.union(with_sets(across, "bucket", "block", "part").mapInArrow(_verify_across(percent, 100), kind).select("a", "b"))
     extra = linked.select("id", "digest").join(classes.select("digest", "rep"), "digest").where("id <> rep")
     repeated = linked.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("id")
     links = edges.union(extra.join(repeated, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))

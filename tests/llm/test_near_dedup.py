@@ -62,6 +62,35 @@ def test_large_groups_of_near_copies(spark):
     assert got(near_duplicates(df, block=16)) == brute(rows)
 
 
+def test_large_buckets_of_unlike_documents(spark):
+    """Bands of one value gather documents that share little; those far from all pivots still find each link across blocks."""
+    rng = random.Random(2)
+    common = sentence(rng, 25).split()
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{j}" for j in range(rng.randint(30, 60))]
+        for i in range(rng.choice([1, 3, 14])):
+            words = common + list(own)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 999)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent in (85, 60):
+        assert got(near_duplicates(df, percent=percent, n_bands=60, band_width=1, block=5)) == brute(rows, percent=percent)
+
+
+@pytest.mark.parametrize("hot", [3, 2000])
+def test_components_with_hot_nodes(spark, hot, monkeypatch):
+    """Stars of many more edges than others, joined through a long chain, whose nodes are joined apart or not."""
+    monkeypatch.setattr("papyrarc.llm.components.HOT_LEAST", hot)
+    edges = [(0 if i % 2 else 5000, i) for i in range(1, 400)] + [(5000 + i, 5001 + i) for i in range(6)] + [(9000, 9001)]
+    out = {r.id: r.component for r in components(spark.createDataFrame([(max(e), min(e)) for e in edges], "a long, b long")).collect()}
+    want = {x: 5000 for x in range(5000, 5007)} | {i: 0 if i % 2 else min(range(2, 400, 2)) for i in range(1, 400)} | {0: 0, 9000: 9000, 9001: 9000}
+    want |= {x: 2 for x in range(5000, 5007)}
+    assert out == want
+
+
 def test_given_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert got(near_duplicates(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
