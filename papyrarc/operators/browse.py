@@ -92,6 +92,11 @@ def available_formats(status: Column, body_format: Column, pdf_sha256: Column, p
     return F.filter(F.array(*names), lambda f: f.isNotNull())
 
 
+def blob_totals(blobs: DataFrame, by: str, hash_col: str, size_col: str) -> DataFrame:
+    """(by, blobs, bytes, files): distinct contents, and bytes and number of all files."""
+    return blobs.groupBy(by).agg(F.count_distinct(hash_col).alias("blobs"), F.coalesce(F.sum(size_col), F.lit(0)).cast("long").alias("bytes"), F.count("*").alias("files"))
+
+
 def latest_captures(captures: DataFrame, key: str = "normalised") -> DataFrame:
     """(key, capture_id, captured_at) of each URL's newest succeeded capture, ties to the larger id."""
     best = captures.where(F.col("status") == SUCCEEDED).groupBy(key).agg(F.max(F.struct("captured_at", "capture_id")).alias("b"))

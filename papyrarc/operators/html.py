@@ -113,7 +113,7 @@ def image_sources(pages: DataFrame, id_col: str, html_col: str, base_col: str) -
     return sized.withColumn("original_url", F.when(url.rlike(r"^https?://"), url)).select(
         id_col, "order", "original_url", F.coalesce(attribute(tag, "alt"), F.lit("")).alias("alt"), attribute(tag, "title").alias("title"), "width", "height",
         (F.coalesce(F.col("width") <= 2, F.lit(False)) | F.coalesce(F.col("height") <= 2, F.lit(False))).alias("tracking"),
-        F.when(F.col("original_url").isNull(), F.concat(F.lit("Image "), (F.col("order") + 1).cast("string"), F.lit(" has no valid original URL"))).alias("warning"),
+        F.when(F.col("original_url").isNull(), F.concat(F.lit("picture "), (F.col("order") + 1).cast("string"), F.lit(": no address on the web is given"))).alias("warning"),
     )
 
 
@@ -128,10 +128,14 @@ def active_content(html: Column | str) -> dict[str, Column]:
     return {name: F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).cast("long") for name, pattern in ACTIVE.items()}
 
 
+#: Elements that go with all they hold, and tags that go alone. Fixed values.
+STRIPPED_WHOLE = ("script", "noscript", "iframe", "object", "form", "template", "svg", "style")
+
+
 def strip_active(html: Column | str) -> Column:
     """HTML without scripts, frames, forms, handlers, refreshes and unsafe links."""
     c = F.col(html) if isinstance(html, str) else html
-    for tag in ("script", "noscript", "iframe", "object", "form", "template", "svg", "style"):
+    for tag in STRIPPED_WHOLE:
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     c = F.regexp_replace(c, r"(?is)</?(?:script|noscript|i?frame|frameset|object|embed|applet|form|input|button|select|textarea|link)\b[^>]*>", "")
     c = F.regexp_replace(c, r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>", "")

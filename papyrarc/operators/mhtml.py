@@ -96,6 +96,7 @@ def resolve_references(references: DataFrame, parts: DataFrame) -> DataFrame:
     first = F.coalesce("pos_reference", "pos_resolved", "pos_cid", "pos_bare")
     how = F.when(F.col("pos_reference").isNotNull(), "location").when(F.col("pos_resolved").isNotNull(), "resolved").when(F.col("pos_cid").isNotNull(), "cid").when(F.col("pos_bare").isNotNull(), "bare")
     found = out.select("capture_id", "reference", first.alias("pos"), how.alias("by"))
+    # what is left is compared with the parts of its own capture only
     rest = found.where("pos is null").select("capture_id", "reference")
     decoded = lambda c: F.coalesce(F.try_url_decode(c), F.col(c))
     near = rest.join(parts.select("capture_id", "location", "pos").where("length(location) > 8"), "capture_id").where(F.contains(decoded("location"), decoded("reference")) | F.contains(decoded("reference"), decoded("location")))

@@ -119,8 +119,7 @@ def h6(spark, sf):
 
 @query("h7_blob_totals", "SELECT source, count(DISTINCT sha256(text)) AS blobs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS files FROM documents GROUP BY source")
 def h7(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.groupBy("source").agg(F.count_distinct(F.sha2("text", 256)).alias("blobs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("bytes"), F.count("*").alias("files"))
+    return B.blob_totals(table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("size")), "source", "sha256", "size")
 
 
 @query("h8_deletion_impact", f"WITH {CAPTURES}, {TAGS}, {JOBS} SELECT c.capture_id, coalesce(t.n, 0) AS tags, coalesce(j.n, 0) AS jobs FROM captures c LEFT JOIN (SELECT capture_id, count(*) AS n FROM tags GROUP BY 1) t USING (capture_id) LEFT JOIN (SELECT capture_id, count(*) AS n FROM jobs GROUP BY 1) j USING (capture_id)")

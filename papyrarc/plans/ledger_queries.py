@@ -191,6 +191,15 @@ def l2_tables(spark, sf):
     return row("capture", "mode", "captures").union(row("alias", "url", "aliases")).union(row("tag", "tag", "tags"))
 
 
+@query("a7_reported_outcomes", f"WITH {_PLANNED} SELECT outcome, count(*) AS n, (SELECT count(*) FROM planned) AS total, CASE WHEN outcome = 'failed' THEN least(100, count(*)) END AS listed FROM planned GROUP BY outcome")
+def a7_outcomes(spark, sf):
+    """The run report's document, read again: its counts, total, and how many failures it lists."""
+    report = F.from_json("report", "total long, outcomes map<string,long>, failures array<struct<source_id:string,detail:string>>")
+    read = A.run_report(L.plan_import(source(spark, sf), ledger(spark, sf), stored(spark, sf), retry_failed=True)).select(report.alias("r"))
+    rows = read.select(F.explode("r.outcomes").alias("outcome", "n"), F.col("r.total").alias("total"), F.size("r.failures").cast("long").alias("failures"))
+    return rows.select("outcome", "n", "total", F.when(F.col("outcome") == "failed", F.col("failures")).alias("listed"))
+
+
 #: PDFs of a legacy archive: by the document's number an original, a page, a missing file, two outputs, a wrong length.
 def pdf_tables(spark, sf):
     docs = table(spark, sf, "documents").selectExpr("doc_id", "concat('s', doc_id) AS snapshot_id", "doc_id % 5 AS k")
@@ -238,6 +247,17 @@ def h9(spark, sf):
 _PROBLEMS = "SELECT page_id AS capture_id, CASE WHEN page_id % 7 = 0 THEN 'hash differs' END AS problem FROM pages"
 
 
+@query("h9_recode_counts", "SELECT count(*) AS scanned, count_if(page_id % 7 <> 0) AS changed, CAST(0 AS BIGINT) AS retained, count_if(page_id % 7 = 0) AS failed, CAST(sum(strlen(html)) AS BIGINT) AS bytes_before FROM pages")
+def h9_counts(spark, sf):
+    """The report's figures that don't depend on the codec."""
+    return R.recode_report(R.recode_bodies(bodies(spark, sf), bodies(spark, sf).limit(0))).select("scanned", "changed", "retained", "failed", "bytes_before")
+
+
+@query("h4_outcome_counts", f"WITH {_LEDGER} SELECT coalesce(outcome, 'pending') AS outcome, count(*) AS n FROM ledger GROUP BY 1")
+def h4_outcomes(spark, sf):
+    return L.outcome_counts(ledger(spark, sf))
+
+
 @query("l7_verify_bodies", _PROBLEMS)
 def l7(spark, sf):
     return R.verify_bodies(bodies(spark, sf))
