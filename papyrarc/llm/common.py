@@ -34,14 +34,27 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    parents = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that no later plan reads."""
+    for df in tables:
+        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
+#: So many ids at most are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_of(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of `df` whose `column` is among `ids` (a column of the same name).
+
+    The ids are written and counted first: up to BROADCAST_IDS of them are broadcast, so that the rows stay where they are; more are
+    sorted and merged.
+    """
+    ids = materialise(ids.select(column).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), column, "left_semi").select(df.columns)
 
 
 def crc_mod(column: Column | str, modulus: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowgroups import runs
-from .common import materialise, table
+from .common import drop_scratch, materialise, rows_of, table
 from .components import components
 from .superminhash import bands, signatures
 from .wordhash import chunks, shingle_hashes, word_hashes
@@ -227,25 +227,28 @@ def near_duplicates(
     tasks = members.select("bucket", "block", "rep", F.lit(False).alias("pivot")).union(pivots.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)), "rep", F.lit(True)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    sets = materialise(rows_of(docs, members.select(F.col("rep").alias("id")), "id").mapInArrow(_shingle_table(k), "rep long, shingles binary").dropDuplicates(["rep", "shingles"]), "sets")
+
     def with_sets(tasks: DataFrame, *keys: str) -> DataFrame:
-        wanted = docs.join(tasks.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-        sets = wanted.mapInArrow(_shingle_table(k), "rep long, shingles binary").dropDuplicates(["rep", "shingles"])
-        return tasks.join(sets, "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
+        return tasks.join(sets.hint("merge"), "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
 
     kind = "a long, b long, bucket long, block long"
     found = materialise(with_sets(tasks, "bucket", "block").mapInArrow(_verify_blocks(percent, 100), kind), "found")
     edges = found.where("b is not null").select("a", "b")
     far = found.where("b is null").select("bucket", "block", F.col("a").alias("rep"))
+    spare = []
     if far.take(1):
         n_parts = far.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
         ours = far.join(n_parts, "bucket").join(large.select("bucket", F.col("rep"), "blocks"), ["bucket", "rep"]).select("bucket", F.col("block").alias("own"), "rep", F.expr("cast(pmod(xxhash64(rep, 17), parts) as long)").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
         theirs = large.join(n_parts, "bucket").select("bucket", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "rep", F.lit(True).alias("side"))
         across = materialise(ours.where("own <> block").select("bucket", "block", "part", "rep", F.lit(False).alias("side")).union(theirs), "across")
+        spare.append(across)
         edges = edges.union(with_sets(across, "bucket", "block", "part").mapInArrow(_verify_across(percent, 100), kind).select("a", "b"))
     extra = linked.select("id", "digest").join(classes.select("digest", "rep"), "digest").where("id <> rep")
     repeated = linked.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("id")
     links = edges.union(extra.join(repeated, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     grouped = components(links.where("a <> b"))
+    drop_scratch(members, sets, found, *spare)  # the links are in the components' own tables now
 
     home = classes.select("digest", "rep").join(grouped, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.join(home.withColumn("_on", F.lit(True)), "digest", "left")
