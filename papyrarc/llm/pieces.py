@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 SPACE = "▁"
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 450_000
 
 
 class PieceVocabulary:
@@ -31,7 +31,7 @@ class PieceVocabulary:
         self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in range(n) if lib.is_byte(i)}
         plain = [i for i in range(n) if not (lib.is_control(i) or lib.is_byte(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.scores = {self.pieces[i]: lib.get_score(i) for i in plain}
+        self.costs = {self.pieces[i]: -lib.get_score(i) for i in plain}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character; words can't be encoded one by one")
         joined = {c for p in self.ids if len(p) > 1 for c in p}
@@ -52,29 +52,25 @@ class PieceVocabulary:
         """
         if chunk in self.ids and len(chunk) == 1:
             return [self.ids[chunk]]
-        scores = self.scores
+        costs = self.costs
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-        for i in range(n - 1):
-            union = chunk[i : i + 2]
-            if union in scores:
-                agenda.append((-scores[union], i, union, i + 1))
+        agenda = [(costs[union], i, union, i + 1) for i, union in enumerate(map(str.__add__, chunk, chunk[1:])) if union in costs]
         heapq.heapify(agenda)
         while agenda:
             _, i, union, j = heapq.heappop(agenda)
-            left, right = symbols[i], symbols[j] if j < n else None
+            left, right = symbols[i], symbols[j]
             if left is None or right is None or after[i] != j or len(left) + len(right) != len(union):
                 continue
             symbols[i], symbols[j] = union, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (wider := union + symbols[k]) in scores:
-                    heapq.heappush(agenda, (-scores[wider], i, wider, k))
-            if (h := before[i]) >= 0 and (wider := symbols[h] + union) in scores:
-                heapq.heappush(agenda, (-scores[wider], h, wider, i))
+                if (wider := union + symbols[k]) in costs:
+                    heapq.heappush(agenda, (costs[wider], i, wider, k))
+            if (h := before[i]) >= 0 and (wider := symbols[h] + union) in costs:
+                heapq.heappush(agenda, (costs[wider], h, wider, i))
         out: list[int] = []
         for s in symbols:
             if s is None:
@@ -119,16 +115,28 @@ class Known:
 
     def __init__(self) -> None:
         self.ids: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
         self.differ: set[str] = set()
 
-    def learn(self, vocab: PieceVocabulary, new: list[str]) -> None:
-        """Encode and decode new chunks, and compare with the library; where it differs, its ids are taken."""
+    def want(self, vocab: PieceVocabulary, chunks: set[str]) -> None:
+        """Have these chunks in `ids`. When there are too many, those that haven't been wanted since the last time are forgotten."""
         if len(self.ids) > CACHE_LIMIT:
-            self.ids.clear()
-            self.differ.clear()
+            self.older, self.ids = self.ids, {}
+            self.differ &= self.older.keys()
+        new = []
+        for c in chunks.difference(self.ids):
+            if (held := self.older.get(c)) is None:
+                new.append(c)
+            else:
+                self.ids[c] = held
+        if new:
+            self._learn(vocab, new)
+
+    def _learn(self, vocab: PieceVocabulary, new: list[str]) -> None:
+        """Encode and decode new chunks, and compare with the library; where it differs, its ids are taken."""
         ours = [vocab.merge(c) for c in new]
         theirs = _library_ids(vocab, new)
-        texts = vocab.library.decode(theirs) if new else []
+        texts = vocab.library.decode(theirs)
         for c, a, b, text in zip(new, ours, theirs, texts, strict=True):
             ids = list(map(str, b))
             raw = vocab.raw(ids)
@@ -147,15 +155,15 @@ def _library_ids(vocab: PieceVocabulary, chunks: list[str]) -> list[list[int]]:
     """The library's ids of chunks; it puts a space before each text, which is allowed for, and gives no ids to an empty one."""
     alone = {c: f"a{c.replace(SPACE, ' ')}" if c.startswith(SPACE) else f"\n{c}" for c in chunks if not c.startswith(SPACE) or c == SPACE}
     before = {x: len(vocab.library.encode(x)) for x in ("a", "\n")}
-    got = vocab.library.encode([alone.get(c, c[1:]) for c in chunks], num_threads=1) if chunks else []
+    got = vocab.library.encode([alone.get(c, c[1:]) for c in chunks], num_threads=1)
     return [x[before[alone[c][0]] :] if c in alone else x for c, x in zip(chunks, got, strict=True)]
 
 
 def encode_texts(texts: list[str], vocab: PieceVocabulary, known: Known) -> Iterator[tuple[str, int, str, bool]]:
     """Of each text the ids in decimal with commas, how many, the text that they decode to, and whether the library has the same for all its parts."""
     parts = [vocab.chunks(t) for t in texts]
-    held, full = known.ids, len(known.ids) > CACHE_LIMIT
-    known.learn(vocab, [c for c in set().union(*map(set, parts)) if full or c not in held])
+    known.want(vocab, set().union(*map(set, parts)))
+    held = known.ids
     for chunks in parts:
         if not chunks:
             yield "", 0, "", True
