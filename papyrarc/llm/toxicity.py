@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, table
+from .common import crc_mod, drop_scratch, materialise, table
 
 #: What a written symbol may stand for. Fixed values.
 LEET = {
@@ -127,6 +129,11 @@ def decode_token(token: str, model: CharacterModel, spaced: bool = False) -> str
     return "".join(reversed(out))
 
 
+def _is_single(token: str) -> bool:
+    """Whether a token is one symbol, which a mark may follow."""
+    return len(token) == 1 or (len(token) == 2 and token[1] in _EDGES)
+
+
 class Restorer:
     """Whole texts to words, with obfuscated words restored; remembers decoded tokens up to a bound."""
 
@@ -146,13 +153,14 @@ class Restorer:
         return restored + [w for w in re.split(r"[\W\d_]+", core) if len(w) > 2 and w not in restored]
 
     def words(self, text: str) -> list[str]:
+        """The words of a text, and the letters that are written apart."""
         out: list[str] = []
         single: list[str] = []
         seen = self.seen
         if len(seen) > _CACHE_LIMIT:
             seen.clear()
         for token in text.lower().split():
-            if len(token) == 1 or (len(token) == 2 and token[1] in _EDGES):
+            if _is_single(token):
                 single.append(token[0])
                 continue
             if len(single) > 2:
@@ -169,6 +177,43 @@ class Restorer:
         return out + single
 
 
+class TokenValues:
+    """What `of` makes of the words of each different token of a text, and of those of each run of letters written apart.
+
+    Together they have the same words as `Restorer.words`; each token's value is remembered up to a bound, as most recur.
+    """
+
+    def __init__(self, restorer: Restorer, of: Callable[[list[str]], Any]) -> None:
+        self.restorer, self.of = restorer, of
+        self.seen: dict[str, Any] = {}
+        self.single: set[str] = set()
+
+    def _learn(self, token: str) -> Any:
+        if _is_single(token):
+            self.single.add(token)
+            value = self.of([token[0]])
+        else:
+            value = self.of(self.restorer._words(token))
+        self.seen[token] = value
+        return value
+
+    def values(self, text: str) -> list:
+        tokens = text.lower().split()
+        different = set(tokens)
+        if len(self.seen) > _CACHE_LIMIT:
+            self.seen.clear()
+            self.single.clear()
+        out = list(map(self.seen.get, different))
+        if None in out:
+            out = [v for v in out if v is not None] + [self._learn(t) for t in different if t not in self.seen]
+        if not self.single.isdisjoint(different):
+            for single, run in itertools.groupby(tokens, self.single.__contains__):
+                letters = "".join(t[0] for t in run) if single else ""
+                if len(letters) > 2:
+                    out.append(self.of(self.restorer._words(letters, spaced=True)))
+        return out
+
+
 STEMS = (4, 5, 6)
 
 
@@ -216,11 +261,12 @@ def _count_clean(model, wanted):
     schema = pa.schema([("feature", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, keep = Restorer(model.value), wanted.value
+        keep = wanted.value
+        kept = TokenValues(Restorer(model.value), lambda words: tuple({f for w in words for f in features(w)} & keep))
         n: dict[str, int] = {}
         for batch in batches:
             for value in batch.column(0):
-                for f in {f for w in set(restorer.words(value.as_py() or "")) for f in features(w)} & keep:
+                for f in {f for found in kept.values(value.as_py() or "") for f in found}:
                     n[f] = n.get(f, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], schema=schema)
 
@@ -249,12 +295,11 @@ def _weigh(model, weights):
     schema = pa.schema([("bin", pa.int32()), ("toxic", pa.bool_()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.value)
-        raw = ToxicityModel(model.value, weights.value)
+        weigher = TokenValues(Restorer(model.value), ToxicityModel(model.value, weights.value).weight)
         n: dict[tuple[int, bool], int] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                key = (int(raw.weight(restorer.words(text.as_py() or "")) * BINS), toxic)
+                key = (int(max(weigher.values(text.as_py() or ""), default=0.0) * BINS), toxic)
                 n[key] = n.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in n], pa.int32()), pa.array([t for _, t in n], pa.bool_()), pa.array(n.values(), pa.int64())], schema=schema)
 
@@ -283,11 +328,10 @@ class ToxicityModel:
         weights = self.weights
         return max((weights[f] for w in set(words) for f in features(w) if f in weights), default=0.0)
 
-    def score(self, words: list[str]) -> float:
-        """The share of toxic texts among training texts of that weight; the weight itself parts equal shares."""
+    def score(self, w: float) -> float:
+        """The share of toxic texts among training texts whose largest weight is about w; the weight itself parts equal shares."""
         if self.shares is None:
             return 0.0
-        w = self.weight(words)
         return 0.999 * float(self.shares[int(w * BINS)]) + 0.001 * w
 
 
@@ -329,8 +373,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         if held > max_features:
             break
         least = row["class"]
-    found = found.where(F.col("class") >= F.lit(least).cast("long")).select("feature", "n").toArrow()
-    bad = dict(zip(found["feature"].to_pylist(), found["n"].to_pylist(), strict=True))
+    table_ = found.where(F.col("class") >= F.lit(least).cast("long")).select("feature", "n").toArrow()
+    drop_scratch(found)
+    bad = dict(zip(table_["feature"].to_pylist(), table_["n"].to_pylist(), strict=True))
     wanted = spark.sparkContext.broadcast(frozenset(bad))
     got = clean.mapInArrow(_count_clean(model, wanted), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     good = dict(zip(got["feature"].to_pylist(), got["n"].to_pylist(), strict=True))
@@ -347,6 +392,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             p = (n + prior) / (m + 1)
             weights[f] = p - math.sqrt(p * (1 - p) / (m + 1))
     got = rows.mapInArrow(_weigh(model, spark.sparkContext.broadcast(weights)), "bin int, toxic boolean, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).toArrow()
+    drop_scratch(rows)
     counts = np.zeros((2, BINS + 1))
     counts[got["toxic"].to_numpy(zero_copy_only=False).astype(int), got["bin"].to_numpy()] = got["n"].to_numpy()
     return ToxicityModel(characters, weights, rising(counts[1], counts.sum(0)))
@@ -362,9 +408,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        restorer = Restorer(model.characters)
+        weigher = TokenValues(Restorer(model.characters), model.weight)
         for batch in batches:
-            scores = [model.score(restorer.words(value.as_py() or "")) for value in batch.column(1)]
+            scores = [model.score(max(weigher.values(value.as_py() or ""), default=0.0)) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -378,9 +424,11 @@ def keep_harmless(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        restorer = Restorer(model.characters)
-        for batch in batches:
-            yield batch.filter(pa.array([model.score(restorer.words(value.as_py() or "")) < threshold for value in batch.column(at)], pa.bool_()))
+        weigher = TokenValues(Restorer(model.characters), model.weight)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):  # rows come back with their texts, so few at a time
+                batch = whole.slice(first, 1000)
+                yield batch.filter(pa.array([model.score(max(weigher.values(value.as_py() or ""), default=0.0)) < threshold for value in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
