@@ -6,7 +6,7 @@ import functools
 import os
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 200_000
 SEPARATOR = (0).to_bytes(4, "little")
 #: str.split() also splits at these, which the tokenizer's rules don't count as white space.
 _NOT_WHITE = "\x1c\x1d\x1e\x1f"
@@ -41,6 +41,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.closes = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -65,12 +66,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[t] if any(c in t for c in _NOT_WHITE) else t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_LIMIT:
-            known.clear()
+        if len(self.known) > CACHE_LIMIT:  # words that haven't been met since the last time are forgotten
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         plain: list[str] = []
         parts: list[tuple[str, str, str]] = []
         for w in set().union(*map(set, split)).difference(known):
+            if (held := older.get(w)) is not None:
+                known[w] = held
+                continue
             if w.islower() and w.isalpha():
                 plain.append(w)
                 continue
@@ -154,38 +158,43 @@ def _fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, f
     return len(fill), -float(np.mean((fill / capacity) ** 2)) if len(fill) else 0.0
 
 
-_POOL = 40
+_POOL, _BINS = 20, 400
 
 
 def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity: int, rng: random.Random) -> list[int]:
     """Make bins fuller by exchanging up to two of their items for up to two displaced ones; returns what is displaced then.
 
-    `child` gives each item's bin, -1 for those displaced, and is changed in place. At most _POOL displaced items are on offer at a time.
+    `child` gives each item's bin, -1 for those displaced, and is changed in place. At most _POOL displaced items are on offer at a time, to _BINS bins in turn.
     """
-    held: dict[int, list[int]] = {}
-    for i, b in enumerate(child):
-        if b >= 0:
-            held.setdefault(b, []).append(i)
     size = sizes.tolist()
     pool = displaced[:]
     rng.shuffle(pool)
-    order = [b for b, own in held.items() if sum(size[i] for i in own) < capacity]
+    at_bin = np.array(child)
+    order = np.flatnonzero(np.bincount(at_bin[at_bin >= 0], weights=sizes[at_bin >= 0]) < capacity).tolist()
     rng.shuffle(order)
+    members = np.argsort(at_bin, kind="stable")
+    cuts = np.searchsorted(at_bin[members], np.arange(int(at_bin.max()) + 2)).tolist()
+    members = members.tolist()
     offer: list[tuple[int, int, int]] = []
-    for b in order:
+    sums: list[int] = []
+    for b in order[:_BINS]:
         if not pool:
             break
         if not offer:
             at = pool[:_POOL]
             offer = sorted([(size[i], i, -1) for i in at] + [(size[i] + size[j], i, j) for k, i in enumerate(at) for j in at[:k] if size[i] + size[j] <= capacity])
-        own = held[b]
-        room = capacity - sum(size[i] for i in own)
+            sums = [x[0] for x in offer]
+        own = members[cuts[b] : cuts[b + 1]]
+        if not own:
+            continue
+        held = [size[i] for i in own]
+        room = capacity - sum(held)
+        outs = [(0, ()), *((held[k], (i,)) for k, i in enumerate(own)), *((held[k] + held[m], (i, own[m])) for k, i in enumerate(own[:12]) for m in range(k))]
         most, best = 0, None
-        for out in [(), *((i,) for i in own), *((i, j) for k, i in enumerate(own[:12]) for j in own[:k])]:
-            given = sum(size[i] for i in out)
-            k = bisect_left(offer, (room + given + 1, -1, -1)) - 1
-            if k >= 0 and offer[k][0] - given > most:
-                most, best = offer[k][0] - given, (out, offer[k][1:])
+        for given, out in outs:
+            k = bisect_right(sums, room + given) - 1
+            if k >= 0 and sums[k] - given > most:
+                most, best = sums[k] - given, (out, offer[k][1:])
                 if most == room:
                     break
         if best is None:
@@ -195,18 +204,16 @@ def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity
             child[i] = -1
         for i in taken:
             child[i] = b
-        held[b] = [*(i for i in own if i not in best[0]), *taken]
         pool = [*(i for i in pool if i not in taken), *best[0]]
-        rng.shuffle(pool)
         offer = []
     return pool
 
 
-def crossover(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random, share: float = 0.15) -> np.ndarray:
-    """Inject whole well-filled bins of `second` into `first`, drop the bins that then hold duplicates, and best-fit what was displaced."""
+def crossover(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random, share: float = 0.15, most: int = 40) -> np.ndarray:
+    """Inject whole well-filled bins of `second` (a share of them, at most `most`) into `first`, drop the bins that then hold duplicates, and best-fit what was displaced."""
     fill = np.bincount(second, weights=sizes)
     full = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    chosen = rng.sample(full.tolist(), max(1, int(share * len(full))))
+    chosen = rng.sample(full.tolist(), max(1, min(most, int(share * len(full)))))
     mark = np.zeros(len(fill), bool)
     mark[chosen] = True
     injected = mark[second]
@@ -284,7 +291,8 @@ def emptied(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int, keep: int) -> list[np.ndarray]:
-    """Best `keep` packings of an island: ends when `generations` in a row bring none that is better, or with the least possible number of bins.
+    """Best `keep` packings of an island: ends when `generations` in a row bring none that is better (up to 20 times as many for few items, where each
+    costs little), or with the least possible number of bins.
 
     Children come by turns from a crossover and from opening some bins; each has its lightest bins emptied as far as exchanges go.
     """
@@ -293,7 +301,7 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed:
     least = -(-int(sizes.sum()) // capacity)
     population = list(population)
     while len(population) < keep:
-        noise = np.array([rng.gauss(0, 0.05) for _ in listed]) if population or seed else 0.0
+        noise = np.array([rng.gauss(0, 0.05) for _ in listed]) if population else 0.0
         order = np.argsort(-(sizes * (1 + noise)), kind="stable").tolist()
         bins = [0] * len(listed)
         best_fit(listed, order, [], bins, 0, capacity)
@@ -302,6 +310,7 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed:
             break
     ranked = sorted(((_fitness(p, sizes, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])
     born, idle = len(population), 0
+    generations *= max(1, min(20, 4096 // max(1, 2 * len(listed))))
     while idle < generations and ranked[0][0][0] > least and len(ranked) > 1:
         a, b = rng.sample(ranked[: max(2, keep)], 2)
         child = a[2] if born == len(population) else crossover(a[2], b[2], sizes, capacity, rng) if born % 2 else opened(a[2], sizes, capacity, rng)
