@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowgroups import runs
-from .common import materialise, table
+from .common import drop_scratch, materialise, table
 from .components import components
 from .covertree import build, pairs_within
 
@@ -154,6 +154,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         "key", "id", "vector", "task", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
     found = materialise(tasks.repartition(parts, "task", "ti", "tj").sortWithinPartitions("task", "ti", "tj").mapInArrow(_links(cosine), "key long, id long, n long, least long"), "links")
+    drop_scratch(celled, sizes)
     grouped = components(found.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     out = rows.select("key", "id").join(counts, "key", "left").join(grouped.withColumnRenamed("id", "member"), F.col("id") == F.col("member"), "left")

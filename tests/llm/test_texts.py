@@ -259,6 +259,14 @@ def test_toxicity(odd_docs, no_docs, spark):
     assert {r.predicted for r in toxicity.score_toxicity(odd_docs, empty).collect()} == {0}
 
 
+def test_values_of_tokens_are_those_of_all_words(odd_rows):
+    model = toxicity.CharacterModel(toxicity.trigram_counts("the idiot was stupid and a moron in the old trash " * 50))
+    texts = [t for _, t, _ in odd_rows if t] + ["such a i d i o t", "k i l l, y o u! a b", "a b", "x. y. z. stuupid 1d10t 1d10t", "I a m. s t u p i d I", "", " ", "s-t u p i d"]
+    values = toxicity.TokenValues(toxicity.Restorer(model), tuple)
+    for text in texts * 2:
+        assert {w for words in values.values(text) for w in words} == set(toxicity.Restorer(model).words(text)), text[:80]
+
+
 def test_shares_rise():
     got = toxicity.rising(np.array([0, 2, 1, 0, 5]), np.array([10, 10, 10, 0, 5]))
     assert np.allclose(got, [0, 0.15, 0.15, 0.15, 1.0])
