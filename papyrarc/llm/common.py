@@ -43,6 +43,11 @@ def drop_scratch(*tables: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand rows with whole texts to Python so many at a time: a batch lies in the memory of both sides, in and out."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 #: So many ids at most are broadcast.
 BROADCAST_IDS = 1_000_000
 
