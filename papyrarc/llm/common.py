@@ -65,3 +65,20 @@ def rows_of(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def crc_mod(column: Column | str, modulus: int) -> Column:
     """crc32 of the value as decimal text, modulo `modulus`; the split rule of the learning operators."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % modulus
+
+
+#: Groups that hold more than one in so many of all rows are joined by broadcast; there can't be more of them than this.
+HEAVY_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Each of `rows` with the row of `groups` that has its `keys` (unique there and not null; `size`: so many rows have them at most).
+
+    Groups of more than total / HEAVY_GROUPS rows, of which there are HEAVY_GROUPS at most as sizes add up to `total`, are broadcast, so that
+    no key brings more than that many rows into one task; the other groups are joined by sorting. Rows without a group are left out.
+    Both tables are read twice: hand over materialised ones.
+    """
+    heavy = groups.where(F.col(size) * HEAVY_GROUPS > total)
+    light = groups.where(F.col(size) * HEAVY_GROUPS <= total)
+    spread = rows.join(F.broadcast(heavy), keys)
+    return spread.unionByName(rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light.hint("merge"), keys))

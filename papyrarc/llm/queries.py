@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op7_embedding_dedup
+from .exact_dedup import OP12_SQL, op12_exact_dedup
 from .language_id import op10_language_id
 from .licenses import op8_licenses
 from .lm_scoring import op2_lm_scoring
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_prefix_forest": op9_prefix_forest,
     "op10_language_id": op10_language_id,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
-SQL: dict[str, str] = {"op4_warc": OP4_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op12_exact_dedup": OP12_SQL}
