@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_alignment
 from .embedding_dedup import op7_embedding_dedup
 from .exact_dedup import OP12_SQL, op12_exact_dedup
 from .language_id import op10_language_id
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_prefix_forest": op9_prefix_forest,
     "op10_language_id": op10_language_id,
+    "op11_alignment": op11_alignment,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
