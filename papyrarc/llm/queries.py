@@ -16,6 +16,7 @@ from .near_dedup import op1_near_dedup
 from .packing import op6_packing
 from .pieces import op3_pieces
 from .prefix_forest import op9_prefix_forest
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .toxicity import op5_toxicity
 from .warc import OP4_SQL, op4_warc
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_alignment": op11_alignment,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op12_exact_dedup": OP12_SQL}
+SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op12_exact_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL}
