@@ -8,12 +8,12 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import accumulate, chain
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from .common import materialise, table
 from .pieces import SPACE
 
 #: So many parts are remembered by a process before those that aren't wanted any more are forgotten.
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 120_000
 
 #: Texts are taken together until they have so many characters.
 BATCH_CHARACTERS = 2_000_000
@@ -33,42 +33,18 @@ PAIR = 1 << 32
 _PARTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
-def group_ids(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Groups of both id lists between common ends.
+def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The offsets at which tokens of both lists end, in order, and how many tokens of each list end up to there: these slice both lists into groups.
 
-    Ends are kept in dictionaries from end to index; the sorted intersection of their keys slices both lists. Tokens without
-    bytes share the end of the token before them and lie in its group.
+    Ends are kept in dictionaries from end to index, whose keys are intersected.
     """
-    a_at, b_at = {end: i for i, end in enumerate(a_ends)}, {end: i for i, end in enumerate(b_ends)}
-    out, a_from, b_from = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        a_to, b_to = a_at[end] + 1, b_at[end] + 1
-        out.append((a_ids[a_from:a_to], b_ids[b_from:b_to]))
-        a_from, b_from = a_to, b_to
-    return out
+    a_after, b_after = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True)), dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
+    common = sorted(a_after.keys() & b_after.keys())
+    return common, list(map(a_after.__getitem__, common)), list(map(b_after.__getitem__, common))
 
 
-def links_of(a_part: list[int], b_part: list[int], a_bytes: list[int], b_bytes: list[int]) -> list[tuple[int, int]]:
-    """The pairs of a group whose ranges end together: its last token of each kind, and tokens without bytes that end there too."""
-
-    def last(ids: list[int], sizes: list[int]) -> list[int]:
-        k = len(ids) - 1
-        while k and not sizes[k]:
-            k -= 1
-        return ids[k:]
-
-    return [(a, b) for a in last(a_part, a_bytes) for b in last(b_part, b_bytes)]
-
-
-class Aligned(NamedTuple):
-    """A part of a text: whether both tokenizers give its bytes back, numbers of ids and groups, groups as text, and links as numbers."""
-
-    exact: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    pairs: list[int]
+#: Of a part of a text: numbers of ids and groups, groups as text, and links as numbers. None if a tokenizer doesn't give its bytes back.
+Aligned = tuple[int, int, int, str, list[int]] | None
 
 
 class Tokenizers:
@@ -91,6 +67,10 @@ class Tokenizers:
         pieces = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
         self.b_raw = [bytes([int(p[3:-1], 16)]) if lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         kinds = [p for i, p in enumerate(pieces) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))]
+        self.sizes = [np.array(list(map(len, raws))) for raws in (self.a_raw, self.b_raw)]
+        if not all(x.all() for x in self.sizes):
+            raise ValueError("a token without bytes; it would end where the one before it ends")
+        self.names = [pa.array(map(str, range(len(raws)))) for raws in (self.a_raw, self.b_raw)]
         #: Parts are encoded on their own only if no piece goes over a border of parts.
         self.by_parts = not any(SPACE in p.lstrip(SPACE) or "\n" in p and len(p) > 1 for p in kinds)
         self.line = len(lib.encode("\n"))
@@ -107,8 +87,10 @@ class Tokenizers:
         ends = lambda raws, same: sum(same[raw[k:]] for raw in raws for k in range(len(raw) + 1))
         return ends(self.a_raw, same_b) + ends(self.b_raw, same_a)
 
-    def parts(self, text: str) -> list[str]:
-        """A space and the text, cut where both tokenizers put a border."""
+    def parts(self, text: str | None) -> list[str]:
+        """A space and the text, cut where both tokenizers put a border; none of a null or empty text."""
+        if not text:
+            return []
         return _PARTS.split(f" {text}") if self.by_parts else [f" {text}"]
 
     def want(self, parts: set[str]) -> None:
@@ -121,8 +103,8 @@ class Tokenizers:
                 new.append(p)
             else:
                 self.known[p] = held
-        for p, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self._pieces(new), strict=True):
-            self.known[p] = self.align(p, a.ids, b)
+        if new:
+            self.known |= dict.fromkeys(new) | self.align(new, [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self._pieces(new))
 
     def _pieces(self, parts: list[str]) -> list[list[int]]:
         """The library's ids. It puts a space before each text; a part that has none gets a line break first, whose ids are taken off."""
@@ -130,27 +112,32 @@ class Tokenizers:
         found = self.b.encode([p[1:] if s else f"\n{p}" for p, s in zip(parts, spaced, strict=True)], num_threads=1)
         return [ids if s else ids[self.line :] for ids, s in zip(found, spaced, strict=True)]
 
-    def align(self, part: str, a_ids: list[int], b_ids: list[int]) -> Aligned:
-        a_raw, b_raw = [self.a_raw[i] for i in a_ids], [self.b_raw[i] for i in b_ids]
-        raw = part.encode()
-        if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
-            return Aligned(False, 0, 0, 0, "", [])
-        a_sizes, b_sizes = list(map(len, a_raw)), list(map(len, b_raw))
-        groups = group_ids(a_ids, list(accumulate(a_sizes)), b_ids, list(accumulate(b_sizes)))
-        written, pairs, i, j = [], [], 0, 0
-        for a, b in groups:
-            written.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-            pairs += [x * PAIR + y for x, y in links_of(a, b, a_sizes[i : i + len(a)], b_sizes[j : j + len(b)])]
-            i, j = i + len(a), j + len(b)
-        return Aligned(True, len(a_ids), len(b_ids), len(groups), ";".join(written), pairs)
-
-    def text(self, text: str | None) -> tuple[int, int, int, str, list[int]]:
-        """Numbers of ids and groups, the groups' text, and the links of a text whose parts are known."""
-        if not text:
-            return 0, 0, 0, "", []
-        exact, n_a, n_b, n_groups, groups, pairs = zip(*map(self.known.__getitem__, self.parts(text)), strict=True)
+    def align(self, parts: list[str], a_lists: list[list[int]], b_lists: list[list[int]]) -> dict[str, Aligned]:
+        """Parts of which both tokenizers give the bytes back, one after the other: a border of parts is an end for both."""
+        raws = [p.encode() for p in parts]
+        lists, values = (a_lists, b_lists), (self.a_raw, self.b_raw)
+        exact = [all(b"".join(map(of.__getitem__, ids)) == raw for of, ids in zip(values, both, strict=True)) for raw, *both in zip(raws, *lists, strict=True)]
         if not all(exact):
+            parts, raws, *lists = (list(compress(x, exact)) for x in (parts, raws, *lists))
+        if not parts:
+            return {}
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in lists]
+        common, *cuts = common_ends(*(np.cumsum(size[x]).tolist() for size, x in zip(self.sizes, ids, strict=True)))
+        # groups as text, then those of a part
+        listed = lambda cuts, values: pa.ListArray.from_arrays(pa.array([0, *cuts], pa.int32()), values)
+        a_text, b_text = (pc.binary_join(listed(to, name.take(pa.array(x))), ",") for to, name, x in zip(cuts, self.names, ids, strict=True))
+        to = np.searchsorted(common, np.cumsum(list(map(len, raws))), side="right").tolist()
+        written = pc.binary_join(listed(to, pc.binary_join_element_wise(a_text, b_text, "|")), ";").to_pylist()
+        a_last, b_last = (x[np.array(at) - 1] for x, at in zip(ids, cuts, strict=True))
+        pairs = (a_last * PAIR + b_last).tolist()
+        return {p: (len(a), len(b), high - low, text, pairs[low:high]) for p, a, b, low, high, text in zip(parts, *lists, [0, *to], to, written, strict=False)}
+
+    def text(self, parts: list[str]) -> tuple[int, int, int, str, list[int]]:
+        """Numbers of ids and groups, the groups' text, and the links of a text, given in known parts."""
+        found = list(map(self.known.__getitem__, parts))
+        if not found or None in found:
             return 0, 0, 0, "", []
+        n_a, n_b, n_groups, groups, pairs = zip(*found, strict=True)
         return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), list(chain.from_iterable(pairs))
 
 
@@ -176,8 +163,9 @@ def _align_batches(batches: Iterator[pa.RecordBatch], byte_file: str, piece_file
             while at + len(texts) < batch.num_rows and size < BATCH_CHARACTERS:
                 texts.append(batch.column(1)[at + len(texts)].as_py())
                 size += len(texts[-1] or "")
-            both.want({p for t in texts if t for p in both.parts(t)})
-            n_a, n_b, n_groups, groups, pairs = map(list, zip(*map(both.text, texts), strict=True))
+            parts = list(map(both.parts, texts))
+            both.want(set().union(*parts))
+            n_a, n_b, n_groups, groups, pairs = map(list, zip(*map(both.text, parts), strict=True))
             links = np.fromiter(chain.from_iterable(pairs), np.int64, sum(map(len, pairs)))
             ends = np.cumsum([0, *map(len, pairs)], dtype=np.int64)
             distinct, counts = np.unique(links, return_counts=True)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 
 from papyrarc.llm import alignment
-from papyrarc.llm.alignment import align_tokenizers, group_ids, links_of, op11_alignment, tokenizers
+from papyrarc.llm.alignment import align_tokenizers, common_ends, op11_alignment, tokenizers
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -55,7 +55,7 @@ def found(df):
     return sorted(str(tuple(r)) for r in df.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect())
 
 
-@pytest.mark.parametrize("limit", [300_000, 3])
+@pytest.mark.parametrize("limit", [120_000, 3])
 def test_odd_documents(spark, odd_docs, odd_rows, limit, monkeypatch):
     monkeypatch.setattr(alignment, "CACHE_LIMIT", limit)
     monkeypatch.setattr(alignment, "BATCH_CHARACTERS", 2_000_000 if limit > 3 else 200)
@@ -76,9 +76,8 @@ def test_groups_and_links_are_returned(spark):
     assert (second.groups, second.pairs, second.n_groups) == ("", [], 0)
 
 
-def test_tokens_without_bytes():
-    assert group_ids([1, 2, 3], [2, 4, 4], [7, 8], [2, 4]) == [([1], [7]), ([2, 3], [8])]
-    assert links_of([2, 3], [8], [2, 0], [2]) == [(2, 8), (3, 8)]
+def test_common_ends_slice_both_lists():
+    assert common_ends([2, 4, 5, 9], [1, 2, 5, 6, 9]) == ([2, 5, 9], [1, 3, 4], [2, 3, 5])
 
 
 def test_pairs_are_bounded_by_the_vocabularies():
