@@ -1,7 +1,7 @@
 """Tables out of HTML: metadata, main text, images, active content, overlays, content blocks and code blocks.
 
-There is no HTML parser here. Patterns cover what the operators need; attributes with `>` inside quotes and
-containers of the same name inside each other are read as ending at the first mark.
+Elements that lie inside each other, and Markdown, come from one pass over a page's tags (`markup`). Elsewhere patterns cover what the
+operators need; there attributes with `>` inside quotes are read as ending at the first mark.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from papyrarc.functions.content import HIDDEN, code_signature, text_of, visible_text, word_coverage
 from papyrarc.functions.urls import resolve_href
+from papyrarc.operators.markup import page_elements
 
 MIN_ARTICLE = 200
 #: What active or external content looks like, by class. Fixed values.
@@ -67,10 +68,9 @@ def best_containers(pages: DataFrame, id_col: str, html_col: str, target_col: st
     score = coverage - |1 - ratio|, and 0.05 more for an article. Ratio must be 0.8 to 1.25, coverage 0.9, and images
     enough; a main container that holds a fitting article is left out.
     """
-    html = F.regexp_replace(F.col(html_col), HIDDEN, " ")
-    of = lambda tag: F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"), F.lit(0)), lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("part")))
     least = F.lit(0) if target_images is None else target_images
-    rows = pages.select(id_col, F.col(target_col).alias("target"), least.alias("least"), F.posexplode(F.concat(of("article"), of("main"))).alias("at", "c"))
+    shown = pages.select(id_col, F.col(target_col).alias("target"), least.alias("least"), F.regexp_replace(F.col(html_col), HIDDEN, " ").alias("shown"))
+    rows = page_elements(shown, id_col, "shown", ("article", "main"), keep=("target", "least")).select(id_col, "target", "least", F.col("order").alias("at"), F.struct("tag", F.concat("opening", "inner").alias("part")).alias("c"))
     rows = rows.withColumn("text", text_of(F.col("c.part"))).withColumn("images", F.size(F.regexp_extract_all(F.col("c.part"), F.lit(r"(?i)<img\b"), F.lit(0))))
     rows = rows.where(F.length("target") >= MIN_ARTICLE).withColumn("ratio", F.length("text") / F.length("target")).withColumn("coverage", word_coverage("target", "text"))
     fits = rows.where(F.col("ratio").between(0.8, 1.25) & (F.col("coverage") >= 0.9))
@@ -144,15 +144,15 @@ def strip_active(html: Column | str) -> Column:
 
 
 def overlay_tags(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Opening tags of consent overlays with up to 4000 characters of text after them: (id_col, mark, tag)."""
-    # an overlay's own text can't be told apart without a parser; what follows the tag within its first closing div stands for it
-    found = pages.select(id_col, F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<(?:div|section|aside|dialog|form)\b[^>]*(?:id|class)\s*=[^>]*>(?:.*?)</(?:div|section|aside|dialog|form)\s*>"), F.lit(0))).alias("part"))
-    tag = F.lower(F.regexp_extract("part", r"^<[^>]*>", 0))
+    """Opening tags of consent overlays that hold at most 4000 characters of text: (id_col, mark, tag)."""
+    marks = "|".join((*OVERLAYS, *OVERLAY_WORDS))
+    found = page_elements(pages, id_col, html_col, ("div", "section", "aside", "dialog", "form"), rf"(?:id|class)\s*=.*(?:{marks})")
+    tag = F.lower("opening")
     named = F.array(*(F.when(tag.rlike(rf"(?:id|class)\s*=\s*[\"'][^\"']*\b{m}\b"), m) for m in OVERLAYS))
     fixed = tag.rlike(r"style\s*=\s*[\"'][^\"']*(?:position\s*:\s*fixed|z-index\s*:)")
     worded = F.array(*(F.when(fixed & tag.rlike(rf"(?:id|class)\s*=\s*[\"'][^\"']*{w}"), w) for w in OVERLAY_WORDS))
     mark = F.try_element_at(F.filter(F.concat(named, worded), lambda m: m.isNotNull()), F.lit(1))
-    return found.where(F.length(text_of("part")) <= 4000).select(id_col, mark.alias("mark"), tag.alias("tag")).where("mark is not null")
+    return found.where(F.length(text_of("inner")) <= 4000).select(id_col, mark.alias("mark"), tag.alias("tag")).where("mark is not null")
 
 
 def page_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -168,25 +168,6 @@ def page_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return parts.select(id_col, "pos", kind.alias("kind"), text.alias("text")).where("text <> ''")
 
 
-def block_markdown(kind: Column, text: Column) -> Column:
-    """A block in Markdown, special characters escaped."""
-    escaped = F.regexp_replace(text, r"([\\\[\]*_`])", r"\\$1")
-    return (
-        F.when(kind.rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring(kind, 2, 1).try_cast("int")), F.lit(" "), escaped))
-        .when(kind == "li", F.concat(F.lit("- "), escaped))
-        .when(kind == "blockquote", F.concat(F.lit("> "), escaped))
-        .when(kind == "pre", F.concat(F.lit("```\n"), text, F.lit("\n```")))
-        .when(kind == "tr", F.concat(F.lit("| "), text, F.lit(" |")))
-        .otherwise(escaped)
-    )
-
-
-def markdown(blocks: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, markdown): each page's blocks in order, with blank lines between."""
-    rows = blocks.select(id_col, F.struct("pos", block_markdown(F.col("kind"), F.col("text")).alias("md")).alias("b"))
-    return rows.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["md"]), "\n\n").alias("markdown"))
-
-
 def retained_code_blocks(before: DataFrame, after: DataFrame, id_col: str, code_col: str) -> DataFrame:
     """(id_col, protected, retained): how many code blocks, counted as a multiset, are there before and still after."""
     count = lambda df, n: df.groupBy(id_col, F.sha2(code_signature(code_col), 256).alias("signature")).agg(F.count("*").alias(n))

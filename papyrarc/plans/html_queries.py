@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from papyrarc.functions.content import HIDDEN
+from papyrarc.functions.content import ENTITIES, HIDDEN
 from papyrarc.operators import html as H
+from papyrarc.operators.markup import pages_markdown
 
 from .base import sql_text, sql_text_of, table
 from .base import sql_domain
@@ -97,9 +98,44 @@ def d9_items(spark, sf):
     return H.page_blocks(table(spark, sf, "pages"), "page_id", "html").where("kind = 'li'").groupBy("page_id", "text").agg(F.count("*").alias("n"))
 
 
-@query("d9_markdown")
+#: What pages lack: lists in lists, a table with an empty cell, a linked picture, code with its language, quotes and a link that leads nowhere.
+_RICH = """'<ol><li>first ' || page_id || '<ul><li><em>in</em><li><code>x_' || page_id || '</code></ul><li>second</ol><table><tr><th>a<th>b<th>c<tr><td>' || page_id || '<td><td>x|y</table><figure><a href="/full/' || page_id || '.png"><img src="s.png" alt="[a]"></a><figcaption>cap</figcaption></figure><pre><code class="language-sql">SELECT ' || page_id || ' &lt; 3</code></pre><div><div>inner</div>tail</div><blockquote>q<br>r</blockquote><a href="mailto:x">none</a>'"""
+_WITH_RICH = f"replace(html, '<footer', {_RICH} || '<footer')"
+_RICH_MARKDOWN = r"""E'\n\n1. first ' || page_id || E'\n\n   - *in*\n   - `x_' || page_id || E'`\n2. second\n\n| a | b | c |\n| --- | --- | --- |\n| ' || page_id || E' |  | x\\|y |\n\n![\\[a\\]](' || o || '/full/' || page_id || E'.png)\n*cap*\n\n```sql\nSELECT ' || page_id || E' < 3\n```\n\ninnertail\n\n> q  \n> r\n\nnone'"""
+
+
+def _decoded(text: str) -> str:
+    """Character references of a text in DuckDB."""
+    for name, value in (*ENTITIES.items(), ("&amp;", "&")):
+        text = "replace({}, '{}', '{}')".format(text, name, value.replace("'", "''"))
+    return text
+
+
+def _address(href: str) -> str:
+    """A path on the page's host, percent-encoded, in DuckDB."""
+    found = f"url_encode({_decoded(href)})"
+    for plain in "/,&;='":
+        found = "replace({}, '%{:02X}', '{}')".format(found, ord(plain), plain.replace("'", "''"))
+    return f"o || {found}"
+
+
+#: Pages hold one list of links, then headings and paragraphs, of which those with bold text have no end tags.
+_LINK = "'- [' || " + _decoded("regexp_extract(x, '>([^<]*)</a>', 1)") + " || '](' || " + _address("""regexp_extract(x, 'href="([^"]*)"', 1)""") + " || ')'"
+_TOP = _decoded(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(top, '<h1>\s*([^<]*?)\s*</h1>', E'\n\n# \\1\n\n', 'g'), '<p><b>([^<]*)<br>', E'\n\n**\\1  \n**\n\n', 'g'), '<p>\s*([^<]*?)\s*</p>', E'\n\n\\1\n\n', 'g'), '<[^>]*>', '', 'g')")
+_FOOT = _decoded("regexp_replace(regexp_extract(html, '(?s)<footer[^>]*>(.*)$', 1), '<[^>]*>', '', 'g')")
+_MARKDOWN = rf"""md AS (SELECT page_id, url, trim(regexp_replace(array_to_string(list_transform(links, lambda x: {_LINK}), E'\n') || E'\n\n' || {_TOP} || {_RICH_MARKDOWN} || {_FOOT}, E'\n{{3,}}', E'\n\n', 'g'), E' \n') AS markdown
+  FROM (SELECT page_id, url, html, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o, regexp_extract_all(html, '<li>.*?</li>') AS links, regexp_replace(regexp_extract(html, '(?s)</nav>(.*?)<footer', 1), '<!--.*?-->', '', 'g') AS top FROM pages))"""
+
+
+def rich_markdown(spark, sf, id_col="page_id"):
+    """Pages with rich content, as Markdown."""
+    pages = table(spark, sf, "pages").selectExpr("page_id", "url", _WITH_RICH + " AS html")
+    return pages_markdown(pages, "page_id", "html", "url").withColumnRenamed("page_id", id_col)
+
+
+@query("d9_markdown", f"WITH {_MARKDOWN} SELECT page_id, markdown, CAST(1 AS BIGINT) AS images FROM md")
 def d9_markdown(spark, sf):
-    return H.markdown(H.page_blocks(table(spark, sf, "pages"), "page_id", "html"), "page_id")
+    return rich_markdown(spark, sf)
 
 
 @query("d14_retained_code_blocks", "SELECT doc_id, CAST(2 AS BIGINT) AS protected, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS retained FROM documents")

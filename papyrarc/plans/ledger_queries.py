@@ -14,7 +14,7 @@ from papyrarc.operators import recode as R
 from papyrarc.sources import archive as A
 from papyrarc.streaming import jobs as J
 
-from .html_queries import _MAIN
+from .html_queries import _MAIN, _MARKDOWN, rich_markdown
 from .base import CAPTURES, JOBS, TAGS, capture_bodies, capture_metadata, jobs, scratch, sql_domain, sql_normalise, table, tags
 from .registry import Registry
 
@@ -77,6 +77,14 @@ def a9(spark, sf):
     return spark.read.schema("capture_id long, text string, domain string").json(path).select("capture_id", "domain", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+@query("a9_export_markdown", f"WITH {_MARKDOWN} SELECT page_id AS capture_id, {sql_domain('url')} AS domain, md5(markdown) AS text_md5 FROM md WHERE page_id % 10 <> 9")
+def a9_markdown(spark, sf):
+    """Markdown and metadata of succeeded captures, written and read again."""
+    path = scratch(spark, "export")
+    A.export_texts(capture_metadata(spark, sf).select("capture_id", "domain", "status"), rich_markdown(spark, sf, "capture_id").select("capture_id", F.col("markdown").alias("text")), path)
+    return spark.read.schema("capture_id long, text string, domain string").json(path).select("capture_id", "domain", F.md5("text").alias("text_md5"))
+
+
 @query("a10_domain_violations", f"WITH {JOBS} SELECT 'status' AS \"column\", status AS value, count(*) AS n FROM jobs WHERE status IN ('failed', 'cancelled') GROUP BY status")
 def a10(spark, sf):
     rows = jobs(spark, sf)

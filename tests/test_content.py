@@ -54,13 +54,6 @@ def test_strip_removes_active_content(spark):
     assert "<p>a</p>" in left
 
 
-def test_markdown(spark):
-    page = "<h2>A *b*</h2><p>one<p>two<ul><li>x<li>y</ul><pre>code()</pre><table><tr><td>1|2</td><td>3</td></tr></table>"
-    df = spark.createDataFrame([(1, page)], "id int, html string")
-    (row,) = H.markdown(H.page_blocks(df, "id", "html"), "id").collect()
-    assert row.markdown == "## A \\*b\\*\n\none\n\ntwo\n\n- x\n\n- y\n\n```\ncode()\n```\n\n| 1\\|2 | 3 |"
-
-
 def test_mime_parts_decode(spark):
     raw = b'From: x\nContent-Type: multipart/related;\n\tboundary="b"\n\n--b\nContent-Type: text/html\nContent-Transfer-Encoding: quoted-printable\nContent-Location: http://e.com/\n\n<p>caf=C3=A9</p>\n--b\nContent-Type: image/png\nContent-Transfer-Encoding: binary\n\n\x00\x80\x81\xfe\xff\n--b--\n'
     df = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(b"no mime")), (3, None)], "capture_id long, body binary")
