@@ -25,7 +25,7 @@ def test_attention_learns_from_all_training_rows(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "bigram_weights", lambda w, pairs: [seen.update(pairs=pairs.sum()), start(w, pairs)][1])
     monkeypatch.setattr(lm_scoring, "drop_scratch", lambda df: [seen.update(parts=df.groupBy("trainer", "round").count().collect()), drop(df)][1])
     held = lm_scoring.crc_mod("doc_id", 7) == 2
-    out = lm_scoring.score_texts(docs, held, path).where("not held_out").count()
+    out = lm_scoring.score_texts(docs, held, path, per_trainer=1000).where("not held_out").count()
     lib = lm_scoring._pieces(path)
     tokens = sum(len(lib.encode(w)) for i, t in rows for w in t.split() if i is None or zlib.crc32(str(i).encode()) % 7 != 2)
     assert seen["pairs"] == tokens + out
@@ -37,7 +37,7 @@ def test_attention_learns_from_all_training_rows(spark, monkeypatch):
 def test_the_dictionary_changes_no_score(spark, odd_docs, monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     # weights that don't depend on the order of rows
-    monkeypatch.setattr(lm_scoring, "train_attention", lambda docs, model_file, ranks, *rest, **more: start_weights(ranks.log_counts))
+    monkeypatch.setattr(lm_scoring, "train_attention", lambda docs, model_file, ranks, *rest, **more: start_weights(ranks.mass))
     docs = odd_docs.select("doc_id", "text").where("doc_id is not null").union(spark.createDataFrame([(900 + i, "quiet " + "y" * 80) for i in range(9)], "doc_id long, text string"))
     held = lm_scoring.crc_mod("doc_id", 7) == 2
     found = []
