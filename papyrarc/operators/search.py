@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,9 +27,10 @@ def tokens(text: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # term, doc, field, tf, positions
+    postings: DataFrame  # term, doc, field, tf, length (of the document), positions
     doc_stats: DataFrame  # doc, length
     stems: bool = False  # whether terms are stems; then those of a query are stemmed too
+    words: DataFrame | None = None  # doc, length, words (of each field) of an index that is not stored
 
     def vocabulary(self) -> DataFrame:
         """(term, documents): in how many documents each term stands."""
@@ -45,7 +46,7 @@ def _postings(stems: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             ends = np.asarray(lists.offsets)
             words = lists.flatten()
             if not len(words):
@@ -64,37 +65,77 @@ def _postings(stems: bool):
             at = order[cuts]
             positions = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(order)].astype(np.int32)), pa.array(place))
             rows = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(code[at])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.diff(np.r_[cuts, len(order)])), positions], names=["term", "doc", "field", "tf", "positions"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(code[at])), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.diff(np.r_[cuts, len(order)])), batch.column(2).take(rows), positions], names=["term", "doc", "field", "tf", "length", "positions"])
 
     return run
 
 
 def build_index(docs: DataFrame, id_col: str, fields: list[str], stems: bool = False) -> Index:
     """Positional postings of each field and the number of tokens of each document, of unique ids. A null field has no tokens."""
-    words = docs.select(F.col(id_col).alias("doc"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("t")) for f in fields))).alias("x"))
+    of = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("t")) for f in fields))
+    words = docs.select(F.col(id_col).alias("doc"), of.alias("words")).withColumn("length", F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.size(w["t"])))
     kind = docs.schema[id_col].dataType.simpleString()
-    postings = words.select("doc", "x.field", "x.t").mapInArrow(_postings(stems), f"term string, doc {kind}, field string, tf long, positions array<int>")
-    length = sum((F.size(tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields), F.lit(0)).cast("long")
-    return Index(postings, docs.select(F.col(id_col).alias("doc"), length.alias("length")), stems)
+    lists = words.select("doc", "length", F.explode("words").alias("x")).select("doc", "x.field", "length", "x.t")
+    postings = lists.mapInArrow(_postings(stems), f"term string, doc {kind}, field string, tf long, length long, positions array<int>")
+    return Index(postings, words.select("doc", "length"), stems, words)
+
+
+#: Documents of similar length lie in one block of a stored index; a block has about so many at most.
+BLOCK_DOCS = 50_000
+
+
+def _block(n_docs: int) -> Column:
+    """The block of a document by its length, an eighth of an octave wide, and by its id where that holds too many."""
+    parts = max(1, n_docs // (64 * BLOCK_DOCS))
+    return (F.floor(F.log2(F.col("length") + 1) * 8).cast("int") * parts + F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int")).alias("block")
+
+
+def _impact(tf: Column, length: Column, avgdl: Column | float) -> Column:
+    """What a term adds to a score, but for its weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
 
 
 def write_index(index: Index, path: str) -> None:
-    """Store an index, its postings sorted by term over all files, so that a search reads the few row groups that hold its terms."""
-    parts = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index.postings.repartitionByRange(parts, "term", "doc").sortWithinPartitions("term", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    """Store an index: its postings sorted by term over all files, so that a search reads the few row groups that hold its terms, and a dictionary.
+
+    The dictionary has each term's number of documents, and for each block of documents that holds it the largest
+    share that it adds to a score there. The index is built once; all else is read from what was stored.
+    """
+    spark = index.postings.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index.doc_stats.write.parquet(f"{path}/doc_stats")
-    index.doc_stats.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).withColumn("stems", F.lit(index.stems)).write.parquet(f"{path}/totals")
+    totals = spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).first()
+    spark.range(1).select(F.lit(totals.n).alias("n"), F.lit(totals.avgdl).cast("double").alias("avgdl"), F.lit(index.stems).alias("stems")).coalesce(1).write.parquet(f"{path}/totals")
+    by_term = lambda df, *more: df.repartitionByRange(parts, "term", *more).sortWithinPartitions("term", *more)
+    by_term(index.postings.withColumn("block", _block(totals.n)), "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    of_doc = spark.read.parquet(f"{path}/postings").groupBy("term", "doc").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"), F.first("block").alias("block"))
+    blocks = of_doc.groupBy("term", "block").agg(F.count("*").alias("docs"), F.max(_impact(F.col("tf"), F.col("length"), totals.avgdl or 1.0)).alias("impact"))
+    by_term(blocks, "block").write.parquet(f"{path}/blocks")
+    by_term(spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("docs").alias("documents"))).write.parquet(f"{path}/terms")
 
 
 @dataclass(frozen=True)
 class StoredIndex(Index):
+    """An index that was written. Without a dictionary (one of segments) documents are counted in each search."""
+
     totals: tuple[int, float] = (0, 0.0)
+    dictionary: DataFrame | None = None  # term, documents
+    blocks: DataFrame | None = None  # term, block, docs, impact
+
+    def vocabulary(self) -> DataFrame:
+        return super().vocabulary() if self.dictionary is None else self.dictionary
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """In how many documents each of a query's terms stands."""
+        found = {r.term: r.documents for r in self.dictionary.where(F.col("term").isin(terms)).collect()} if terms else {}
+        return {t: found.get(t, 0) for t in terms}
 
 
 def read_index(spark: SparkSession, path: str) -> StoredIndex:
     """An index that `write_index` has stored; the number of documents and their mean length are read once."""
     n, avgdl, stems = spark.read.parquet(f"{path}/totals").first()
-    return StoredIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"), stems, (n, avgdl or 0.0))
+    of = {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_stats", "terms", "blocks")}
+    return StoredIndex(of["postings"], of["doc_stats"], stems, totals=(n, avgdl or 0.0), dictionary=of["terms"], blocks=of["blocks"])
 
 
 _VOWEL = "aeiou"
@@ -175,13 +216,6 @@ def stem_terms(rows: DataFrame) -> DataFrame:
     return rows.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term")
 
 
-def _population(index: Index) -> DataFrame:
-    """One row: n, avgdl."""
-    if isinstance(index, StoredIndex):
-        return index.doc_stats.sparkSession.range(1).select(F.lit(index.totals[0]).alias("n"), F.lit(index.totals[1]).alias("avgdl"))
-    return index.doc_stats.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-
-
 def bm25(index: Index, terms: list[str], fields: list[str] | None = None) -> DataFrame:
     """(doc, bm25, matched): documents with any of the terms; lower scores are better. The population is all documents.
 
@@ -196,43 +230,98 @@ def search(index: Index, all_of: list[str] = (), any_of: list[str] = (), none_of
     Score is that of the terms asked for; a prefix stands for all words of the vocabulary that begin with it. Terms are words; in an
     index of stems they are stemmed, prefixes are taken as they are. With `none_of` alone, all other documents are found.
 
-    The postings of all terms and prefixes are read in one scan and summed up once for each document.
+    A stored index is read in one scan of the postings of all terms and prefixes, summed up once for each document; how many documents
+    hold a term comes from its dictionary. Of an index that is not stored, each document is one row and is read once.
     """
     every, some, no = index.terms(all_of), index.terms(any_of), index.terms(none_of)
     scored = sorted({*every, *some})
-    c = F.col("term")
-    of = lambda terms: c.isin(list(terms)) if terms else F.lit(False)
-    starts = [c.startswith(p) for p in prefixes]
-    postings = index.postings.where(functools.reduce(lambda a, b: a | b, starts, of({*scored, *no})))
-    if fields:
-        postings = postings.where(F.col("field").isin(fields))
-    # a row for each document: frequencies of the terms that count, and which conditions it meets
-    tf = [F.sum(F.when(c == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(scored)]
-    flags = [F.max(of(no).cast("int")).alias("no"), F.max(of(some).cast("int")).alias("some"), *(F.max(p.cast("int")).alias(f"p{i}") for i, p in enumerate(starts))]
-    per_doc = postings.groupBy("doc").agg(*tf, *flags)
-    good = F.col("no") == 0
+    of = lambda terms: lambda c: c.isin(list(terms)) if terms else F.lit(False)
+    begins = lambda p: lambda c: c.startswith(p)
+    if not (every or some or prefixes):
+        left = index.doc_stats
+        if no:
+            held = index.postings.where(of(no)(F.col("term")) & (F.col("field").isin(fields) if fields else F.lit(True)))
+            left = left.join(held.select("doc").distinct(), "doc", "left_anti")
+        return left.select("doc", F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("matched"))
+    conditions = {"no": of(no), "some": of(some), **{f"p{i}": begins(p) for i, p in enumerate(prefixes)}}
+    per_doc = (_read_words if index.words is not None and not index.stems else _read_postings)(index, scored, conditions, fields)
+    good = ~F.col("no")
     for i, t in enumerate(scored):
         if t in every:
             good &= F.col(f"tf{i}").isNotNull()
-    if some:
-        good &= F.col("some") == 1
-    for i in range(len(starts)):
-        good &= F.col(f"p{i}") == 1
-    if not (every or some or starts):
-        left = index.doc_stats.join(per_doc.where("no = 1").select("doc"), "doc", "left_anti") if no else index.doc_stats
-        return left.select("doc", F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("matched"))
-    if not scored:
-        return per_doc.where(good).select("doc", F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("matched"))
-    # how many documents hold each term: one row, before the other conditions
-    df = per_doc.agg(*(F.count(f"tf{i}").alias(f"df{i}") for i in range(len(scored)))).crossJoin(_population(index))
-    found = per_doc.where(good).crossJoin(F.broadcast(df)).join(index.doc_stats, "doc")
-    part = lambda i: (
-        F.greatest(F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-        * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    )
-    score = sum((F.coalesce(part(i), F.lit(0.0)) for i in range(len(scored))), F.lit(0.0))
+    for name in (["some"] if some else []) + [f"p{i}" for i in range(len(prefixes))]:
+        good &= F.col(name)
+    score = lambda i, n, avgdl, df: F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6)) * _impact(F.col(f"tf{i}"), F.col("length"), avgdl)
+    if isinstance(index, StoredIndex) and index.dictionary is not None and not fields:
+        n, avgdl = (F.lit(float(x)) for x in index.totals)
+        df = index.frequencies(scored)
+        found, parts = per_doc.where(good), [score(i, n, avgdl, F.lit(float(df[t]))) for i, t in enumerate(scored)]
+    else:
+        # one row of counts from the same rows: it reads all their columns, so that both sides share one exchange
+        counts = [F.count(f"tf{i}").alias(f"df{i}") for i in range(len(scored))] + [F.max(c).alias(f"any_{c}") for c in conditions]
+        if isinstance(index, StoredIndex):
+            counts += [F.max("length").alias("longest"), F.lit(index.totals[0]).alias("n"), F.lit(index.totals[1]).alias("avgdl")]
+        elif index.words is not None and not index.stems:
+            counts += [F.count("*").alias("n"), F.avg("length").alias("avgdl")]
+        else:
+            counts += [F.max("length").alias("longest")]
+        totals = per_doc.agg(*counts)
+        if "n" not in totals.columns:
+            totals = totals.crossJoin(index.doc_stats.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")))
+        found = per_doc.where(good).crossJoin(F.broadcast(totals))
+        parts = [score(i, F.col("n"), F.col("avgdl"), F.col(f"df{i}")) for i in range(len(scored))]
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     matched = sum((F.col(f"tf{i}").isNotNull().cast("long") for i in range(len(scored))), F.lit(0))
-    return found.select("doc", (-score).alias("bm25"), matched.cast("long").alias("matched"))
+    return found.select("doc", (-total).alias("bm25"), matched.cast("long").alias("matched"))
+
+
+def _read_postings(index: Index, scored: list[str], conditions: dict, fields: list[str] | None) -> DataFrame:
+    """(doc, length, tf0.., conditions) of the documents that hold any of the terms, from postings."""
+    c = F.col("term")
+    postings = index.postings.where(functools.reduce(Column.__or__, [x(c) for x in conditions.values()], c.isin(scored) if scored else F.lit(False)))
+    if fields:
+        postings = postings.where(F.col("field").isin(fields))
+    tf = [F.sum(F.when(c == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(scored)]
+    return postings.groupBy("doc").agg(F.max("length").alias("length"), *tf, *(F.max(x(c)).alias(name) for name, x in conditions.items()))
+
+
+def _read_words(index: Index, scored: list[str], conditions: dict, fields: list[str] | None) -> DataFrame:
+    """(doc, length, tf0.., conditions) of all documents, from their words. Only these narrow rows are exchanged, so that they are made once."""
+    words = F.filter("words", lambda w: w["field"].isin(fields)) if fields else F.col("words")
+    asked = lambda c: functools.reduce(Column.__or__, [x(c) for x in conditions.values()], c.isin(scored) if scored else F.lit(False))
+    held = index.words.select("doc", "length", F.filter(F.flatten(F.transform(words, lambda w: w["t"])), asked).alias("held"))
+    is_term = lambda t: lambda x: x == t
+    tf = [F.nullif(F.size(F.filter("held", is_term(t))).cast("long"), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(scored)]
+    return held.select("doc", "length", *tf, *(F.exists("held", x).alias(name) for name, x in conditions.items())).repartition("doc")
+
+
+#: Where the postings of a query's terms are fewer, they are all read.
+FEW_POSTINGS = 1_000_000
+
+
+def best_documents(index: Index, terms: list[str], k: int, first_blocks: int = 16, few: int = FEW_POSTINGS) -> DataFrame:
+    """The k best documents for any of the terms, as `bm25` ranks them: (doc, bm25, matched), ties by id.
+
+    The dictionary bounds what a block's documents can score. Blocks of the highest bounds are read first; the k-th score found there
+    rules out all blocks whose bound is lower, and their postings are not read. The k rows come to the driver once.
+    """
+    ranked = lambda df: df.orderBy("bm25", "doc").limit(k)
+    if not isinstance(index, StoredIndex) or index.blocks is None:
+        return ranked(bm25(index, terms))
+    words = sorted(set(index.terms(terms)))
+    df = index.frequencies(words)
+    if sum(df.values()) <= few:
+        return ranked(bm25(index, terms))
+    weight = functools.reduce(lambda c, t: c.when(F.col("term") == t, F.greatest(F.ln(F.lit((index.totals[0] - df[t] + 0.5) / (df[t] + 0.5))), F.lit(1e-6))), words, F.when(F.lit(False), F.lit(0.0)))
+    bounds = index.blocks.where(F.col("term").isin(words)).groupBy("block").agg(F.sum(weight * F.col("impact")).alias("most"))
+    first = [r.block for r in bounds.orderBy(F.desc("most"), "block").limit(first_blocks).collect()]
+    of = lambda postings: bm25(replace(index, postings=postings), terms)
+    found = ranked(of(index.postings.where(F.col("block").isin(first)))).collect()
+    # a score as large as a bound may differ from it in its last digits
+    least = -found[-1].bm25 * (1 - 1e-9) if len(found) == k else 0.0
+    left = bounds.where(~F.col("block").isin(first) & (F.col("most") >= least)).select("block")
+    rest = of(index.postings.join(F.broadcast(left) if left.count() <= FEW_POSTINGS else left.hint("merge"), "block", "left_semi"))
+    return ranked(rest.sparkSession.createDataFrame(found, rest.schema).unionByName(rest))
 
 
 def phrase(index: Index, words: list[str], fields: list[str] | None = None) -> DataFrame:
