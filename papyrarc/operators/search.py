@@ -41,14 +41,17 @@ class Index:
         return [stem(w) for w in words] if self.stems else list(words)
 
 
-def _postings(stems: bool):
-    """Each document's terms with their places; a document is one row, so nothing is shuffled."""
+def _postings(stems: bool, documents: bool = False):
+    """Each document's terms with their places; a document is one row, so nothing is shuffled. With `documents` a row without a term for each row read, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
             ends = np.asarray(lists.offsets)
             words = lists.flatten()
+            if documents:
+                n, no_places = batch.num_rows, pa.ListArray.from_arrays(pa.array([0] * (batch.num_rows + 1), pa.int32()), pa.array([], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), batch.column(0), batch.column(1), pa.array([0] * n), batch.column(2), no_places], names=["term", "doc", "field", "tf", "length", "positions"])
             if not len(words):
                 continue
             coded = words.dictionary_encode()
@@ -74,10 +77,28 @@ def build_index(docs: DataFrame, id_col: str, fields: list[str], stems: bool = F
     """Positional postings of each field and the number of tokens of each document, of unique ids. A null field has no tokens."""
     of = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("t")) for f in fields))
     words = docs.select(F.col(id_col).alias("doc"), of.alias("words")).withColumn("length", F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.size(w["t"])))
-    kind = docs.schema[id_col].dataType.simpleString()
-    lists = words.select("doc", "length", F.explode("words").alias("x")).select("doc", "x.field", "length", "x.t")
-    postings = lists.mapInArrow(_postings(stems), f"term string, doc {kind}, field string, tf long, length long, positions array<int>")
-    return Index(postings, words.select("doc", "length"), stems, words)
+    return Index(_lists(words, _postings(stems)), words.select("doc", "length"), stems, words)
+
+
+def _lists(words: DataFrame, read) -> DataFrame:
+    rows = words.select("doc", "length", F.explode("words").alias("x")).select("doc", "x.field", "length", "x.t")
+    return rows.mapInArrow(read, f"term string, doc {words.schema['doc'].dataType.simpleString()}, field string, tf long, length long, positions array<int>")
+
+
+def read_once(index: Index, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and documents of an index, written below `path` in one pass over the texts: sorting and counting read what was written."""
+    if index.words is None:
+        return index.postings, index.doc_stats
+    _lists(index.words, _postings(index.stems, documents=True)).write.mode("overwrite").parquet(path)
+    rows = index.words.sparkSession.read.parquet(path)
+    first = index.words.select(F.col("words")[0]["field"].alias("f")).limit(1).collect()
+    return rows.where("term is not null"), rows.where(F.col("term").isNull() & (F.col("field") == (first[0].f if first else ""))).select("doc", "length")
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later plan reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Documents of similar length lie in one block of a stored index; a block has about so many at most.
@@ -103,11 +124,13 @@ def write_index(index: Index, path: str) -> None:
     """
     spark = index.postings.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index.doc_stats.write.parquet(f"{path}/doc_stats")
+    postings, doc_stats = read_once(index, f"{path}/unsorted")
+    doc_stats.write.parquet(f"{path}/doc_stats")
     totals = spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).first()
     spark.range(1).select(F.lit(totals.n).alias("n"), F.lit(totals.avgdl).cast("double").alias("avgdl"), F.lit(index.stems).alias("stems")).coalesce(1).write.parquet(f"{path}/totals")
     by_term = lambda df, *more: df.repartitionByRange(parts, "term", *more).sortWithinPartitions("term", *more)
-    by_term(index.postings.withColumn("block", _block(totals.n)), "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    by_term(postings.withColumn("block", _block(totals.n)), "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    forget(spark, f"{path}/unsorted")
     of_doc = spark.read.parquet(f"{path}/postings").groupBy("term", "doc").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"), F.first("block").alias("block"))
     blocks = of_doc.groupBy("term", "block").agg(F.count("*").alias("docs"), F.max(_impact(F.col("tf"), F.col("length"), totals.avgdl or 1.0)).alias("impact"))
     by_term(blocks, "block").write.parquet(f"{path}/blocks")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from papyrarc.operators import browse as B
 from papyrarc.operators import html as H
 from papyrarc.operators import search as S
+from papyrarc.operators.segments import add_batch, read_segments
 
 from papyrarc.functions import urls
 
@@ -138,6 +139,27 @@ def f7_stored(spark, sf):
     return S.search(S.read_index(spark, path), any_of=["license", "public"], prefixes=["lic"]).select("doc", F.round("bm25", 6).alias("bm25"), "matched")
 
 
+@query("f7_segments", f"WITH new AS ({_NEW}), documents AS (SELECT * FROM new), {_TOKENS}, {_bm25(['license', 'amended'])} SELECT doc, round(bm25, 6) AS bm25, matched FROM scores")
+def f7_segments(spark, sf):
+    """An index in segments after four batches, one of which comes twice: most documents, others, deletions, changed texts."""
+    path = scratch(spark, "segments")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(False).alias("deleted"))
+    gone, changed = F.col("doc_id") % 5 == 1, docs.where("doc_id % 7 = 0 and doc_id % 5 <> 1").withColumn("text", F.concat("text", F.lit(" amended")))
+    batches = [docs.where("doc_id % 5 <> 2"), docs.where("doc_id % 5 = 2"), docs.where(gone).select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted")), changed]
+    for k in (0, 1, 2, 2, 3):
+        add_batch(batches[k], k, path, "doc_id", ["text"], "deleted")
+    return S.bm25(read_segments(spark, path), ["license", "amended"]).select("doc", F.round("bm25", 6).alias("bm25"), "matched")
+
+
+@query("f5_best_documents", f"WITH {_TOKENS}, {_bm25(['license', 'public', 'the'])} SELECT doc, round(bm25, 6) AS bm25, matched FROM scores ORDER BY scores.bm25, doc LIMIT 50")
+def f5_best(spark, sf):
+    """The fifty best of a stored index, whose blocks are ruled out by their bounds."""
+    path = scratch(spark, "index")
+    S.write_index(_index(spark, sf), path)
+    found = S.best_documents(S.read_index(spark, path), ["license", "public", "the"], 50, first_blocks=4, few=0)
+    return found.select("doc", F.round("bm25", 6).alias("bm25"), "matched")
+
+
 @query("e6_match_filter", f"WITH {_TOKENS}, {CAPTURES} SELECT capture_id, domain FROM captures WHERE status = 'succeeded' AND capture_id IN (SELECT doc FROM tok WHERE term = 'the')")
 def e6(spark, sf):
     found = S.search(_index(spark, sf), any_of=["the"]).select(F.col("doc").alias("capture_id"))
