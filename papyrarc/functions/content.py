@@ -106,9 +106,12 @@ def truncate_utf8(text: Column | str, limit: Column | int) -> Column:
     """The longest prefix of whole characters within `limit` bytes."""
     value = _column(text)
     n = F.lit(limit) if isinstance(limit, int) else limit.cast("int")
-    cut = F.make_valid_utf8(F.substring(value.cast("binary"), F.lit(1), n).cast("string"))
-    whole = F.regexp_replace(cut, "\\uFFFD+$", "")
-    return F.when(F.octet_length(value) <= n, value).otherwise(F.when(n <= 0, "").otherwise(whole))
+    raw = value.cast("binary")
+    # a cut lies before a character's first byte: at most three bytes of one, all 10xxxxxx, stand between
+    follows = lambda k: F.hex(F.substring(raw, n + 1 - k, F.lit(1))).between("80", "BF")
+    back = F.when(~follows(0), 0).when(~follows(1), 1).when(~follows(2), 2).otherwise(3)
+    cut = F.substring(raw, F.lit(1), n - back).cast("string")
+    return F.when(value.isNull() | (F.octet_length(value) <= n), value).otherwise(F.when(n <= 0, "").otherwise(cut))
 
 
 def normalise_tag(tag: Column | str) -> Column:
@@ -130,8 +133,9 @@ def append_warnings(warnings: Column | str, more: Column) -> Column:
 
 
 def payload_field(payload: Column | str, name: str) -> Column:
-    """A text field of a JSON object; null for other or broken JSON."""
-    return F.get_json_object(_column(payload), f"$.{name}")
+    """A text field of a JSON object; null for other or broken JSON, and for a field that is no text."""
+    field = F.try_variant_get(F.try_parse_json(_column(payload)), f'$["{name}"]', "variant")
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
 
 
 def archive_timestamp(value: Column | str, seconds: Column | str) -> Column:

@@ -94,6 +94,13 @@ def url_reject_reason(url: Column | str) -> Column:
     )
 
 
+def _encoded_path(path: Column) -> Column:
+    """A path with blanks, quotes, angle brackets, braces, carets, backquotes and letters beyond ASCII percent-encoded; all else stays."""
+    parts = F.regexp_extract_all(path, F.lit("[^\\x21\\x23-\\x3B\\x3D\\x3F-\\x5D\\x5F\\x61-\\x7A\\x7C\\x7E]+|[\\x21\\x23-\\x3B\\x3D\\x3F-\\x5D\\x5F\\x61-\\x7A\\x7C\\x7E]+"), F.lit(0))
+    plain = lambda x: x.rlike("^[\\x21\\x23-\\x3B\\x3D\\x3F-\\x5D\\x5F\\x61-\\x7A\\x7C\\x7E]")
+    return F.array_join(F.transform(parts, lambda x: F.when(plain(x), x).otherwise(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")))), "")
+
+
 def normalise_url(url: Column | str) -> Column:
     """One spelling for a page's URL, or null with a reason in `url_reject_reason`.
 
@@ -101,13 +108,13 @@ def normalise_url(url: Column | str) -> Column:
     parameters by name (repeated ones keep their order), and encodes these as forms do.
     """
     raw = _trimmed(url)
-    scheme, port = _scheme(raw), F.regexp_extract(_host_port(raw), r":(\d+)$", 1)
+    scheme, port = _scheme(raw), F.regexp_replace(F.regexp_extract(_host_port(raw), r":(\d+)$", 1), r"^0+(?=\d)", "")
     usual = F.when(scheme == "http", "80").otherwise("443")
     kept = F.filter(_parameters(raw), lambda p: ~F.lower(p["name"]).isin(*TRACKING_PARAMS))
     query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
-    path = F.replace(fold_dots(url_path(url)), F.lit(" "), F.lit("%20"))
+    path = _encoded_path(fold_dots(url_path(url)))
     whole = F.concat(
-        scheme, F.lit("://"), _host(raw), F.when((port == "") | (port == usual), "").otherwise(F.concat(F.lit(":"), F.regexp_replace(port, r"^0+(?=\d)", ""))),
+        scheme, F.lit("://"), _host(raw), F.when((port == "") | (port == usual), "").otherwise(F.concat(F.lit(":"), port)),
         path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
     )
     return F.when(url_reject_reason(url).isNull(), whole)

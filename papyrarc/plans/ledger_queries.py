@@ -268,7 +268,8 @@ def h4_outcomes(spark, sf):
 
 @query("l7_verify_bodies", _PROBLEMS)
 def l7(spark, sf):
-    return R.verify_bodies(bodies(spark, sf))
+    """A null compression is none."""
+    return R.verify_bodies(bodies(spark, sf).withColumn("compression", F.when(F.col("capture_id") % 5 > 0, F.col("compression"))))
 
 
 @query("l7_verify_coded_bodies", _PROBLEMS)
@@ -278,6 +279,13 @@ def l7_coded(spark, sf):
     return R.verify_bodies(coded.select("capture_id", "body", F.lit("zstd").alias("compression"), F.when(F.col("capture_id") % 7 == 0, "wrong").otherwise(F.col("content_hash")).alias("content_hash")))
 
 
+@query("c4_decoded_ranges", "SELECT page_id AS capture_id, substr(hex(encode(html)), CAST(page_id % 50 * 2 + 1 AS BIGINT), 400) AS part FROM pages WHERE page_id % 7 <> 0")
+def c4_ranges(spark, sf):
+    """200 bytes of each stored body, decoded up to their end only."""
+    coded = R.recode_bodies(bodies(spark, sf), bodies(spark, sf).limit(0)).where("body is not null").withColumns({"compression": F.lit("zstd"), "first": F.col("capture_id") % 50, "last": F.col("capture_id") % 50 + 199})
+    return R.decode_ranges(coded).select("capture_id", F.hex("part").alias("part"))
+
+
 @query("l7_verification_report", "SELECT count(*) AS checked, count_if(page_id % 7 = 0) AS failed, array_to_string(list_slice(list(page_id ORDER BY page_id) FILTER (page_id % 7 = 0), 1, 20), ',') AS failures FROM pages")
 def l7_report(spark, sf):
     return R.verification_report(R.verify_bodies(bodies(spark, sf))).select("checked", "failed", F.array_join("failures", ",").alias("failures"))

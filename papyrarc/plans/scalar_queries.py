@@ -14,9 +14,15 @@ registry = Registry()
 query = registry.query
 
 
-@query("b1_normalise_url", f"SELECT page_id, {sql_normalise('url')} AS normalised FROM pages")
+def _planted(segment: str, port: str) -> str:
+    """URLs with a segment before their path and a port written with a zero."""
+    return f"regexp_replace(regexp_replace(url, '^(https?://[^/?#]*)', '{{0}}1{segment}'), '^(http://[^/?#]*)', '{{0}}1{port}')"
+
+
+@query("b1_normalise_url", f"SELECT page_id, {sql_normalise('url')} AS normalised FROM (SELECT page_id, {_planted('/%C3%A9%20%22', '').format(chr(92))} AS url FROM pages)")
 def b1(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.normalise_url("url").alias("normalised"))
+    rows = table(spark, sf, "pages").selectExpr("page_id", f"{_planted('/é \"', ':080').format('$')} AS url")
+    return rows.select("page_id", urls.normalise_url("url").alias("normalised"))
 
 
 _ODD = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN 'ftp' || substr(url, position('://' in url)) WHEN 3 THEN 'no url ' || page_id ELSE 'javascript:' || page_id END"
@@ -114,9 +120,13 @@ def c7(spark, sf):
     return docs.join(before, "doc_id").select("doc_id", F.round(content.word_coverage("text", "other"), 9).alias("coverage"))
 
 
-@query("c8_truncate_utf8", """SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE (SELECT max(p) FROM (SELECT substr(text, 1, n) AS p FROM (SELECT unnest(range(240, 1001)) AS n)) WHERE strlen(p) <= 1000) END AS cut FROM documents""".replace("SELECT max(p)", "SELECT arg_max(p, strlen(p))"))
+_CUT = "concat(repeat('x', CAST(doc_id % 3 AS INT)), CASE WHEN doc_id % 2 = 0 THEN repeat('\uFFFD', 400) ELSE '' END, text)"
+
+
+@query("c8_truncate_utf8", """SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE (SELECT max(p) FROM (SELECT substr(text, 1, n) AS p FROM (SELECT unnest(range(240, 1001)) AS n)) WHERE strlen(p) <= 1000) END AS cut FROM (SELECT doc_id, {} AS text FROM documents)""".replace("SELECT max(p)", "SELECT arg_max(p, strlen(p))").format(_CUT))
 def c8(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", content.truncate_utf8("text", 1000).alias("cut"))
+    """Every other text is cut among replacement characters of its own, at each of their bytes."""
+    return table(spark, sf, "documents").selectExpr("doc_id", f"{_CUT} AS text").select("doc_id", content.truncate_utf8("text", 1000).alias("cut"))
 
 
 @query("c9_normalise_tag", r"SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 100 THEN t END AS tag FROM (SELECT doc_id, trim(regexp_replace('  ' || text, '\s+', ' ', 'g')) AS t FROM documents)")
@@ -131,9 +141,10 @@ def c10(spark, sf):
     return rows.select("page_id", F.array_join(content.append_warnings("w", F.array(F.lit("new"))), "|").alias("warnings"))
 
 
-@query("c11_payload_field", f"WITH {SQL_JOBS} SELECT job_id, CASE WHEN job_id % 10 = 0 THEN NULL ELSE 'https://site' || capture_id || '.example.com/?id=' || (job_id % 3) END AS url FROM jobs")
+@query("c11_payload_field", f"WITH {SQL_JOBS} SELECT job_id, CASE WHEN job_id % 10 < 4 THEN NULL ELSE 'https://site' || capture_id || '.example.com/?id=' || (job_id % 3) END AS url FROM jobs")
 def c11(spark, sf):
-    rows = jobs(spark, sf).withColumn("payload", F.when(F.col("job_id") % 10 == 0, "{broken").otherwise(F.col("payload")))
+    odd = F.element_at(F.array(*map(F.lit, ("{broken", '{"url": 5}', '{"url": {"a": "b"}}', '{"url": null}'))), (F.col("job_id") % 10 + 1).cast("int"))
+    rows = jobs(spark, sf).withColumn("payload", F.when(F.col("job_id") % 10 < 4, odd).otherwise(F.col("payload")))
     return rows.select("job_id", content.payload_field("payload", "url").alias("url"))
 
 

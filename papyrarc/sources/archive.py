@@ -66,28 +66,33 @@ def require_source(tables: dict[str, DataFrame], columns: dict[str, list[str]],
 
 
 def schema_fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
-    """(fingerprint): SHA-256 of all tables' columns, sorted, with the types that their rows have; a table without rows has those of its schema."""
+    """(fingerprint): SHA-256 of all tables' columns and types as their schemas declare them, sorted. No row and no single file is looked at."""
     out = None
     for name, df in sorted(tables.items()):
         columns = sorted(df.columns)
         listed = F.concat_ws(",", *(F.concat(F.lit(f"{c} "), F.typeof(c)) for c in columns))
         empty = ",".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
-        # every row is looked at, so that files of one table whose columns differ fail here
         row = df.agg(F.coalesce(F.max(listed), F.lit(empty)).alias("text")).select(F.lit(name).alias("name"), "text")
         out = row if out is None else out.unionByName(row)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("name", "text"))), lambda x: F.concat(x["name"], F.lit("("), x["text"], F.lit(")")))
     return out.agg(F.sha2(F.array_join(texts, "\n"), 256).alias("fingerprint"))
 
 
+#: What columns of captures may hold, if anything. Fixed values.
+CAPTURE_DOMAINS = {
+    "status": ["pending", "succeeded", "failed", "cancelled"], "mode": ["article", "full_page", "imported_singlefile", "metadata_only", "pdf"],
+    "compression": ["none", "gzip", "zstd"], "body_format": ["html", "mhtml"],
+}
+
+
 def append_captures(captures: DataFrame, path: str) -> None:
     """Append captures with hash, size and format derived from their body, by day of capture.
 
     A day is written by as many tasks as its size asks for; the adaptive planner splits large ones and joins small ones.
     """
     rows = captures.withColumns({"content_hash": content_hash("body"), "html_size": html_size("body"), "body_format": F.coalesce("body_format", detect_body_format("body")) if "body_format" in captures.columns else detect_body_format("body")})
-    bad = rows.where(F.col("status").isNotNull() & ~F.col("status").isin("pending", "succeeded", "failed", "cancelled")).limit(1).count()
-    if bad:
-        raise SourceContractError("captures hold an unknown status")
+    if bad := domain_violations(rows, {c: allowed for c, allowed in CAPTURE_DOMAINS.items() if c in rows.columns}).take(5):
+        raise SourceContractError(f"captures hold {', '.join(f'{r.column} {r.value}' for r in bad)}")
     rows.withColumn("capture_date", F.to_date("captured_at")).hint("rebalance", "capture_date").write.mode("append").partitionBy("capture_date").option("compression", "zstd").parquet(path)
 
 
