@@ -158,13 +158,13 @@ def _fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, f
     return len(fill), -float(np.mean((fill / capacity) ** 2)) if len(fill) else 0.0
 
 
-_POOL, _BINS = 20, 400
+_POOL = 40
 
 
 def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity: int, rng: random.Random) -> list[int]:
     """Make bins fuller by exchanging up to two of their items for up to two displaced ones; returns what is displaced then.
 
-    `child` gives each item's bin, -1 for those displaced, and is changed in place. At most _POOL displaced items are on offer at a time, to _BINS bins in turn.
+    `child` gives each item's bin, -1 for those displaced, and is changed in place. At most _POOL displaced items are on offer at a time, to all bins with room in turn.
     """
     size = sizes.tolist()
     pool = displaced[:]
@@ -177,7 +177,7 @@ def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity
     members = members.tolist()
     offer: list[tuple[int, int, int]] = []
     sums: list[int] = []
-    for b in order[:_BINS]:
+    for b in order:
         if not pool:
             break
         if not offer:
@@ -209,11 +209,11 @@ def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity
     return pool
 
 
-def crossover(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random, share: float = 0.15, most: int = 40) -> np.ndarray:
-    """Inject whole well-filled bins of `second` (a share of them, at most `most`) into `first`, drop the bins that then hold duplicates, and best-fit what was displaced."""
+def crossover(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, capacity: int, rng: random.Random, share: float = 0.15) -> np.ndarray:
+    """Inject whole well-filled bins of `second` (a share of them) into `first`, drop the bins that then hold duplicates, and best-fit what was displaced."""
     fill = np.bincount(second, weights=sizes)
     full = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    chosen = rng.sample(full.tolist(), max(1, min(most, int(share * len(full)))))
+    chosen = rng.sample(full.tolist(), max(1, int(share * len(full))))
     mark = np.zeros(len(fill), bool)
     mark[chosen] = True
     injected = mark[second]
@@ -257,17 +257,19 @@ def emptied(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
     Every step makes the lightest bin lighter and another one fuller, until none is left that does.
     """
     bins = bins.copy()
+    order = np.argsort(sizes, kind="stable")
+    ascending = sizes[order]
+    fill = np.bincount(bins, weights=sizes).astype(np.int64)
     while True:
-        fill = np.bincount(bins, weights=sizes).astype(np.int64)
         used = np.flatnonzero(fill)
         if len(used) < 2:
             return bins
         light = int(used[fill[used].argmin()])
         if fill.sum() + capacity > capacity * len(used):  # the least possible number of bins
             return bins
-        room = capacity - fill
-        room[fill == 0] = 0
+        room = np.where(fill > 0, capacity - fill, 0)
         room[light] = 0
+        reach = ascending + room[bins[order]]  # how large an item may be that takes the place of this one
         while fill[light]:
             own = np.flatnonzero(bins == light)
             for i in own[np.argsort(-sizes[own], kind="stable")]:
@@ -275,11 +277,10 @@ def emptied(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
                 if len(fits):
                     to, gain, other = int(fits[room[fits].argmin()]), int(sizes[i]), -1
                     break
-                gains = np.where((sizes < sizes[i]) & (sizes[i] - sizes <= room[bins]), sizes[i] - sizes, 0)
-                gains[own] = 0
-                other = int(gains.argmax())
-                to, gain = int(bins[other]), int(gains[other])
-                if gain:
+                smaller = reach[: np.searchsorted(ascending, sizes[i])] >= sizes[i]
+                if smaller.any():  # the smallest such item makes the light bin lightest
+                    other = int(order[smaller.argmax()])
+                    to, gain = int(bins[other]), int(sizes[i] - sizes[other])
                     break
             else:
                 return bins
@@ -287,7 +288,9 @@ def emptied(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
             if other >= 0:
                 bins[other] = light
             fill[light] -= gain
+            fill[to] += gain
             room[to] -= gain
+            reach = ascending + room[bins[order]]
 
 
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int, keep: int) -> list[np.ndarray]:
@@ -301,7 +304,7 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed:
     least = -(-int(sizes.sum()) // capacity)
     population = list(population)
     while len(population) < keep:
-        noise = np.array([rng.gauss(0, 0.05) for _ in listed]) if population else 0.0
+        noise = np.array([rng.gauss(0, 0.05) for _ in listed]) if population or seed else 0.0
         order = np.argsort(-(sizes * (1 + noise)), kind="stable").tolist()
         bins = [0] * len(listed)
         best_fit(listed, order, [], bins, 0, capacity)
