@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrarc.functions.content import contains_text
+from papyrarc.operators.scan import running
 
 SUCCEEDED = "succeeded"
 
@@ -149,13 +150,10 @@ def trimmed_durations(captures: DataFrame, column: str = "duration_ms", share: f
 
 
 def capture_history(captures: DataFrame, key: str = "normalised", hash_col: str = "content_hash") -> DataFrame:
-    """Each succeeded capture's version of its URL, seconds since the one before, and whether its content changed."""
-    w = Window.partitionBy(key).orderBy("captured_at", "capture_id")
-    before = F.lag("captured_at").over(w)
-    return captures.where(F.col("status") == SUCCEEDED).select(
-        "capture_id", key, F.row_number().over(w).alias("version"), F.timestamp_diff("SECOND", before, F.col("captured_at")).alias("gap_seconds"),
-        (F.lag(hash_col).over(w) != F.col(hash_col)).alias("changed"),
-    )
+    """Each succeeded capture's version of its URL, seconds since the one before, and whether its content changed. A URL of any number of captures is spread over all tasks."""
+    rows = captures.where(F.col("status") == SUCCEEDED).select("capture_id", key, "captured_at", F.col(hash_col).alias("hash"))
+    found = running(rows, [key], ["captured_at", "capture_id"], number="version", before={"at_before": "captured_at", "hash_before": "hash"})
+    return found.select("capture_id", key, "version", F.timestamp_diff("SECOND", F.col("at_before"), F.col("captured_at")).alias("gap_seconds"), (F.col("hash_before") != F.col("hash")).alias("changed"))
 
 
 def replacements(captures: DataFrame, deleted: DataFrame, key: str = "normalised") -> DataFrame:
@@ -174,10 +172,10 @@ def first_usable(candidates: DataFrame, owner: str, priority: str, usable: str,
 
 
 def text_budget(pages: DataFrame, document: str, page: str, text: str, budget: int) -> DataFrame:
-    """Pages of a document within a running budget of bytes: (document, page, bytes_kept, truncated)."""
-    before = F.coalesce(F.sum(F.octet_length(text)).over(Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    size = F.octet_length(text)
-    return pages.withColumn("_before", before).select(document, page, F.greatest(F.lit(0), F.least(size, F.lit(budget) - F.col("_before"))).cast("long").alias("bytes_kept"), (F.col("_before") + size > budget).alias("truncated"))
+    """Pages of a document within a running budget of bytes: (document, page, bytes_kept, truncated). Texts stay where they are read; a document of any number of pages is spread over all tasks."""
+    sized = pages.select(document, page, F.octet_length(text).cast("long").alias("size"))
+    found = running(sized, [document], [page], sums={"before": "size"})
+    return found.select(document, page, F.greatest(F.lit(0), F.least("size", F.lit(budget) - F.col("before"))).cast("long").alias("bytes_kept"), (F.col("before") + F.col("size") > budget).alias("truncated"))
 
 
 def latest_attempts(attempts: DataFrame, job: str, number: str, *columns: str) -> DataFrame:

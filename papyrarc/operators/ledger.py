@@ -29,7 +29,8 @@ def orphan_tags(tags: DataFrame, uses: DataFrame) -> DataFrame:
 
 def orphan_blobs(blobs: DataFrame, links: DataFrame, enrichments: DataFrame) -> DataFrame:
     """Blobs that neither a capture nor an enrichment refers to."""
-    return blobs.join(links.select("sha256"), "sha256", "left_anti").join(enrichments.select("sha256"), "sha256", "left_anti")
+    used = links.select("sha256").union(enrichments.select("sha256")).distinct()  # one blob may have very many captures
+    return blobs.join(used, "sha256", "left_anti")
 
 
 def orphan_urls(urls: DataFrame, captures: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -255,7 +256,3 @@ def enrich_pdfs(classified: DataFrame, ledger: DataFrame, run: int) -> dict[str,
 def outcome_counts(ledger: DataFrame, column: str = "outcome") -> DataFrame:
     """(outcome, n); no outcome yet counts as pending."""
     return ledger.groupBy(F.coalesce(column, F.lit("pending")).alias("outcome")).agg(F.count("*").alias("n"))
-
-
-def row_number_by(partition: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

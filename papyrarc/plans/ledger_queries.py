@@ -130,6 +130,13 @@ def g5(spark, sf):
     return lost.select(F.lit("url").alias("kind"), F.col("normalised").alias("name")).union(L.orphan_tags(names, used).select(F.lit("tag").alias("kind"), F.col("tag").alias("name")))
 
 
+@query("g5_orphan_blobs", "WITH b AS (SELECT doc_id, sha256(text) AS sha256, strlen(text) AS byte_size FROM documents) SELECT DISTINCT sha256, byte_size FROM b WHERE sha256 NOT IN (SELECT sha256 FROM b WHERE doc_id % 3 = 0 OR doc_id % 5 = 0)")
+def g5_blobs(spark, sf):
+    """Texts as blobs, every third of which a capture refers to and every fifth an enrichment."""
+    of = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("byte_size"))
+    return L.orphan_blobs(of.select("sha256", "byte_size").distinct(), of.where("doc_id % 3 = 0"), of.where("doc_id % 5 = 0"))
+
+
 _VERIFY = f"""WITH {_SOURCE}, {_LEDGER}, {_STORED}, v AS (SELECT coalesce(s.source_id, l.source_id) AS source_id, CASE WHEN l.source_id IS NULL THEN 'not in the ledger' WHEN outcome IS NULL THEN 'pending' WHEN outcome = 'imported' AND c.status IS NULL THEN 'capture is missing'
   WHEN outcome = 'imported' AND c.status <> 'succeeded' THEN 'capture did not succeed' WHEN outcome = 'imported' AND c.content_hash <> l.content_hash THEN 'hash differs' END AS problem FROM source s FULL JOIN ledger l USING (source_id) LEFT JOIN stored c ON c.capture_id = l.capture_id)"""
 

@@ -15,12 +15,6 @@ def candidate_files(spark: SparkSession, path: str, names: list[str] | None = No
     return out.where(F.col("name").isin(names)) if names else out
 
 
-def file_contents(spark: SparkSession, path: str) -> DataFrame:
-    """(snapshot, name, content) of the files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("snapshot"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
-
-
 def snapshot_listing(files: DataFrame) -> DataFrame:
     """Distinct snapshot folders."""
     return files.select("snapshot").distinct()
