@@ -12,6 +12,7 @@ from papyrarc.operators import ledger as L
 from papyrarc.operators import mhtml as M
 from papyrarc.operators import recode as R
 from papyrarc.sources import archive as A
+from papyrarc.sources import tree as T
 from papyrarc.streaming import jobs as J
 
 from .html_queries import _MAIN, _MARKDOWN, rich_markdown
@@ -105,6 +106,17 @@ def a11(spark, sf):
 _SUM = "CAST(sum(CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)) AS VARCHAR)"
 
 
+@query("a12_changed_rows", "SELECT doc_id, CASE WHEN doc_id % 101 = 7 THEN 'removed' ELSE 'changed' END AS state FROM documents WHERE doc_id % 101 = 7 OR doc_id % 103 = 5 UNION ALL SELECT -1 - doc_id, 'added' FROM documents WHERE doc_id % 107 = 2")
+def a12_changed(spark, sf):
+    """Rows that were lost, altered and added between two snapshots, found by their trees of checksums."""
+    docs, paths = table(spark, sf, "documents"), [scratch(spark, f"tree{k}") for k in range(2)]
+    after = docs.where("doc_id % 101 <> 7").withColumn("text", F.when(F.col("doc_id") % 103 == 5, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    after = after.unionByName(docs.where("doc_id % 107 = 2").withColumn("doc_id", -1 - F.col("doc_id")))
+    for df, path in zip((docs, after), paths, strict=True):
+        T.write_tree_snapshot(df, path, ["doc_id"])
+    return T.changed_rows(spark, *paths, ["doc_id"])
+
+
 @query("a12_table_snapshot", f"""SELECT 'labels' AS name, count(*) AS n_rows, {_SUM.format("concat_ws('|', doc_id, quality, toxic)")} AS checksum, true AS ok FROM labels
   UNION ALL SELECT 'pages', count(*), {_SUM.format("concat_ws('|', html, page_id, url)")}, true FROM pages""")
 def a12(spark, sf):
