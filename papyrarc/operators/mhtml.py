@@ -80,11 +80,49 @@ def _bare(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
+def _contained(group: pa.Table) -> pa.Table:
+    """Of one capture the least place whose text lies in a reference's, or that holds it. One automaton of all places reads the references, one of the references the places."""
+    import ahocorasick
+
+    texts, references, places = (group.column(c).to_pylist() for c in ("text", "reference", "pos"))
+    found: dict[str, int] = {}
+
+    def read(patterns: dict[str, list], rows: Iterator[tuple[str, list]]) -> Iterator[tuple[list, list]]:
+        """(values of a pattern, values of a text that holds it)"""
+        automaton = ahocorasick.Automaton()
+        for text, values in patterns.items():
+            if text:
+                automaton.add_word(text, values)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for text, values in rows:
+            for _, held in automaton.iter(text):
+                yield held, values
+
+    at: dict[str, int] = {}
+    asked: dict[str, list[str]] = {}
+    for text, reference, pos in zip(texts, references, places, strict=True):
+        if pos is not None:
+            at[text] = min(pos, at.get(text, pos))
+        else:
+            asked.setdefault(text, []).append(reference)
+    places_of, names_of = {t: [p] for t, p in at.items()}, asked
+    matches = [(names, held[0]) for held, names in read(places_of, asked.items())]
+    for names, pos in (*matches, *((held, of[0]) for held, of in read(names_of, places_of.items()))):
+        for name in names:
+            found[name] = min(pos, found.get(name, pos))
+    if "" in asked and at:  # an empty text lies in every other
+        found |= {name: min(at.values()) for name in asked[""]}
+    capture = pa.array([group.column("capture_id")[0].as_py()] * len(found), group.schema.field("capture_id").type)
+    return pa.table({"capture_id": capture, "reference": pa.array(list(found), pa.string()), "last": pa.array(list(found.values()), pa.int64())})
+
+
 def resolve_references(references: DataFrame, parts: DataFrame) -> DataFrame:
     """(capture_id, reference, pos, by) for references (capture_id, reference, base): the part that each means.
 
     In this order: exact location, resolved URL, `cid:`, URL without fragment, and last a part's location that the decoded reference
-    holds or that holds it, which is looked for among a capture's own parts only, and only for what is left.
+    holds or that holds it, which is looked for among a capture's own parts only, and only for what is left, by automata of many patterns.
     """
     refs = references.withColumns({"resolved": resolve_href("reference", "base"), "cid": F.when(F.col("reference").startswith("cid:"), F.substring("reference", 5, 1 << 20))})
     refs = refs.withColumn("bare", _bare(F.coalesce("resolved", "reference")))
@@ -98,9 +136,11 @@ def resolve_references(references: DataFrame, parts: DataFrame) -> DataFrame:
     found = out.select("capture_id", "reference", first.alias("pos"), how.alias("by"))
     # what is left is compared with the parts of its own capture only
     rest = found.where("pos is null").select("capture_id", "reference")
-    decoded = lambda c: F.coalesce(F.try_url_decode(c), F.col(c))
-    near = rest.join(parts.select("capture_id", "location", "pos").where("length(location) > 8"), "capture_id").where(F.contains(decoded("location"), decoded("reference")) | F.contains(decoded("reference"), decoded("location")))
-    last = near.groupBy("capture_id", "reference").agg(F.min("pos").alias("last"))
+    decoded = lambda c: F.coalesce(F.try_url_decode(c), F.col(c)).alias("text")
+    places = parts.where("length(location) > 8").join(rest.select("capture_id").distinct(), "capture_id", "left_semi").select("capture_id", decoded("location"), F.lit(None).cast("string").alias("reference"), F.col("pos").cast("long"))
+    both = places.unionByName(rest.where("reference is not null").distinct().select("capture_id", decoded("reference"), "reference", F.lit(None).cast("long").alias("pos")))
+    kind = references.schema["capture_id"].dataType.simpleString()
+    last = both.groupBy("capture_id").applyInArrow(_contained, f"capture_id {kind}, reference string, last long").withColumn("last", F.col("last").cast(parts.schema["pos"].dataType))
     return found.join(last, ["capture_id", "reference"], "left").select("capture_id", "reference", F.coalesce("pos", "last").alias("pos"), F.coalesce("by", F.when(F.col("last").isNotNull(), "contained")).alias("by"))
 
 
