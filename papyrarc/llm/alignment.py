@@ -21,7 +21,7 @@ from .common import materialise, table
 from .pieces import SPACE
 
 #: So many parts are remembered by a process before those that aren't wanted any more are forgotten.
-CACHE_LIMIT = 120_000
+CACHE_LIMIT = 160_000
 
 #: Texts are taken together until they have so many characters.
 BATCH_CHARACTERS = 2_000_000
@@ -88,10 +88,15 @@ class Tokenizers:
         return ends(self.a_raw, same_b) + ends(self.b_raw, same_a)
 
     def parts(self, text: str | None) -> list[str]:
-        """A space and the text, cut where both tokenizers put a border; none of a null or empty text."""
+        """A space and the text, cut where both tokenizers put a border; none of a null or empty text. Parts that begin with one space are given without it."""
         if not text:
             return []
-        return _PARTS.split(f" {text}") if self.by_parts else [f" {text}"]
+        if not self.by_parts:
+            return [f" {text}"]
+        words = text.replace("\n", " \n").split(" ")
+        if len(words) == len(text.split()):  # single spaces and line breaks between words, and nothing else
+            return words
+        return [p[1:] if p[:1] == " " and not p[1:2].isspace() else p for p in _PARTS.split(f" {text}")]
 
     def want(self, parts: set[str]) -> None:
         """Have these parts in `known`. When there are too many, those that haven't been wanted since the last time are forgotten."""
@@ -104,7 +109,9 @@ class Tokenizers:
             else:
                 self.known[p] = held
         if new:
-            self.known |= dict.fromkeys(new) | self.align(new, [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self._pieces(new))
+            whole = [p if p[0] in " \n" else f" {p}" for p in new]
+            aligned = self.align(whole, [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)], self._pieces(whole))
+            self.known.update(zip(new, map(aligned.get, whole), strict=True))
 
     def _pieces(self, parts: list[str]) -> list[list[int]]:
         """The library's ids. It puts a space before each text; a part that has none gets a line break first, whose ids are taken off."""
