@@ -21,10 +21,13 @@ from .common import materialise, table
 from .pieces import SPACE
 
 #: So many parts are remembered by a process before those that aren't wanted any more are forgotten.
-CACHE_LIMIT = 160_000
+CACHE_LIMIT = 80_000
 
 #: Texts are taken together until they have so many characters.
-BATCH_CHARACTERS = 2_000_000
+BATCH_CHARACTERS = 1_000_000
+
+#: Rows whose links are looked up at a time.
+SCORED_ROWS = 500
 
 #: A pair of ids as one number: the first id times this, plus the second, which is smaller.
 PAIR = 1 << 32
@@ -227,7 +230,8 @@ def align_tokenizers(docs: DataFrame, byte_file: str, piece_file: str, id_col: s
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = counts.value
-        for batch in batches:
+        tokenizers.cache_clear()  # a worker that has aligned texts needs its memory of parts no longer
+        for batch in (whole.slice(at, SCORED_ROWS) for whole in batches for at in range(0, whole.num_rows, SCORED_ROWS)):
             links = batch.column("links")
             values = links.flatten().to_numpy()
             ends = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])

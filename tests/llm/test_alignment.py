@@ -55,10 +55,11 @@ def found(df):
     return sorted(str(tuple(r)) for r in df.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect())
 
 
-@pytest.mark.parametrize("limit", [120_000, 3])
+@pytest.mark.parametrize("limit", [80_000, 3])
 def test_odd_documents(spark, odd_docs, odd_rows, limit, monkeypatch):
     monkeypatch.setattr(alignment, "CACHE_LIMIT", limit)
-    monkeypatch.setattr(alignment, "BATCH_CHARACTERS", 2_000_000 if limit > 3 else 200)
+    monkeypatch.setattr(alignment, "BATCH_CHARACTERS", 1_000_000 if limit > 3 else 200)
+    monkeypatch.setattr(alignment, "SCORED_ROWS", 500 if limit > 3 else 7)
     own = [(1000 + i, t) for i, t in enumerate(TEXTS)]
     docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(own, "doc_id long, text string"))
     assert found(align_tokenizers(docs, BYTES, PIECES)) == brute([(r[0], r[1]) for r in odd_rows] + own)
