@@ -12,6 +12,7 @@ from papyrarc.operators import ledger as L
 from papyrarc.operators import mhtml as M
 from papyrarc.operators import recode as R
 from papyrarc.sources import archive as A
+from papyrarc.sources import legacy as G
 from papyrarc.sources import tree as T
 from papyrarc.streaming import jobs as J
 
@@ -54,6 +55,63 @@ def a3(spark, sf):
     return source(spark, sf).select("source_id", "url")
 
 
+def _write_index(rows: DataFrame, folder: str) -> DataFrame:
+    """A database of the legacy index for each partition of (id, url, timestamp, downloaded_at, extractors, tags); a task that runs again replaces its own."""
+
+    def write(batches):
+        import os
+        import sqlite3
+        import uuid
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        own = f"{folder}/writing-{uuid.uuid4().hex}"
+        con = sqlite3.connect(own)
+        for name, columns in G.INDEX.items():
+            con.execute(f"CREATE TABLE {name} ({', '.join(columns)})")
+        ids = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                con.execute("INSERT INTO core_snapshot VALUES (?, ?, ?, NULL, NULL, ?)", (r["id"], r["url"], r["timestamp"], r["downloaded_at"]))
+                con.executemany("INSERT INTO core_archiveresult VALUES (?, ?, ?, NULL)", [(r["id"], x["extractor"], x["status"]) for x in r["results"]])
+                con.executemany("INSERT INTO core_snapshot_tags VALUES (?, ?)", [(r["id"], ids.setdefault(t, len(ids) + 1)) for t in r["tags"]])
+        con.executemany("INSERT INTO core_tag VALUES (?, ?)", [(i, t) for t, i in ids.items()])
+        con.commit()
+        con.close()
+        done = f"{folder}/index-{TaskContext.get().partitionId():06}.sqlite3"
+        os.replace(own, done)
+        yield pa.RecordBatch.from_pydict({"path": [done]})
+
+    return rows.mapInArrow(write, "path string")
+
+
+@query("a3_legacy_index", f"""WITH {_SOURCE}, d AS (SELECT 's' || doc_id AS source_id, coalesce(strlen(text), 0) AS n, lang, source AS host FROM documents),
+  results AS (SELECT source_id, 'wget' AS extractor, CASE WHEN n % 2 = 0 THEN 'succeeded' ELSE 'failed' END AS status FROM d UNION ALL SELECT source_id, 'singlefile', CASE WHEN n % 5 = 0 THEN 'failed' ELSE 'succeeded' END FROM d WHERE n % 3 = 0),
+  tags AS (SELECT source_id, lang AS tag FROM d WHERE lang IS NOT NULL UNION ALL SELECT source_id, 'host ' || host FROM d WHERE host IS NOT NULL),
+  r AS (SELECT source_id, count(*) AS n_results, count(*) FILTER (WHERE status = 'succeeded') AS n_succeeded FROM results GROUP BY source_id),
+  t AS (SELECT source_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tags GROUP BY source_id)
+  SELECT source_id, url, CASE WHEN n % 7 = 0 THEN 'pending' ELSE 'downloaded' END AS status, coalesce(n_results, 0) AS n_results, coalesce(n_succeeded, 0) AS n_succeeded, tags FROM source JOIN d USING (source_id) LEFT JOIN r USING (source_id) LEFT JOIN t USING (source_id)""")
+def a3_legacy(spark, sf):
+    """Index databases made of documents, one for each task, and read again as snapshots, results and tags."""
+    folder, size = G.local_path(scratch(spark, "legacy")), F.coalesce(F.octet_length("text"), F.lit(0))
+    result = lambda e, ok: F.struct(F.lit(e).alias("extractor"), F.when(ok, "succeeded").otherwise("failed").alias("status"))
+    facts = table(spark, sf, "documents").select(
+        F.concat(F.lit("s"), "doc_id").alias("id"), F.when(size % 7 != 0, F.lit("2024-01-01")).alias("downloaded_at"),
+        F.filter(F.array(result("wget", size % 2 == 0), F.when(size % 3 == 0, result("singlefile", size % 5 != 0))), lambda x: x.isNotNull()).alias("results"),
+        F.filter(F.array(F.col("lang"), F.concat(F.lit("host "), "source")), lambda x: x.isNotNull()).alias("tags"),
+    )
+    rows = source(spark, sf).select(F.col("source_id").alias("id"), "url", F.col("order").cast("string").alias("timestamp")).join(facts, "id")
+    _write_index(rows, folder).count()
+    snapshots, results, tags = (G.legacy_table(spark, folder, t) for t in ("snapshots", "results", "tags"))
+    counted = results.groupBy("snapshot_id").agg(F.count("*").alias("n_results"), F.count_if(F.col("status") == "succeeded").alias("n_succeeded"))
+    listed = tags.groupBy("snapshot_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
+    out = snapshots.withColumnRenamed("id", "snapshot_id").join(counted, "snapshot_id", "left").join(listed, "snapshot_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(F.col("snapshot_id").alias("source_id"), "url", F.when(F.col("downloaded_at").isNull(), "pending").otherwise("downloaded").alias("status"), zero("n_results"), zero("n_succeeded"), "tags")
+
+
 @query("a4_snapshot_listing", "SELECT DISTINCT 'src' || regexp_extract(source, '([0-9]+)$', 1) AS snapshot FROM documents")
 def a4(spark, sf):
     return A.snapshot_listing(table(spark, sf, "documents").select(F.col("source").alias("snapshot")))

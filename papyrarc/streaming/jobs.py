@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -14,14 +15,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 _FINAL = ("succeeded", "failed", "cancelled")
 
 
-def suppress_fresh(submissions: DataFrame, seconds: int) -> DataFrame:
+def suppress_fresh(submissions: DataFrame, seconds: int, late: str | None = None) -> DataFrame:
     """Stream of (key, event_id, ts): those accepted, at least `seconds` after the key's last accepted one.
 
     Those suppressed don't extend the window. State is one time for each key; a batch's rows of a key are taken in order of
-    time and id. The same function serves batch tables.
+    time and id. With `late`, rows behind that watermark are dropped, and a key's state is given up once the watermark
+    is `seconds` past its last accepted row: whatever still comes is accepted anyway. Without it keys are remembered for ever.
+    The same function serves batch tables.
     """
 
     def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         kept = []
         for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
@@ -31,9 +37,14 @@ def suppress_fresh(submissions: DataFrame, seconds: int) -> DataFrame:
                 kept.append((key[0], r.event_id, r.ts))
         if last is not None:
             state.update((last,))
+            if late:
+                state.setTimeoutTimestamp(max(math.ceil((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(kept, columns=["key", "event_id", "ts"])
 
-    return submissions.select("key", "event_id", "ts").groupBy("key").applyInPandasWithState(accept, "key long, event_id long, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    rows = submissions.select("key", "event_id", "ts")
+    rows = rows.withWatermark("ts", late) if late else rows
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return rows.groupBy("key").applyInPandasWithState(accept, "key long, event_id long, ts timestamp", "last double", "append", timeout)
 
 
 def suppress_fresh_batch(submissions: DataFrame, seconds: int) -> DataFrame:

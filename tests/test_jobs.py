@@ -138,6 +138,24 @@ def test_late_submissions_are_suppressed(spark, tmp_path):
     assert sorted(r.event_id for r in out.collect()) == [1, 2, 5]
 
 
+def test_suppression_forgets_keys_and_restarts(spark, tmp_path):
+    """Many keys that are met once: state is given up behind the watermark, a restart goes on from the checkpoint, and accepted rows are those of the batch twin."""
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc)
+    rows = [(1000 + i, 10 * i, at(60 * i)) for i in range(200)] + [(7, 10 * i + 1, at(60 * i + 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, event_id long, ts timestamp")
+    ordered = sorted(rows, key=lambda r: r[2])
+    out, kept = tmp_path / "out", []
+    for i in range(4):
+        spark.createDataFrame(ordered[100 * i : 100 * i + 100], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        run = J.suppress_fresh(stream, 150, "1 minute").writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(out))
+        assert run.awaitTermination(120)
+        kept.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r.key, r.event_id) for r in spark.read.parquet(str(out)).collect())
+    assert got == sorted((r.key, r.event_id) for r in J.suppress_fresh_batch(df, 150).collect())
+    assert max(kept) < 40  # of 201 keys
+
+
 def test_job_states_over_several_batches(spark, sf_dir, tmp_path):
     rows = Q.job_events(spark, sf_dir).where("job_id % 5 = 1")
     out = _stream(spark, rows, tmp_path, lambda s: J.job_states(s.withWatermark("ts", "1000 days")), "update", parts=3)
