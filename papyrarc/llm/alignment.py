@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import REMEMBERED, materialise, table, tidy
 from .pieces import SPACE
 
 #: So many parts are remembered by a process before those that aren't wanted any more are forgotten.
@@ -163,6 +163,9 @@ def tokenizers(byte_file: str, piece_file: str) -> Tokenizers:
     return Tokenizers(byte_file, piece_file)
 
 
+REMEMBERED["alignment"] = tokenizers.cache_clear
+
+
 def _align_batches(batches: Iterator[pa.RecordBatch], byte_file: str, piece_file: str, id_col: str, with_groups: bool) -> Iterator[pa.RecordBatch]:
     """A row for each text; the first of each batch also has the batch's distinct links with their counts."""
     both = tokenizers(byte_file, piece_file)
@@ -225,12 +228,11 @@ def align_tokenizers(docs: DataFrame, byte_file: str, piece_file: str, id_col: s
     counted = f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, groups_sha256 string"
     first = f"{counted}, links array<long>, pairs array<long>, counts array<long>" + (", groups string" if with_groups else "")
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    aligned = materialise(texts.mapInArrow(lambda batches: _align_batches(batches, byte_file, piece_file, id_col, with_groups), first), "aligned")
+    aligned = materialise(texts.mapInArrow(tidy("alignment", lambda batches: _align_batches(batches, byte_file, piece_file, id_col, with_groups)), first), "aligned")
     counts = docs.sparkSession.sparkContext.broadcast(pair_counts(aligned, Tokenizers(byte_file, piece_file).most_pairs()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = counts.value
-        tokenizers.cache_clear()  # a worker that has aligned texts needs its memory of parts no longer
         for batch in (whole.slice(at, SCORED_ROWS) for whole in batches for at in range(0, whole.num_rows, SCORED_ROWS)):
             links = batch.column("links")
             values = links.flatten().to_numpy()
@@ -247,7 +249,7 @@ def align_tokenizers(docs: DataFrame, byte_file: str, piece_file: str, id_col: s
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return aligned.drop("pairs", "counts").mapInArrow(score, out + (", groups string, pairs array<struct<a: long, b: long>>" if with_groups else ""))
+    return aligned.drop("pairs", "counts").mapInArrow(tidy("scores of links", score), out + (", groups string, pairs array<struct<a: long, b: long>>" if with_groups else ""))
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,40 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: What a process remembers from task to task, by operator: functions that forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(owner: str) -> None:
+    for other, forget in REMEMBERED.items():
+        if other != owner:
+            forget()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the machine. Allocators hold on to it otherwise, for as long as a worker lives, and tasks of later stages come on top."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 4) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches, that forgets what other operators remember in this process and gives freed memory back after every few batches and at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
+        try:
+            for i, batch in enumerate(run(batches), 1):
+                yield batch
+                del batch
+                if i % every == 0:
+                    give_back()
+        finally:
+            give_back()
+
+    return tidied
+
+
 #: So many ids at most are broadcast.
 BROADCAST_IDS = 1_000_000
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import REMEMBERED, materialise, table, tidy
 
 CACHE_LIMIT = 200_000
 SEPARATOR = (0).to_bytes(4, "little")
@@ -94,6 +94,9 @@ def _encoder(tokenizer_file: str) -> WordEncoder:
     return WordEncoder(tokenizer_file)
 
 
+REMEMBERED["packing"] = _encoder.cache_clear
+
+
 def _cut(tokenizer_file: str, capacity: int, id_col: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file)
@@ -125,7 +128,7 @@ def _cut(tokenizer_file: str, capacity: int, id_col: str, with_ids: bool):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(texts)
 
-    return run
+    return tidy("packing", run)
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

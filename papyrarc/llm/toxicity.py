@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop_scratch, materialise, table
+from .common import crc_mod, drop_scratch, materialise, table, tidy
 
 #: What a written symbol may stand for. Fixed values.
 LEET = {
@@ -254,7 +254,7 @@ def _learn_toxic(model):
                     yield flush()
         yield flush()
 
-    return run
+    return tidy("toxicity", run)
 
 
 def _count_clean(model, wanted):
@@ -270,7 +270,7 @@ def _count_clean(model, wanted):
                     n[f] = n.get(f, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], schema=schema)
 
-    return run
+    return tidy("toxicity", run)
 
 
 def _trigrams():
@@ -284,7 +284,7 @@ def _trigrams():
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(total[has])], schema=schema)
 
-    return run
+    return tidy("toxicity", run)
 
 
 BINS = 400
@@ -303,7 +303,7 @@ def _weigh(model, weights):
                 n[key] = n.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in n], pa.int32()), pa.array([t for _, t in n], pa.bool_()), pa.array(n.values(), pa.int64())], schema=schema)
 
-    return run
+    return tidy("toxicity", run)
 
 
 def rising(toxic: np.ndarray, all_: np.ndarray) -> np.ndarray:
@@ -414,7 +414,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy("toxicity", run), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def keep_harmless(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -430,7 +430,7 @@ def keep_harmless(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
                 batch = whole.slice(first, 1000)
                 yield batch.filter(pa.array([model.score(max(weigher.values(value.as_py() or ""), default=0.0)) < threshold for value in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy("toxicity", run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
