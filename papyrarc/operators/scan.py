@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """`df`, written to the folder that all executors share and read again: a part keeps its number, whichever task reads it."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -30,7 +30,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], number: str | No
     """
     sums, before = sums or {}, before or {}
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _stored(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    placed = stored(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     in_part = Window.partitionBy("_part", *keys).orderBy(*order, "_row")
     earlier = in_part.rowsBetween(Window.unboundedPreceding, -1)
     values = F.struct(F.lit(True).alias("there"), *(F.col(c).alias(name) for name, c in before.items()))

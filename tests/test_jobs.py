@@ -187,6 +187,35 @@ def test_suppression_batch_by_brute_force(spark, seconds):
     assert len(got) == len(want) and {(r.key, r.event_id) for r in got} == want
 
 
+@pytest.mark.parametrize("kind", ["regular", "random", "pauses", "dense"])
+@pytest.mark.parametrize("stretch", [1, 5, 64])
+def test_suppression_batch_of_long_keys(spark, kind, stretch):
+    """A key that lies in all tasks, cut into many short stretches that are put together three at a time, among many short ones."""
+    rng = random.Random(stretch)
+    steps = {"regular": lambda: 1, "random": lambda: rng.choice([1, 2, 7]), "pauses": lambda: rng.choice([1, 1, 1, 1, 300]), "dense": lambda: rng.choice([0, 0, 0, 1])}[kind]
+    rows, at = [], 1_700_000_000
+    for i in range(700):
+        at += steps()
+        rows.append((7, i, datetime.fromtimestamp(at, timezone.utc)))
+    rows += [(k, 1000 + 3 * k + i, datetime.fromtimestamp(1_700_000_000 + 6 * i, timezone.utc)) for k in range(40) if k != 7 for i in range(3)] + [(7, 5000, None)]
+    want, last = set(), {}
+    for key, i, ts in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1])):
+        if key not in last or (ts - last[key]).total_seconds() >= 10:
+            last[key] = ts
+            want.add((key, i))
+    got = J.suppress_fresh_batch(spark.createDataFrame(rows, "key long, event_id long, ts timestamp").repartition(3), 10, stretch, 3).collect()
+    assert len(got) == len(want) and {(r.key, r.event_id) for r in got} == want
+
+
+def test_no_task_reads_a_whole_key(spark):
+    """A quarter of a million events of one key: the accepted ones, and no stretch or table of one above its bound."""
+    rows = spark.range(250_000).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 3).alias("ts"))
+    got = J.suppress_fresh_batch(rows, 100, 5000)
+    assert [r.event_id for r in got.orderBy("event_id").collect()] == list(range(0, 250_000, 34))
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.7 * sum(sizes)
+
+
 def test_job_states_batch_by_brute_force(spark):
     """One job with most events, so that its stretches lie in several tasks."""
     rng = random.Random(3)

@@ -35,8 +35,8 @@ def test_equals_windows(spark, rows, parts):
 
 def test_a_hot_key_is_spread(spark, rows, monkeypatch):
     seen = []
-    stored = scan._stored
-    monkeypatch.setattr(scan, "_stored", lambda df: [seen.append(out := stored(df)), out][1])
+    stored = scan.stored
+    monkeypatch.setattr(scan, "stored", lambda df: [seen.append(out := stored(df)), out][1])
     running(rows, ["key"], ["at", "id"], sums={"sum": "n"}, parts=20).collect()
     sizes = [r["count"] for r in seen[0].groupBy("_part", "key").count().where("key = 'hot'").collect()]
     assert len(sizes) > 10 and max(sizes) < 3000 / 20 * 2
