@@ -29,9 +29,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*parts)
 
 
-def _record_id(page_id: Column, copy: Column, kind: int) -> Column:
-    """A version 8 UUID that holds the page's id, the number of its repeated row, and the record's kind."""
-    digits = F.lpad(F.hex(F.coalesce(page_id, F.lit(0))), 16, "0")
+def _record_id(page_id: Column, place: Column, copy: Column, kind: int) -> Column:
+    """A version 8 UUID that holds the page's id, the number of its repeated row, and the record's kind; for a page without id, its place."""
+    digits = F.lpad(F.hex(F.coalesce(page_id, place)), 16, "0")
     absent = F.when(page_id.isNull(), "8001").otherwise("8000")
     return F.concat(
         F.lit("<urn:uuid:"), F.lower(F.substring(digits, 1, 8)), F.lit("-"), F.lower(F.substring(digits, 9, 4)), F.lit(f"-8{kind:03x}-"), absent,
@@ -57,29 +57,31 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of rows with equal payloads of at least `min_bytes`, the one with the largest id is a response and the
     others are revisits that refer to it; a null payload is empty. Repeated ids are numbered, so that each row has
-    records of its own; of equal payloads with the same largest id the highest number is the response. A null id comes before all.
+    records of its own; of equal payloads with the same largest id the highest number is the response. A null id comes before all; rows
+    without one are told apart by hashes of payload and address, so that only rows alike in all meet to be numbered. No rows
+    give no records. Texts of any length are whole; other columns than the three named, whatever their names, are not read.
     A file holds the records of records_per_file rows at most, and of fewer if the largest payload asks for it, so that no archive has more
     than about archive_bytes (or one row) before compression and each can be read by one task.
     Only ids and digests are joined to find copies; a group of copies of any size is dealt over salted keys.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    # a text key without nulls serves both the numbering and the join, so that payloads are shuffled once
-    rows = rows.withColumn("key", F.coalesce(F.col("page").cast("string"), F.lit("")))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
+    # rows without an id take their place by content; a text key without nulls serves both the numbering and the join, so that payloads are shuffled once
+    rows = rows.withColumn("place", F.xxhash64("digest", "url")).withColumn("key", F.coalesce(F.col("page").cast("string"), F.concat(F.lit("at "), F.col("place").cast("string"))))
     numbered = lambda df: df.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("digest", "url")))
-    slim = numbered(rows.select("key", "page", "url", "digest", "bytes")).where(F.col("bytes") >= min_bytes)
-    holders = slim.groupBy("digest").agg(F.max(F.struct("page", "copy")).alias("holder"), F.count("*").alias("n")).where("n > 1")
-    holders = holders.select("digest", F.col("holder.page").alias("to_page"), F.col("holder.copy").alias("to_copy"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    slim = numbered(rows.select("key", "page", "place", "url", "digest", "bytes")).where(F.col("bytes") >= min_bytes)
+    holders = slim.groupBy("digest").agg(F.max(F.struct("page", "place", "copy")).alias("holder"), F.count("*").alias("n")).where("n > 1")
+    holders = holders.select("digest", F.col("holder.page").alias("to_page"), F.col("holder.place").alias("to_place"), F.col("holder.copy").alias("to_copy"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     revisits = (
-        slim.withColumn("salt", F.pmod(F.xxhash64("page", "copy"), F.lit(SALTS)).cast("int"))
+        slim.withColumn("salt", F.pmod(F.xxhash64("key", "copy"), F.lit(SALTS)).cast("int"))
         .join(holders, ["digest", "salt"])
-        .where(~(F.col("page").eqNullSafe(F.col("to_page")) & (F.col("copy") == F.col("to_copy"))))
-        .select(F.col("key").alias("from_key"), F.col("copy").alias("from_copy"), "to_page", "to_copy", F.lit(True).alias("again"))
+        .where(~(F.col("page").eqNullSafe(F.col("to_page")) & (F.col("place") == F.col("to_place")) & (F.col("copy") == F.col("to_copy"))))
+        .select(F.col("key").alias("from_key"), F.col("copy").alias("from_copy"), "to_page", "to_place", "to_copy", F.lit(True).alias("again"))
     )
     # the difference keeps the second condition out of the join's keys
     all_rows = numbered(rows).join(revisits, (F.col("key") == F.col("from_key")) & ((F.col("copy") - F.col("from_copy")) == 0), "left")
 
-    of = lambda kind: _record_id(F.col("page"), F.col("copy"), kind)
+    of = lambda kind: _record_id(F.col("page"), F.col("place"), F.col("copy"), kind)
     digest = F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))
     common = [("WARC-Target-URI", F.when(F.col("url") != "", F.col("url"))), ("WARC-Date", F.lit(date))]
     http = lambda body: F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF), body)
@@ -88,7 +90,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     request = _record("request", [("WARC-Record-ID", of(REQUEST)), ("WARC-Concurrent-To", of(RESPONSE)), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path_of, F.lit(f" HTTP/1.1{CRLF}Host: "), host_of, F.lit(CRLF + CRLF)))
     held = [("WARC-Record-ID", of(RESPONSE)), *common, ("WARC-Payload-Digest", digest), ("Content-Type", F.lit("application/http; msgtype=response"))]
     response = _record("response", held, http(F.col("payload")))
-    target = _record_id(F.col("to_page"), F.col("to_copy"), RESPONSE)
+    target = _record_id(F.col("to_page"), F.col("to_place"), F.col("to_copy"), RESPONSE)
     revisit = _record("revisit", [*held, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", target)], http(F.lit("")))
     metadata = _record("metadata", [("WARC-Record-ID", of(METADATA)), ("WARC-Concurrent-To", of(RESPONSE)), *common, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit(CRLF)))
     capture = F.concat_ws(CRLF * 2, request, F.when(F.col("again"), revisit).otherwise(response), metadata)

@@ -166,3 +166,20 @@ def test_no_pages(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(df, str(tmp_path / "w"))
     assert warc.assemble_captures(warc.read_records(spark, str(tmp_path / "w"))).count() == 0
+
+
+def test_pages_without_ids(spark, tmp_path):
+    """Each has records of its own, alike or not; a revisit names a response that is there, and no key holds unlike ones."""
+    pages = [(None, f"http://e.com/{i}", f"text {i}") for i in range(300)] + [(None, "http://e.com/0", "text 0")] * 20 + [(None, None, None)] * 5 + [(0, "http://e.com/0", "text 1")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    warc.write_archives(df, str(tmp_path / "w"))
+    captures = warc.assemble_captures(warc.read_records(spark, str(tmp_path / "w"), with_payload=True)).collect()
+    ids = {c.response.record_id for c in captures}
+    assert len(captures) == len(ids) == len(pages)
+    responses = {c.response.record_id: bytes(c.response.payload) for c in captures if c.response.type == "response"}
+    assert sorted(responses.values()) == sorted({(h or "").encode() for _, _, h in pages})
+    digests = {base64.b32encode(hashlib.sha1(p).digest()).decode(): i for i, p in responses.items()}
+    revisits = [c.response for c in captures if c.response.type == "revisit"]
+    assert len(revisits) == len(pages) - 301 and all(r.refers_to == digests[r.payload_digest] for r in revisits)
+    zero = [c.response for c in captures if c.response.record_id.startswith("<urn:uuid:00000000-0000") and c.response.record_id[29:33] == "8000"]
+    assert [(r.type, r.payload_digest) for r in zero] == [("response", base64.b32encode(hashlib.sha1(b"text 1").digest()).decode())]
