@@ -141,7 +141,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     Null texts, and texts without a letter, are `und` with score 0; so is all where the model has seen no
     language. Ties go to the language that sorts first. Null and repeated ids keep their rows; other columns
-    are ignored. An empty table gives an empty result.
+    are ignored. Texts of any length are read to their end, a part at a time. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

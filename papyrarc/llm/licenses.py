@@ -169,7 +169,8 @@ def scan_licenses(
 
     Returns (id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans); spans has label,
     first and last word and coverage of each verified find; score is 1 with a phrase, else the largest coverage. Null and empty
-    texts have no words and no finds. Null and repeated ids keep their rows; other columns are ignored; an empty table gives an empty result.
+    texts have no words and no finds. Null and repeated ids keep their rows; texts of any length are
+    scanned to their end; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()

@@ -290,7 +290,7 @@ def score_texts(docs: DataFrame, held_out, model_file: str, id_col: str = "doc_i
     the sum of log10 of the model's probabilities of its subwords and of its end.
 
     Null and empty texts have the closing token alone. Rows for which `held_out` is null (a null id) count as training rows. Repeated ids keep
-    their rows; other columns are ignored; an empty table gives an empty result. With no training rows
+    their rows; texts of any length are scored to their end; other columns are ignored; an empty table gives an empty result. With no training rows
     all tokens are unknown, base_score is 0 and the model is the one that training starts from, so that scores stay finite.
     """
     spark = docs.sparkSession

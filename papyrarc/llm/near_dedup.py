@@ -206,7 +206,7 @@ def near_duplicates(
     Null or white texts have an empty set: n_shingles 0, linked with nothing, kept. Rows with a null id
     keep their n_shingles, have a null component_id, and are kept. Repeated ids stay as rows of their own
     and are linked by the component of their texts; if one id has several texts they form one component.
-    Other columns of `docs` are ignored. Empty input gives an empty result.
+    Other columns of `docs`, whatever their names, are ignored. Texts of any length give whole sets. Empty input gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = materialise(docs.mapInArrow(_sketch(k, n_bands, band_width), "id long, n_shingles long, digest binary, bands array<long>"), "sketches")

@@ -132,7 +132,7 @@ def _cut(tokenizer_file: str, capacity: int, id_col: str, with_ids: bool):
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of at most `capacity` tokens: (id_col, piece, start, length, ids_crc32[, ids])."""
+    """Pieces of at most `capacity` tokens: (id_col, piece, start, length, ids_crc32[, ids]). Null and empty texts give the closing id alone, texts of any length all their pieces."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(tokenizer_file, capacity, id_col, with_ids), schema)
@@ -412,7 +412,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, i
 
     Returns (id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids]). A full piece is a sequence
     of its own; all others go through `pack`. Null and empty texts hold the closing id alone. Null and repeated
-    ids keep their rows as documents of their own; other columns are ignored; an empty table gives an empty result.
+    ids keep their rows as documents of their own; texts of any length are cut, never shortened; other columns are ignored; an empty table gives an empty result.
     """
     pieces = materialise(token_pieces(docs, tokenizer_file, capacity, id_col, text_col, with_ids).withColumn("item", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("item")).withColumn("offset", F.lit(0).cast("long"))

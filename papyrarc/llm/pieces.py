@@ -179,7 +179,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     string. No piece crosses a space or line break, so texts are encoded part by part; distinct parts are
     encoded and decoded once, and compared with the library's ids and text for them; `agrees` is false if a text has a part for
     which these differ, and such a part gets the library's ids. Null texts are taken as empty and give no ids. Null and repeated ids keep their
-    rows; other columns are ignored; an empty table gives an empty result.
+    rows; texts of any length are encoded to their end; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

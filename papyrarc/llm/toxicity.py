@@ -402,7 +402,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """(id_col, score, predicted) for each row of `docs`, from its whole text.
 
     Null, empty and unknown texts get the model's lowest score. Null and repeated ids keep their rows, equal
-    texts get equal scores, other columns are ignored, an empty table gives an empty result.
+    texts get equal scores, texts of any length are read to their end, other columns are ignored, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -418,7 +418,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def keep_harmless(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs`, with all their columns, that `score_toxicity` doesn't predict toxic."""
+    """The rows of `docs`, with all their columns, that `score_toxicity` doesn't predict toxic. Null and empty texts, null and repeated ids are judged as there."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
