@@ -24,8 +24,8 @@ def _prepare(spark: SparkSession) -> None:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null text, or no letter. The model learns from the language of four fifths of the rows.
 
-    Every row is judged by its own text, so that null and repeated ids keep those of their rows that have a language. An empty table gives an
-    empty result.
+    Every row is judged by its own text, so that null and repeated ids keep those of their rows that have a language. Texts of any
+    length are read to their end; all columns stay, whatever their names. An empty table gives an empty result.
     """
     _prepare(spark)
     return keep_determined(docs, train_language_model(docs.where(crc_mod("doc_id", 5) != 0), "text", "lang"))
@@ -35,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are predicted toxic. The lexicon is learned from three fourths of the labelled rows.
 
     Every row is judged by its own text: of an id with a clean and a toxic text the clean one stays. Null and empty texts stay.
-    An empty table gives an empty result.
+    Texts of any length are read to their end; all columns stay, whatever their names. An empty table gives an empty result.
     """
     _prepare(spark)
     return keep_harmless(docs, train_toxicity(docs.where(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels")))
@@ -46,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where ids are null or repeated, rows are numbered and grouped by number: of rows with the same id and similar texts one
     stays, rows with a null id come after all others of their group. Rows without words stay. A pair at the very threshold is missed
-    with a probability of (1 - 0.8^5)^32 = 3e-6. An empty table gives an empty result.
+    with a probability of (1 - 0.8^5)^32 = 3e-6. Texts of any length are compared whole; all columns stay, whatever their names. An empty table gives an empty result.
     """
     _prepare(spark)
     grouped = lambda rows, by: near_duplicates(rows, id_col=by, percent=80, n_bands=32)
@@ -63,8 +63,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents that are left into sequences of 2048 tokens: a row for each piece.
 
-    Null and empty texts hold the closing id alone, and null and repeated ids are documents of their own. An empty table gives an
-    empty result.
+    Null and empty texts hold the closing id alone, and null and repeated ids are documents of their own. Texts of any
+    length are cut, never shortened; other columns are not read. An empty table gives an empty result.
     """
     import public_tokenizers
 
