@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 import os
 import random
+import re
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,10 @@ _NOT_WHITE = "\x1c\x1d\x1e\x1f"
 #: Marks that the tokenizer parts from a letter or digit before them, and that begin no special token's end.
 _MARKS = ".,;:!?%*$#&"
 _TOGETHER = 200
+_LATIN_END = "\u0250"
+
+#: Texts that hold these aren't lower-cased before they are composed: a sigma depends on its place, and some letters are composed with these marks in lower case only.
+_COMPOSED = re.compile("[\u03a3\u0300-\u036f]")
 
 
 class WordEncoder:
@@ -32,14 +37,17 @@ class WordEncoder:
 
     The tokenizer drops white space and joins nothing across it, so texts can be encoded word by word. It also parts
     letters from marks and lower-cases, so a new word is looked up by its lower-cased letters and its closing marks.
-    New words of letters alone are encoded many to a line, as each ends with a token that closes a word.
+    New words of letters alone are encoded many to a line, as each ends with a token that closes a word. Where they are lower-case Latin letters
+    there is nothing to normalise, and the same model takes the line's words as they are.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
@@ -47,15 +55,18 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
 
-    def _ids(self, lines: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+    def _ids(self, lines: list[str], letters: bool = False) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in (self.letters if letters else self.tokenizer).encode_batch_fast(lines, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         known = self.known
-        letters = [w for w in words if w.isalpha()]
-        others = [w for w in words if not w.isalpha()]
-        lines = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
-        for line, ids in zip(lines, self._ids([" ".join(x) for x in lines]), strict=True):
+        latin, letters, others = [], [], []
+        for w in words:
+            (others if not w.isalpha() else latin if max(w) < _LATIN_END and w == w.lower() else letters).append(w)
+        lines = [x[i : i + _TOGETHER] for x in (latin, letters) for i in range(0, len(x), _TOGETHER)]
+        n = -(-len(latin) // _TOGETHER)
+        joined = [" ".join(x) for x in lines]
+        for line, ids in zip(lines, self._ids(joined[:n], True) + self._ids(joined[n:]), strict=True):
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(line):
                 others += line
@@ -64,28 +75,37 @@ class WordEncoder:
             known.update((w, held[a:b]) for w, a, b in zip(line, cuts, cuts[1:], strict=False))
         known.update((w, x.tobytes()) for w, x in zip(others, self._ids(others), strict=True))
 
+    def _words(self, text: str) -> list[str]:
+        """Words of a text, lower-cased as the tokenizer does where that can be done before all else; special tokens are found in the text as it stands."""
+        if any(c in text for c in _NOT_WHITE):
+            return [text]
+        return (text if "<|" in text or _COMPOSED.search(text) else text.lower()).split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if any(c in t for c in _NOT_WHITE) else t.split() for t in texts]
+        split = list(map(self._words, texts))
         if len(self.known) > CACHE_LIMIT:  # words that haven't been met since the last time are forgotten
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        plain: list[str] = []
+        new = set().union(*split).difference(known)
+        if older:
+            held = older.keys() & new
+            known.update(zip(held, map(older.__getitem__, held), strict=True))
+            new -= held
+        plain: set[str] = set()
         parts: list[tuple[str, str, str]] = []
-        for w in set().union(*map(set, split)).difference(known):
-            if (held := older.get(w)) is not None:
-                known[w] = held
-                continue
-            if w.islower() and w.isalpha():
-                plain.append(w)
-                continue
-            core = w if w.isalpha() else w.rstrip(_MARKS)
-            if core and core[-1].isalnum() and "<|" not in w and "\u03a3" not in w:
-                parts.append((w, core.lower(), w[len(core) :]))
+        for w in new:
+            if w.isalpha() or not (core := w.rstrip(_MARKS)) or len(core) == len(w) or not core[-1].isalnum() or "<|" in w or not w.isascii() and _COMPOSED.search(w):
+                plain.add(w)
+            else:
+                parts.append((w, core, w[len(core) :]))
+        for p in {p for _, *pair in parts for p in pair}.difference(known):
+            if (held := older.get(p)) is None:
+                plain.add(p)
             else:
-                plain.append(w)
-        self._learn([*plain, *{p for _, *pair in parts for p in pair if p}.difference(known, plain)])
+                known[p] = held
+        self._learn(list(plain))
         for w, core, marks in parts:
-            known[w] = known[core] + known[marks] if marks else known[core]
+            known[w] = known[core] + known[marks]
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -168,6 +188,7 @@ def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity
     """Make bins fuller by exchanging up to two of their items for up to two displaced ones; returns what is displaced then.
 
     `child` gives each item's bin, -1 for those displaced, and is changed in place. At most _POOL displaced items are on offer at a time, to all bins with room in turn.
+    What is on offer, one item or two, is a number whose order is that of (sum, item, item before it in the pool); it is kept sorted while items come and go.
     """
     size = sizes.tolist()
     pool = displaced[:]
@@ -178,15 +199,28 @@ def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity
     members = np.argsort(at_bin, kind="stable")
     cuts = np.searchsorted(at_bin[members], np.arange(int(at_bin.max()) + 2)).tolist()
     members = members.tolist()
-    offer: list[tuple[int, int, int]] = []
-    sums: list[int] = []
+    bits = len(size).bit_length()
+    low, mask = 2 * bits, (1 << bits) - 1
+    offer: list[int] = []
+    offered: dict[int, list[int]] = {}  # by item, in the pool's order
+
+    def fill_up() -> None:
+        for i in pool[len(offered) : _POOL]:
+            s, item = size[i], i << bits
+            most, own = capacity - s, [s << low | item]
+            for j, others in offered.items():
+                if size[j] <= most:
+                    pair = s + size[j] << low | item | j + 1
+                    own.append(pair)
+                    others.append(pair)
+            offered[i] = own
+            offer.extend(own)
+        offer.sort()
+
+    fill_up()
     for b in order:
         if not pool:
             break
-        if not offer:
-            at = pool[:_POOL]
-            offer = sorted([(size[i], i, -1) for i in at] + [(size[i] + size[j], i, j) for k, i in enumerate(at) for j in at[:k] if size[i] + size[j] <= capacity])
-            sums = [x[0] for x in offer]
         own = members[cuts[b] : cuts[b + 1]]
         if not own:
             continue
@@ -195,20 +229,24 @@ def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity
         outs = [(0, ()), *((held[k], (i,)) for k, i in enumerate(own)), *((held[k] + held[m], (i, own[m])) for k, i in enumerate(own[:12]) for m in range(k))]
         most, best = 0, None
         for given, out in outs:
-            k = bisect_right(sums, room + given) - 1
-            if k >= 0 and sums[k] - given > most:
-                most, best = sums[k] - given, (out, offer[k][1:])
+            k = bisect_left(offer, room + given + 1 << low) - 1
+            if k >= 0 and (offer[k] >> low) - given > most:
+                most, best = (offer[k] >> low) - given, (out, offer[k])
                 if most == room:
                     break
         if best is None:
             continue
-        taken = {i for i in best[1] if i >= 0}
         for i in best[0]:
             child[i] = -1
-        for i in taken:
-            child[i] = b
-        pool = [*(i for i in pool if i not in taken), *best[0]]
-        offer = []
+        gone = set()
+        for i in ((best[1] >> bits) & mask, (best[1] & mask) - 1):
+            if i >= 0:
+                child[i] = b
+                pool.remove(i)
+                gone.update(offered.pop(i))
+        offer = [x for x in offer if x not in gone]
+        pool += best[0]
+        fill_up()
     return pool
 
 

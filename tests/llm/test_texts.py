@@ -97,6 +97,13 @@ def test_packing(odd_docs, no_docs, spark, sf_dir):
     assert packing.pack_documents(no_docs, path).count() == 0
 
 
+def test_letters_composed_in_lower_case_only_are_encoded_like_whole_texts():
+    texts = ["J\u030ca, H\u0331x. T\u0308s!", "\u0130stanbul, <|endoftext|> \u03a3\u03c3 \u0391\u03a3.", "\u00c9t\u00e9 \u01c5x IT'S 12.5% A\u0301b,", "Words words, WORDS. words"]
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == whole and [encoder.encode([t])[0] for t in texts] == whole
+
+
 def test_words_with_marks_and_special_tokens_encode_as_texts():
     encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["It's 3.5%, isn't it? <|endoftext|>! A<|startoftext|>b", "ΣΑΣ. É́a, ﬁ ½.. don't!", "a\x1cb\x1d. c", "İstanbul,  x"]
