@@ -46,8 +46,11 @@ def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[i
     return common, list(map(a_after.__getitem__, common)), list(map(b_after.__getitem__, common))
 
 
-#: Of a part of a text: numbers of ids and groups, groups as text, and links as numbers. None if a tokenizer doesn't give its bytes back.
-Aligned = tuple[int, int, int, str, list[int]] | None
+#: So many new parts are encoded in one line.
+_TOGETHER = 100
+
+#: Of a part of a text: numbers of ids and groups, groups as text, and links as 64-bit numbers. None if a tokenizer doesn't give its bytes back.
+Aligned = tuple[int, int, int, str, bytes] | None
 
 
 class Tokenizers:
@@ -96,9 +99,8 @@ class Tokenizers:
             return []
         if not self.by_parts:
             return [f" {text}"]
-        words = text.replace("\n", " \n").split(" ")
-        if len(words) == len(text.split()):  # single spaces and line breaks between words, and nothing else
-            return words
+        if text.replace("\n", " ").split(" ") == text.split():  # single spaces and line breaks between words, and no other white space
+            return text.replace("\n", " \n").split(" ")
         return [p[1:] if p[:1] == " " and not p[1:2].isspace() else p for p in _PARTS.split(f" {text}")]
 
     def want(self, parts: set[str]) -> None:
@@ -112,9 +114,38 @@ class Tokenizers:
             else:
                 self.known[p] = held
         if new:
-            whole = [p if p[0] in " \n" else f" {p}" for p in new]
-            aligned = self.align(whole, [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)], self._pieces(whole))
-            self.known.update(zip(new, map(aligned.get, whole), strict=True))
+            self._learn(new)
+
+    def _learn(self, new: list[str]) -> None:
+        """Align new parts. Those without white space are encoded many to a line, as both tokenizers have a border before a single space; a line that isn't given back is taken apart."""
+        plain, odd = [], []
+        for p in new:
+            (plain if p.split() == [p] else odd).append(p)
+        lines = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        joined = list(map(" ".join, lines))
+        done, lists = [], ([], [])
+        for line, whole, a, b in zip(lines, joined, self.a.encode_batch_fast([f" {x}" for x in joined], add_special_tokens=False), self.b.encode(joined, num_threads=1), strict=True):
+            ids = a.ids
+            if self._exact(f" {whole}".encode(), ids, b):
+                done += line
+                lists[0].append(ids)
+                lists[1].append(b)
+            else:
+                odd += line
+        if (found := self.align([f" {p}".encode() for p in done], *lists)) is None:
+            odd += done
+        else:
+            self.known.update(zip(done, found, strict=True))
+        if odd:
+            whole = [p if p[0] in " \n" else f" {p}" for p in odd]
+            raws = [p.encode() for p in whole]
+            lists = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)], self._pieces(whole)
+            exact = list(map(self._exact, raws, *lists))
+            self.known.update(dict.fromkeys(odd))
+            self.known.update(zip(compress(odd, exact), self.align(*(list(compress(x, exact)) for x in (raws, *lists))), strict=True))
+
+    def _exact(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a_raw.__getitem__, a)) == raw == b"".join(map(self.b_raw.__getitem__, b))
 
     def _pieces(self, parts: list[str]) -> list[list[int]]:
         """The library's ids. It puts a space before each text; a part that has none gets a line break first, whose ids are taken off."""
@@ -122,33 +153,34 @@ class Tokenizers:
         found = self.b.encode([p[1:] if s else f"\n{p}" for p, s in zip(parts, spaced, strict=True)], num_threads=1)
         return [ids if s else ids[self.line :] for ids, s in zip(found, spaced, strict=True)]
 
-    def align(self, parts: list[str], a_lists: list[list[int]], b_lists: list[list[int]]) -> dict[str, Aligned]:
-        """Parts of which both tokenizers give the bytes back, one after the other: a border of parts is an end for both."""
-        raws = [p.encode() for p in parts]
-        lists, values = (a_lists, b_lists), (self.a_raw, self.b_raw)
-        exact = [all(b"".join(map(of.__getitem__, ids)) == raw for of, ids in zip(values, both, strict=True)) for raw, *both in zip(raws, *lists, strict=True)]
-        if not all(exact):
-            parts, raws, *lists = (list(compress(x, exact)) for x in (parts, raws, *lists))
-        if not parts:
-            return {}
-        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in lists]
-        common, *cuts = common_ends(*(np.cumsum(size[x]).tolist() for size, x in zip(self.sizes, ids, strict=True)))
+    def align(self, raws: list[bytes], a_lists: list[list[int]], b_lists: list[list[int]]) -> list[Aligned] | None:
+        """Parts, given by their bytes, of which both tokenizers give the bytes back, one after the other. None if a border of parts is no end for both."""
+        if not raws:
+            return []
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a_lists, b_lists)]
+        token_ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids, strict=True)]
+        common, *cuts = common_ends(*(x.tolist() for x in token_ends))
+        ends = np.cumsum(list(map(len, raws)))
+        to = np.searchsorted(common, ends, side="right")
+        if (np.array(common)[to - 1] != ends).any():
+            return None
         # groups as text, then those of a part
         listed = lambda cuts, values: pa.ListArray.from_arrays(pa.array([0, *cuts], pa.int32()), values)
         a_text, b_text = (pc.binary_join(listed(to, name.take(pa.array(x))), ",") for to, name, x in zip(cuts, self.names, ids, strict=True))
-        to = np.searchsorted(common, np.cumsum(list(map(len, raws))), side="right").tolist()
+        to = to.tolist()
         written = pc.binary_join(listed(to, pc.binary_join_element_wise(a_text, b_text, "|")), ";").to_pylist()
         a_last, b_last = (x[np.array(at) - 1] for x, at in zip(ids, cuts, strict=True))
-        pairs = (a_last * PAIR + b_last).tolist()
-        return {p: (len(a), len(b), high - low, text, pairs[low:high]) for p, a, b, low, high, text in zip(parts, *lists, [0, *to], to, written, strict=False)}
+        pairs = (a_last * PAIR + b_last).tobytes()
+        n_a, n_b = (np.diff(np.searchsorted(x, ends, side="right"), prepend=0).tolist() for x in token_ends)
+        return [(a, b, high - low, text, pairs[8 * low : 8 * high]) for a, b, low, high, text in zip(n_a, n_b, [0, *to], to, written, strict=False)]
 
-    def text(self, parts: list[str]) -> tuple[int, int, int, str, list[int]]:
+    def text(self, parts: list[str]) -> tuple[int, int, int, str, bytes]:
         """Numbers of ids and groups, the groups' text, and the links of a text, given in known parts."""
         found = list(map(self.known.__getitem__, parts))
         if not found or None in found:
-            return 0, 0, 0, "", []
+            return 0, 0, 0, "", b""
         n_a, n_b, n_groups, groups, pairs = zip(*found, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), list(chain.from_iterable(pairs))
+        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(pairs)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -179,8 +211,8 @@ def _align_batches(batches: Iterator[pa.RecordBatch], byte_file: str, piece_file
             parts = list(map(both.parts, texts))
             both.want(set().union(*parts))
             n_a, n_b, n_groups, groups, pairs = map(list, zip(*map(both.text, parts), strict=True))
-            links = np.fromiter(chain.from_iterable(pairs), np.int64, sum(map(len, pairs)))
-            ends = np.cumsum([0, *map(len, pairs)], dtype=np.int64)
+            links = np.frombuffer(b"".join(pairs), np.int64)
+            ends = np.cumsum([0, *map(len, pairs)], dtype=np.int64) // 8
             distinct, counts = np.unique(links, return_counts=True)
             firsts = lambda values: pa.LargeListArray.from_arrays(pa.array([0, *[len(values)] * len(texts)], pa.int64()), pa.array(values, pa.int64()))  # noqa: E731, B023
             columns = [

@@ -77,6 +77,22 @@ def test_groups_and_links_are_returned(spark):
     assert (second.groups, second.pairs, second.n_groups) == ("", [], 0)
 
 
+def test_tabs_and_runs_of_spaces_that_make_up_for_each_other(spark):
+    own = list(enumerate(["a\tb  c", "  a\tb\u00a0c", "x\ty\n\nz \x85 q\tr", "a\tb\n", "a b\nc d"]))
+    assert found(align_tokenizers(spark.createDataFrame(own, "doc_id long, text string"), BYTES, PIECES)) == brute(own)
+
+
+def test_a_line_of_parts_that_is_not_given_back_is_taken_apart():
+    both = alignment.Tokenizers(BYTES, PIECES)
+    words = [f"word{i}" for i in range(250)]
+    both.want({*words, "\ufb01ne", "\nline"})
+    alone = alignment.Tokenizers(BYTES, PIECES)
+    for w in words:
+        alone.want({w})
+    assert [both.known[w] for w in words] == [alone.known[w] for w in words]
+    assert (both.known["\ufb01ne"] is None) == (both.b.decode(both.b.encode("\ufb01ne")) != "\ufb01ne")
+
+
 def test_common_ends_slice_both_lists():
     assert common_ends([2, 4, 5, 9], [1, 2, 5, 6, 9]) == ([2, 5, 9], [1, 3, 4], [2, 3, 5])
 
