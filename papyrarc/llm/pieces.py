@@ -17,6 +17,10 @@ from .common import table
 SPACE = "▁"
 CACHE_LIMIT = 450_000
 
+#: Chunks of more characters have their agenda in a heap.
+SHORT = 40
+_NEVER = float("inf")
+
 
 class PieceVocabulary:
     """Pieces and scores of a model file, as far as encoding and decoding need them."""
@@ -42,16 +46,36 @@ class PieceVocabulary:
         for i in self.skipped:
             value[i] = b""
         value[lib.unk_id()] = " ⁇ ".encode()
-        self.values = {str(i): v for i, v in enumerate(value)}
+        self.numbers, self.raws = list(map(str, range(n))), value
+        self.values = dict(zip(self.numbers, value, strict=True))
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a chunk: an agenda of adjacent symbol pairs, best score first and leftmost on ties.
 
         A pair is on the agenda if its union is a piece. Taking one joins its symbols and puts the pairs with
         the new neighbours on the agenda; entries whose symbols have changed meanwhile are passed over.
+        A short chunk's agenda is a list by place, whose smallest entry is looked for each time.
         """
         if chunk in self.ids and len(chunk) == 1:
             return [self.ids[chunk]]
+        return self._ids_of(self._by_place(chunk) if len(chunk) <= SHORT else self._by_heap(chunk))
+
+    def _by_place(self, chunk: str) -> list[str]:
+        cost = self.costs.get
+        symbols = list(chunk)
+        agenda = [cost(union, _NEVER) for union in map(str.__add__, chunk, chunk[1:])]
+        while agenda and (best := min(agenda)) is not _NEVER:
+            i = agenda.index(best)
+            union = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = union
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(union + symbols[i + 1], _NEVER)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + union, _NEVER)
+        return symbols
+
+    def _by_heap(self, chunk: str) -> list[str]:
         costs = self.costs
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
@@ -71,10 +95,11 @@ class PieceVocabulary:
                     heapq.heappush(agenda, (costs[wider], i, wider, k))
             if (h := before[i]) >= 0 and (wider := symbols[h] + union) in costs:
                 heapq.heappush(agenda, (costs[wider], h, wider, i))
+        return [s for s in symbols if s is not None]
+
+    def _ids_of(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         for s in symbols:
-            if s is None:
-                continue
             if (known := self.ids.get(s)) is not None:
                 out.append(known)
             elif self.byte_ids:
@@ -138,8 +163,8 @@ class Known:
         theirs = _library_ids(vocab, new)
         texts = vocab.library.decode(theirs)
         for c, a, b, text in zip(new, ours, theirs, texts, strict=True):
-            ids = list(map(str, b))
-            raw = vocab.raw(ids)
+            ids = list(map(vocab.numbers.__getitem__, b))
+            raw = b"".join(map(vocab.raws.__getitem__, b))
             self.ids[c] = (",".join(ids), len(ids), raw)
             if a != b or vocab.text(raw, ids[0]) != text:
                 self.differ.add(c)

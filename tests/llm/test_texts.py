@@ -53,6 +53,14 @@ def test_agenda_equals_the_library_on_random_words():
     assert [vocab.merge(w) for w in words] == pieces._library_ids(vocab, words)
 
 
+def test_both_agendas_join_the_same_symbols():
+    vocab, _ = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(5)
+    chunks = ["".join(rng.choice(list("aeinorst\u00e9,1"), n)) for n in rng.integers(2, 60, 400)] + ["\u2581thestone", "aaaaaaaa", "\u2581\u2581\u2581", "\u6771\u4eac", "a"]
+    assert [vocab._by_place(c) for c in chunks] == [vocab._by_heap(c) for c in chunks]
+    assert [vocab.merge(c) for c in chunks] == pieces._library_ids(vocab, chunks)
+
+
 def test_a_difference_from_the_library_is_told_every_time(spark):
     """A vocabulary whose merges went wrong: each text with such a part says so, and still gets the library's ids."""
     vocab = pieces.PieceVocabulary(public_tokenizers.path("piece_bpe_32k.model"))
