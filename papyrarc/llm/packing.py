@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import random
 import re
@@ -12,33 +13,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import REMEMBERED, materialise, table, tidy
 
 CACHE_LIMIT = 200_000
+IDS_LIMIT = 4_000_000
+CHUNK_BYTES = 2_000_000
 SEPARATOR = (0).to_bytes(4, "little")
-#: str.split() also splits at these, which the tokenizer's rules don't count as white space.
-_NOT_WHITE = "\x1c\x1d\x1e\x1f"
-
-
 #: Marks that the tokenizer parts from a letter or digit before them, and that begin no special token's end.
 _MARKS = ".,;:!?%*$#&"
 _TOGETHER = 200
 _LATIN_END = "\u0250"
 
-#: Texts that hold these aren't lower-cased before they are composed: a sigma depends on its place, and some letters are composed with these marks in lower case only.
+#: Words that hold these aren't lower-cased before they are composed: a sigma depends on its place, and some letters are composed with these marks in lower case only.
 _COMPOSED = re.compile("[\u03a3\u0300-\u036f]")
 
 
+class _Numbers(dict[str, int]):
+    """Words by number, in the order in which they are met; `new` lists those that aren't learned yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Ids:
+    """Ids of words by number: where they lie in a pool, and how many they are."""
+
+    def __init__(self) -> None:
+        self.pool, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words laid end to end, and where each word's end."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)], ends
+
+
 class WordEncoder:
     """Ids of words, each as little-endian 32-bit numbers; remembers words up to a bound.
 
-    The tokenizer drops white space and joins nothing across it, so texts can be encoded word by word. It also parts
+    The tokenizer drops white space and joins nothing across it, so texts can be encoded word by word; words are what stands between ASCII white space. It also parts
     letters from marks and lower-cases, so a new word is looked up by its lower-cased letters and its closing marks.
     New words of letters alone are encoded many to a line, as each ends with a token that closes a word. Where they are lower-case Latin letters
-    there is nothing to normalise, and the same model takes the line's words as they are.
+    there is nothing to normalise, and the same model takes the line's words as they are. Arrow splits texts and finds their distinct words;
+    each of these is looked up once, by which it gets a number, and ids are gathered by numbers when the new words are learned.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -48,8 +74,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.ids = _Numbers(), _Ids()
+        self.older, self.older_ids = _Numbers(), _Ids()
         size = self.tokenizer.get_vocab_size()
         self.closes = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -58,55 +84,87 @@ class WordEncoder:
     def _ids(self, lines: list[str], letters: bool = False) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in (self.letters if letters else self.tokenizer).encode_batch_fast(lines, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        known = self.known
+    def _learn(self) -> None:
+        known, older, ids = self.known, self.older, self.ids
+        first = len(ids.sizes)
+        held: list[tuple[int, int]] = []
+        parts: list[tuple[int, int, int]] = []
+        nothing = known[""]
         latin, letters, others = [], [], []
-        for w in words:
-            (others if not w.isalpha() else latin if max(w) < _LATIN_END and w == w.lower() else letters).append(w)
+        for n, w in enumerate(known.new, first):  # the parts of words join the list
+            if (at := older.get(w)) is not None:
+                held.append((n, at))
+                continue
+            plain = w.isascii()
+            if plain and w.isalpha():
+                if w.islower():
+                    latin.append(n)
+                else:
+                    parts.append((n, known[w.lower()], nothing))
+                continue
+            low = w if "<|" in w or not plain and _COMPOSED.search(w) else w.lower()
+            if low.isalpha():
+                if low != w:
+                    parts.append((n, known[low], nothing))
+                else:
+                    (latin if max(w) < _LATIN_END and w == w.lower() else letters).append(n)
+            elif not (core := low.rstrip(_MARKS)) or len(core) == len(low) or not core[-1].lower()[-1].isalnum() or low is w and not plain and _COMPOSED.search(w) or "<|" in w:
+                others.append(n)
+            else:
+                parts.append((n, known[core], known[low[len(core) :]]))
+        words, known.new = known.new, []
+        ids.starts, ids.sizes = (np.r_[x, np.zeros(len(words), np.int64)] for x in (ids.starts, ids.sizes))
+        pools, end = [ids.pool], len(ids.pool)
+
+        def put(numbers: np.ndarray | list[int], pool: np.ndarray, ends: np.ndarray) -> None:
+            nonlocal end
+            begins = np.r_[0, ends[:-1]]
+            ids.starts[numbers], ids.sizes[numbers] = end + begins, ends - begins
+            pools.append(pool)
+            end += len(pool)
+
+        if held:
+            own, at = np.array(held).T
+            put(own, *self.older_ids.of(at))
         lines = [x[i : i + _TOGETHER] for x in (latin, letters) for i in range(0, len(x), _TOGETHER)]
         n = -(-len(latin) // _TOGETHER)
-        joined = [" ".join(x) for x in lines]
-        for line, ids in zip(lines, self._ids(joined[:n], True) + self._ids(joined[n:]), strict=True):
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(line):
+        joined = [" ".join([words[i - first] for i in x]) for x in lines]
+        numbers, found, ends, size = [], [], [], 0
+        for line, got in zip(lines, self._ids(joined[:n], True) + self._ids(joined[n:]), strict=True):
+            own = np.flatnonzero(self.closes[got]) + 1
+            if len(own) != len(line):
                 others += line
                 continue
-            held, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            known.update((w, held[a:b]) for w, a, b in zip(line, cuts, cuts[1:], strict=False))
-        known.update((w, x.tobytes()) for w, x in zip(others, self._ids(others), strict=True))
-
-    def _words(self, text: str) -> list[str]:
-        """Words of a text, lower-cased as the tokenizer does where that can be done before all else; special tokens are found in the text as it stands."""
-        if any(c in text for c in _NOT_WHITE):
-            return [text]
-        return (text if "<|" in text or _COMPOSED.search(text) else text.lower()).split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self._words, texts))
-        if len(self.known) > CACHE_LIMIT:  # words that haven't been met since the last time are forgotten
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = set().union(*split).difference(known)
-        if older:
-            held = older.keys() & new
-            known.update(zip(held, map(older.__getitem__, held), strict=True))
-            new -= held
-        plain: set[str] = set()
-        parts: list[tuple[str, str, str]] = []
-        for w in new:
-            if w.isalpha() or not (core := w.rstrip(_MARKS)) or len(core) == len(w) or not core[-1].isalnum() or "<|" in w or not w.isascii() and _COMPOSED.search(w):
-                plain.add(w)
-            else:
-                parts.append((w, core, w[len(core) :]))
-        for p in {p for _, *pair in parts for p in pair}.difference(known):
-            if (held := older.get(p)) is None:
-                plain.add(p)
-            else:
-                known[p] = held
-        self._learn(list(plain))
-        for w, core, marks in parts:
-            known[w] = known[core] + known[marks]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            numbers += line
+            found.append(got)
+            ends.append(own + size)
+            size += len(got)
+        if found:
+            put(numbers, np.concatenate(found), np.concatenate(ends))
+        if others:
+            got = self._ids([words[i - first] for i in others])
+            put(others, np.concatenate(got), np.cumsum([len(x) for x in got]))
+        ids.pool = np.concatenate(pools)
+        if parts:
+            own, *pair = np.array(parts).T
+            pool, ends = ids.of(np.stack(pair, 1).ravel())
+            pools = [ids.pool]
+            put(own, pool, ends[1::2])
+            ids.pool = np.concatenate(pools)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        if len(self.known) > CACHE_LIMIT or len(self.ids.pool) > IDS_LIMIT:  # words that haven't been met since the last time are forgotten
+            self.older, self.older_ids, self.known, self.ids = self.known, self.ids, _Numbers(), _Ids()
+        split = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        met = split.flatten().dictionary_encode()
+        distinct = met.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        if self.known.new:
+            self._learn()
+        flat, ends = self.ids.of(numbers[met.indices.to_numpy()])
+        cuts = (4 * np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        held = flat.tobytes()
+        return [held[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -121,13 +179,12 @@ def _cut(tokenizer_file: str, capacity: int, id_col: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file)
         for batch in batches:
+            column = batch.column(1).fill_null("")
+            read = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64))
             n, at = batch.num_rows, 0
             while at < n:
-                texts: list[str] = []
-                size = 0
-                while at + len(texts) < n and size < 4_000_000:
-                    texts.append(batch.column(1)[at + len(texts)].as_py() or "")
-                    size += len(texts[-1])
+                until = int(np.searchsorted(read, (read[at - 1] if at else 0) + CHUNK_BYTES)) + 1
+                texts = column.slice(at, until - at)
                 row, piece, length, crc, ids = [], [], [], [], []
                 for i, held in enumerate(encoder.encode(texts)):
                     held += SEPARATOR
@@ -184,11 +241,16 @@ def _fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, f
 _POOL = 40
 
 
+@functools.cache
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity: int, rng: random.Random) -> list[int]:
     """Make bins fuller by exchanging up to two of their items for up to two displaced ones; returns what is displaced then.
 
     `child` gives each item's bin, -1 for those displaced, and is changed in place. At most _POOL displaced items are on offer at a time, to all bins with room in turn.
-    What is on offer, one item or two, is a number whose order is that of (sum, item, item before it in the pool); it is kept sorted while items come and go.
+    What is on offer, one item or two, is a number whose order is that of (sum, item, item before it in the pool); all are sorted at once, anew after each exchange.
     """
     size = sizes.tolist()
     pool = displaced[:]
@@ -201,23 +263,18 @@ def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity
     members = members.tolist()
     bits = len(size).bit_length()
     low, mask = 2 * bits, (1 << bits) - 1
-    offer: list[int] = []
-    offered: dict[int, list[int]] = {}  # by item, in the pool's order
-
-    def fill_up() -> None:
-        for i in pool[len(offered) : _POOL]:
-            s, item = size[i], i << bits
-            most, own = capacity - s, [s << low | item]
-            for j, others in offered.items():
-                if size[j] <= most:
-                    pair = s + size[j] << low | item | j + 1
-                    own.append(pair)
-                    others.append(pair)
-            offered[i] = own
-            offer.extend(own)
-        offer.sort()
-
-    fill_up()
+    kind = np.int64 if low + (2 * capacity).bit_length() < 63 else object
+
+    def offers() -> list[int]:
+        items = np.array(pool[:_POOL], kind)
+        own = sizes[items.astype(np.int64)].astype(kind)
+        first, second = _pairs(len(items))
+        both = own[first] + own[second]
+        found = np.concatenate([own << low | items << bits, (both << low | items[second] << bits | items[first] + 1)[both <= capacity]])
+        found.sort()
+        return found.tolist()
+
+    offer = offers()
     for b in order:
         if not pool:
             break
@@ -238,15 +295,12 @@ def refilled(child: list[int], displaced: list[int], sizes: np.ndarray, capacity
             continue
         for i in best[0]:
             child[i] = -1
-        gone = set()
         for i in ((best[1] >> bits) & mask, (best[1] & mask) - 1):
             if i >= 0:
                 child[i] = b
                 pool.remove(i)
-                gone.update(offered.pop(i))
-        offer = [x for x in offer if x not in gone]
         pool += best[0]
-        fill_up()
+        offer = offers()
     return pool
 
 

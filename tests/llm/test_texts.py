@@ -119,6 +119,21 @@ def test_words_with_marks_and_special_tokens_encode_as_texts():
     assert encoder.encode(texts) == want == encoder.encode(texts)
 
 
+def test_a_mark_that_lower_case_adds_joins_the_marks_behind_it():
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["\u03a3 \u0130, \u0130!", "\u0130: <| \u0301", "", "One\u3000two\u00a0THREE, \x1cfour\x85"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_each_distinct_word_is_numbered_once_and_kept_when_others_are_forgotten(monkeypatch):
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "CACHE_LIMIT", 6)
+    for texts in (["a stone, A STONE", "a stone"], ["b bridge a", ""], ["stone, lamp.", "kite a"], ["kite Lamp. a, b"]):
+        ids = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert ids == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sorted(encoder.known.values()) == list(range(len(encoder.ids.sizes)))
+
+
 def test_genetic_packing_never_gets_worse():
     rng = np.random.default_rng(1)
     sizes = rng.integers(300, 1100, 400)
