@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, tidy
 from .wordhash import U64
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18  # what is counted at a time takes some hundred bytes a character
 UNDETERMINED = "und"
 
 
@@ -93,7 +93,7 @@ def _counts(orders: tuple[int, ...], buckets: int):
             has = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([docs[lang]]), pa.array([has.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[has]], pa.list_(pa.int64()))], schema=schema)
 
-    return run
+    return tidy("language", run)
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return rows.mapInArrow(tidy("language", run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def keep_determined(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -167,7 +167,7 @@ def keep_determined(docs: DataFrame, model: LanguageModel, text_col: str = "text
                 langs, _ = shared.value.score(texts)
                 yield batch.slice(first, len(texts)).filter(pa.array([x != UNDETERMINED for x in langs], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy("language", run), docs.schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowgroups import runs
-from .common import drop_scratch, materialise, rows_of, table
+from .common import drop_scratch, materialise, rows_of, table, tidy
 from .components import components
 from .superminhash import bands, signatures
 from .wordhash import chunks, shingle_hashes, word_hashes
@@ -45,7 +45,7 @@ def _sketch(k: int, n_bands: int, width: int):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes), pa.array(digests, pa.binary()), lists], schema=schema)
                 at += n
 
-    return run
+    return tidy("near_dedup", run)
 
 
 def _shingle_table(k: int):
@@ -58,7 +58,7 @@ def _shingle_table(k: int):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
                 at += len(sets)
 
-    return run
+    return tidy("near_dedup", run)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -157,7 +157,7 @@ def _verify_blocks(numerator: int, denominator: int):
                 yield found.batch()
         yield found.batch()
 
-    return run
+    return tidy("near_dedup", run)
 
 
 def _verify_across(numerator: int, denominator: int):
@@ -176,7 +176,7 @@ def _verify_across(numerator: int, denominator: int):
                 yield found.batch()
         yield found.batch()
 
-    return run
+    return tidy("near_dedup", run)
 
 
 def near_duplicates(

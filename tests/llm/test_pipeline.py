@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 
 import corpus_pipeline as P
 from papyrarc.llm.common import crc_mod, table
@@ -93,3 +94,14 @@ def test_near_dedup_takes_a_similarity_of_four_fifths(spark, sf_dir):
 def test_identify_keeps_null_ids(spark, odd_docs):
     model = train_language_model(odd_docs, "text", "lang")
     assert identify_language(odd_docs, model).where("doc_id is null").count() == 2
+
+
+def test_every_stage_forgets_what_the_others_remember(monkeypatch):
+    from papyrarc.llm import common, language_id, near_dedup
+
+    forgotten = []
+    monkeypatch.setitem(common.REMEMBERED, "probe", lambda: forgotten.append(1))
+    counted = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a stone"])], names=["lang", "text"])
+    assert list(language_id._counts((1,), 8)(iter([counted]))) and len(forgotten) == 1
+    sketched = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a stone"])], names=["id", "text"])
+    assert list(near_dedup._sketch(2, 2, 2)(iter([sketched]))) and len(forgotten) == 2
