@@ -41,6 +41,10 @@ def test_exported_markdown_of_cut_titles_equals_sql(equals_sql):
     equals_sql("a9_export_markdown", _CUT_TITLES)
 
 
+def test_markdown_of_cut_titles_and_link_parameters_equals_sql(equals_sql):
+    equals_sql("d9_markdown", f"replace({_CUT_TITLES}, 'href=\"/', 'href=\"/a&copy=1&amp;reg=2&lt/')")
+
+
 def test_few_queries_lack_sql():
     assert sorted(set(QUERIES) - set(SQL)) == ["a7_run_report", "f2_stems", "h9_recode_report"]
 
